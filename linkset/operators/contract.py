@@ -145,8 +145,11 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     """Run rounds until the graph is empty.
 
     ``edges`` is any ``(src, dst)`` table; it is normalised (G1+G3, S8) unless
-    ``normalized``. Each round writes G', H, q and the round's resolved nodes
-    to the workspace; only row counts reach the driver.
+    ``normalized``. Each round writes two tables to the shared folder — the
+    next graph G' and the nodes it resolved — so the lineage is cut once per
+    round. The round's m, H and q are persisted only while the round runs: a
+    lost executor recomputes them from this round's written G, never from
+    earlier rounds. Only row counts reach the driver.
     """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="contract")
@@ -162,9 +165,9 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
         if max_rounds is not None and r >= max_rounds:
             break
         r += 1
-        m = ws.save(local_minima(g, activity), f"m{r}")
-        h = ws.save(min_selection(g, m, prune_strategy, activity, hot_threshold), f"h{r}")
-        q = ws.save(summarize(h, activity), f"q{r}")
+        m = local_minima(g, activity).persist()
+        h = min_selection(g, m, prune_strategy, activity, hot_threshold).persist()
+        q = summarize(h, activity).persist()
         g_next = ws.save(prune(h, q, prune_strategy, activity, hot_threshold), f"g{r}")
         tree_r = deactivated(q, r).select(F.col("child").alias("node"), "parent")
         seeds_r = tracked_seeds(q, g_next, r, seed_strategy, activity).select(
@@ -179,7 +182,9 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
                  .first())
         log.append({"round": r, "edges": n_edges, "tree_rows": stats["n"] - stats["s"],
                     "seeds": stats["s"]})
-        ws.release(g, m, h, q)
+        for cached in (m, h, q):
+            cached.unpersist()
+        ws.release(g)
         g, n_edges = g_next, n_next
     ws.release(g)
     if r == 0:
