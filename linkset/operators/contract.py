@@ -4,7 +4,7 @@ One round over a symmetric edge table ``g(src, dst)``::
 
     m(u)   = min({u} ∪ N(u))                             local_minima
     H      = {(v, m(u)) : v ∈ N(u) ∪ {u}}                min_selection
-    q(u)   = min H(u), |H(u)|, u ∈ H(u)                  summarize
+    q(u)   = min H(u), |H(u)| = 1, u ∈ H(u)              summarize
     G'     = {(vm(u), w), (w, vm(u)) : w ∈ H(u) \\ vm(u)}  prune
     T     += {(vm(u), u) : u ∉ H(u)}                     deactivated
     Seeds += {u : H(u) = {u}, u ∉ G'}                    tracked_seeds
@@ -39,38 +39,53 @@ def local_minima(g: DataFrame, activity: bool = False) -> DataFrame:
     return out.select(*cols, *(["active"] if activity else []))
 
 
-def min_selection(g: DataFrame, m: DataFrame | None = None, strategy: str = "auto",
-                  activity: bool = False, hot_threshold: int | None = None) -> DataFrame:
-    """``H(node, w[, active])`` — each node sends m(u) to itself and its neighbours."""
-    if m is None:
-        m = local_minima(g, activity)
+def _sent(g: DataFrame, m: DataFrame, strategy: str = "auto", activity: bool = False,
+          hot_threshold: int | None = None) -> DataFrame:
+    """H as a bag: ``(node, w[, active])`` — each node sends m(u) to itself and
+    to its neighbours. Repeats are harmless for every later step."""
     keyed = m.select(F.col("node").alias("src"), "m",
                      *([F.col("active").alias("m_active")] if activity else []))
     hot = hot_keys(m.select(F.col("node").alias("src"), "deg"), "src", "deg", hot_threshold)
     sent = join_keyed(g.select("src", "dst"), keyed, "src", strategy=strategy, hot=hot)
     extra_sent = [F.col("m_active").alias("active")] if activity else []
     extra_own = ["active"] if activity else []
-    h = (sent.select(F.col("dst").alias("node"), F.col("m").alias("w"), *extra_sent)
-             .unionByName(m.select("node", F.col("m").alias("w"), *extra_own)))
+    return (sent.select(F.col("dst").alias("node"), F.col("m").alias("w"), *extra_sent)
+                .unionByName(m.select("node", F.col("m").alias("w"), *extra_own)))
+
+
+def min_selection(g: DataFrame, m: DataFrame | None = None, strategy: str = "auto",
+                  activity: bool = False, hot_threshold: int | None = None) -> DataFrame:
+    """``H(node, w[, active])`` as a set."""
+    if m is None:
+        m = local_minima(g, activity)
+    h = _sent(g, m, strategy, activity, hot_threshold)
     if activity:
         return h.groupBy("node", "w").agg(F.bool_and("active").alias("active"))
     return h.dropDuplicates(["node", "w"])
 
 
 def summarize(h: DataFrame, activity: bool = False) -> DataFrame:
-    """``q(node, vm, cnt, self[, active])`` — one row per node of H."""
-    aggs = [F.min("w").alias("vm"), F.count(F.lit(1)).alias("cnt"),
-            F.bool_or(F.col("w") == F.col("node")).alias("self")]
+    """``q(node, vm, single, self, n[, active])`` — one row per node of H.
+
+    Only min/max/or/count, so it works on H as a bag and combines map-side:
+    |H(u)| = 1 exactly when min = max. ``n`` (rows of H for the node) marks
+    hot nodes for the join that follows.
+    """
+    aggs = [F.min("w").alias("vm"), F.max("w").alias("_mx"),
+            F.bool_or(F.col("w") == F.col("node")).alias("self"),
+            F.count(F.lit(1)).alias("n")]
     if activity:
         aggs.append(F.bool_and("active").alias("active"))
-    return h.groupBy("node").agg(*aggs)
+    out = h.groupBy("node").agg(*aggs)
+    return out.select("node", "vm", (F.col("vm") == F.col("_mx")).alias("single"), "self", "n",
+                      *(["active"] if activity else []))
 
 
 def prune(h: DataFrame, q: DataFrame, strategy: str = "auto", activity: bool = False,
           hot_threshold: int | None = None) -> DataFrame:
-    """The next graph G' (symmetric, distinct)."""
-    keyed = q.where(F.col("cnt") > 1).select("node", "vm", *(["active"] if activity else []))
-    hot = hot_keys(q, "node", "cnt", hot_threshold)
+    """The next graph G' (symmetric, distinct). ``h`` may be a bag."""
+    keyed = q.where(~F.col("single")).select("node", "vm", *(["active"] if activity else []))
+    hot = hot_keys(q, "node", "n", hot_threshold)
     d = (join_keyed(h.select("node", "w"), keyed, "node", strategy=strategy, hot=hot)
          .where(F.col("w") != F.col("vm"))
          .select(F.col("vm").alias("src"), F.col("w").alias("dst"),
@@ -90,13 +105,13 @@ def deactivated(q: DataFrame, round_no: int = 1) -> DataFrame:
 
 def root_candidates(q: DataFrame) -> DataFrame:
     """Nodes with |H(u)| <= 1 and u ∈ H(u)."""
-    return q.where((F.col("cnt") <= 1) & F.col("self")).select("node")
+    return q.where(F.col("single") & F.col("self")).select("node")
 
 
 def tracked_seeds(q: DataFrame, g_next: DataFrame, round_no: int = 1,
                   strategy: str = "auto", activity: bool = False) -> DataFrame:
     """C4 (and C5 with ``activity``): seeds found in this round."""
-    cond = (F.col("cnt") == 1) & F.col("self")
+    cond = F.col("single") & F.col("self")
     if activity:
         cond = cond & F.col("active")
     cand = q.where(cond).select("node")
@@ -166,7 +181,7 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
             break
         r += 1
         m = local_minima(g, activity).persist()
-        h = min_selection(g, m, prune_strategy, activity, hot_threshold).persist()
+        h = _sent(g, m, prune_strategy, activity, hot_threshold).persist()
         q = summarize(h, activity).persist()
         g_next = ws.save(prune(h, q, prune_strategy, activity, hot_threshold), f"g{r}")
         tree_r = deactivated(q, r).select(F.col("child").alias("node"), "parent")
