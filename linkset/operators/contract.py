@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkset.operators.graph import distinct_edges, normalize, symmetrize
-from linkset.plans.joins import MAX_BROADCAST_ROWS, hot_keys, join_keyed
+from linkset.plans.joins import HOT_KEY_ROWS, MAX_BROADCAST_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
 
 
@@ -40,13 +40,14 @@ def local_minima(g: DataFrame, activity: bool = False) -> DataFrame:
 
 
 def _sent(g: DataFrame, m: DataFrame, strategy: str = "auto", activity: bool = False,
-          hot_threshold: int | None = None) -> DataFrame:
+          hot_threshold: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """H as a bag: ``(node, w[, active])`` — each node sends m(u) to itself and
     to its neighbours. Repeats are harmless for every later step."""
     keyed = m.select(F.col("node").alias("src"), "m",
                      *([F.col("active").alias("m_active")] if activity else []))
     hot = hot_keys(m.select(F.col("node").alias("src"), "deg"), "src", "deg", hot_threshold)
-    sent = join_keyed(g.select("src", "dst"), keyed, "src", strategy=strategy, hot=hot)
+    sent = join_keyed(g.select("src", "dst"), keyed, "src", strategy=strategy, hot=hot,
+                      hot_rows=hot_rows)
     extra_sent = [F.col("m_active").alias("active")] if activity else []
     extra_own = ["active"] if activity else []
     return (sent.select(F.col("dst").alias("node"), F.col("m").alias("w"), *extra_sent)
@@ -82,17 +83,21 @@ def summarize(h: DataFrame, activity: bool = False) -> DataFrame:
 
 
 def prune(h: DataFrame, q: DataFrame, strategy: str = "auto", activity: bool = False,
-          hot_threshold: int | None = None) -> DataFrame:
+          hot_threshold: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """The next graph G' (symmetric, distinct). ``h`` may be a bag."""
     keyed = q.where(~F.col("single")).select("node", "vm", *(["active"] if activity else []))
     hot = hot_keys(q, "node", "n", hot_threshold)
-    d = (join_keyed(h.select("node", "w"), keyed, "node", strategy=strategy, hot=hot)
+    d = (join_keyed(h.select("node", "w"), keyed, "node", strategy=strategy, hot=hot,
+                    hot_rows=hot_rows)
          .where(F.col("w") != F.col("vm"))
          .select(F.col("vm").alias("src"), F.col("w").alias("dst"),
                  *(["active"] if activity else [])))
     if activity:
-        both = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "active"))
-        return both.groupBy("src", "dst").agg(F.bool_and("active").alias("active"))
+        both = F.explode(F.array(
+            F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
+            F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("_e")
+        return (d.select(both, "active").select("_e.src", "_e.dst", "active")
+                 .groupBy("src", "dst").agg(F.bool_and("active").alias("active")))
     return distinct_edges(symmetrize(d))
 
 
@@ -126,14 +131,32 @@ def tracked_seeds(q: DataFrame, g_next: DataFrame, round_no: int = 1,
 
 # -- the driver loop ------------------------------------------------------------
 
+def graph_stats(g: DataFrame, hot_threshold: int | None = None) -> dict:
+    """Rows of a symmetric edge table and how many of its nodes are hot.
+
+    No node can have more than ``rows`` edges, so when ``rows`` is within the
+    threshold a plain count settles it. Otherwise one aggregate computes the
+    degrees (combined map-side) and returns one row: the exact number of hot
+    nodes, which is at most ``rows / threshold``.
+    """
+    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
+    rows = g.count()
+    if rows <= thr:
+        return {"edges": rows, "hot": 0}
+    deg = g.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    row = deg.agg(F.count(F.when(F.col("d") > thr, 1)).alias("hot")).first()
+    return {"edges": rows, "hot": int(row["hot"] or 0)}
+
+
 @dataclass
 class ContractionResult:
     """Propagation forest, its seeds, and per-round statistics."""
 
     resolved: DataFrame            # (node, parent, round); parent == node for seeds
     rounds: int
-    log: list[dict] = field(default_factory=list)
+    graph_log: list[dict] = field(default_factory=list)
     workspace: Workspace | None = None
+    _log: list[dict] | None = None
 
     @property
     def tree(self) -> DataFrame:
@@ -145,6 +168,23 @@ class ContractionResult:
         return (self.resolved.where(F.col("parent") == F.col("node"))
                     .select("node", "round"))
 
+    @property
+    def log(self) -> list[dict]:
+        """Per round: graph rows at the start, tree rows and seeds it produced.
+
+        Tree and seed counts come from one aggregate over the written result,
+        run the first time the log is asked for.
+        """
+        if self._log is None:
+            counts = {r["round"]: (r["t"], r["s"]) for r in (
+                self.resolved.groupBy("round")
+                .agg(F.count(F.when(F.col("parent") != F.col("node"), 1)).alias("t"),
+                     F.count(F.when(F.col("parent") == F.col("node"), 1)).alias("s"))
+                .collect())}
+            self._log = [{**g, "tree_rows": counts.get(g["round"], (0, 0))[0],
+                          "seeds": counts.get(g["round"], (0, 0))[1]} for g in self.graph_log]
+        return self._log
+
     def log_frame(self) -> DataFrame:
         """One row per round — graph rows at the start, tree rows, seeds."""
         spark = self.resolved.sparkSession
@@ -160,54 +200,57 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     """Run rounds until the graph is empty.
 
     ``edges`` is any ``(src, dst)`` table; it is normalised (G1+G3, S8) unless
-    ``normalized``. Each round writes two tables to the shared folder — the
-    next graph G' and the nodes it resolved — so the lineage is cut once per
-    round. The round's m, H and q are persisted only while the round runs: a
-    lost executor recomputes them from this round's written G, never from
-    earlier rounds. Only row counts reach the driver.
+    ``normalized``. Per round three jobs run:
+
+    1. write G' — computes m, H (as a bag) and q; H and q stay persisted for
+       the round only (a lost executor recomputes them from this round's
+       written G, never from earlier rounds);
+    2. write the round's resolved nodes (tree rows and seeds) from q and G';
+    3. one aggregate over G': its size (the loop test), and how many nodes
+       are hot for the next round's joins.
+
+    The lineage is cut once per round by the written G'. Only scalars reach
+    the driver.
     """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="contract")
+    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
     g = edges if normalized else normalize(edges)
     if activity and "active" not in g.columns:
         g = g.withColumn("active", F.lit(True))
     g = ws.save(g, "g0")
     resolved_path = f"{ws.root}/resolved"
-    n_edges = g.count()
-    log: list[dict] = []
+    stats = graph_stats(g, thr)
+    graph_log: list[dict] = []
     r = 0
-    while n_edges > 0:
+    while stats["edges"] > 0:
         if max_rounds is not None and r >= max_rounds:
             break
         r += 1
-        m = local_minima(g, activity).persist()
-        h = _sent(g, m, prune_strategy, activity, hot_threshold).persist()
+        graph_log.append({"round": r, "edges": stats["edges"]})
+        # hot nodes are those of degree > thr: in m (deg) and in q (n = deg + 1)
+        m = local_minima(g, activity).persist()   # read twice: the join and own rows
+        h = _sent(g, m, prune_strategy, activity, thr, stats["hot"]).persist()
         q = summarize(h, activity).persist()
-        g_next = ws.save(prune(h, q, prune_strategy, activity, hot_threshold), f"g{r}")
+        g_next = ws.save(prune(h, q, prune_strategy, activity, thr + 1, stats["hot"]), f"g{r}")
         tree_r = deactivated(q, r).select(F.col("child").alias("node"), "parent")
         seeds_r = tracked_seeds(q, g_next, r, seed_strategy, activity).select(
             "node", F.col("node").alias("parent"))
         # round=r sub-folders: the round column comes back by partition discovery
-        round_path = f"{resolved_path}/round={r}"
-        tree_r.unionByName(seeds_r).write.mode("errorifexists").parquet(round_path)
-        n_next = g_next.count()
-        stats = (spark.read.parquet(round_path)
-                 .agg(F.count(F.lit(1)).alias("n"),
-                      F.count(F.when(F.col("parent") == F.col("node"), 1)).alias("s"))
-                 .first())
-        log.append({"round": r, "edges": n_edges, "tree_rows": stats["n"] - stats["s"],
-                    "seeds": stats["s"]})
+        tree_r.unionByName(seeds_r).write.mode("errorifexists").parquet(
+            f"{resolved_path}/round={r}")
+        stats = graph_stats(g_next, thr)
         for cached in (m, h, q):
             cached.unpersist()
         ws.release(g)
-        g, n_edges = g_next, n_next
+        g = g_next
     ws.release(g)
     if r == 0:
         spark.createDataFrame([], "node BIGINT, parent BIGINT").write.parquet(
             f"{resolved_path}/round=0")
     resolved = (spark.read.schema("node BIGINT, parent BIGINT, round INT")
                 .parquet(resolved_path))
-    return ContractionResult(resolved, r, log, ws)
+    return ContractionResult(resolved, r, graph_log, ws)
 
 
 # -- views over the forest ------------------------------------------------------

@@ -25,9 +25,16 @@ def as_edges(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """G1: every edge in both directions (bag semantics)."""
-    return edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    """G1: every edge in both directions (bag semantics).
+
+    One pass: each row is expanded into its two directions, so an expensive
+    input plan (a join) runs once, where a union of two projections would run
+    it twice.
+    """
+    both = F.explode(F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("_e")
+    return edges.select(both).select("_e.src", "_e.dst")
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -78,9 +85,8 @@ def star_edges(center, nodes: DataFrame, node_col: str = "node",
 
 
 def vertices(edges: DataFrame) -> DataFrame:
-    """Distinct node ids of either end."""
-    return (edges.select(F.col("src").alias("node"))
-                 .unionByName(edges.select(F.col("dst").alias("node")))
+    """Distinct node ids of either end (one pass over the input)."""
+    return (edges.select(F.explode(F.array("src", "dst")).alias("node"))
                  .distinct())
 
 

@@ -21,14 +21,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.plans.joins import hot_keys, join_keyed
+from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
 
 
-def _fanout_hot(tree: DataFrame, ws: Workspace, hot_threshold: int | None) -> DataFrame:
-    """Parents with more children than the hot threshold (bounded, written once)."""
+def _fanout_hot(tree: DataFrame, ws: Workspace, hot_threshold: int | None) -> DataFrame | None:
+    """Parents with more children than the hot threshold, written once.
+
+    None when no parent can be hot (the whole tree is within the threshold).
+    The written set holds at most ``rows / threshold`` parents.
+    """
+    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
+    if tree.count() <= thr:
+        return None
     fan = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    return ws.save(hot_keys(fan, "parent", "n", hot_threshold), "hot-parents")
+    hot = ws.save(hot_keys(fan, "parent", "n", thr), "hot-parents")
+    return hot if not hot.isEmpty() else None
 
 
 def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
@@ -83,21 +91,21 @@ def propagate_jump(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
     ws = workspace or Workspace(spark, label="jump")
     ptr = (tree.select(F.col("child").alias("node"), F.col("parent").alias("anc"))
                .unionByName(seeds.select("node", F.col("node").alias("anc"))))
-    ptr = ws.save(ptr, "ptr0")
+    saved = ptr = ws.save(ptr, "ptr0")
     step = 0
     while True:
         step += 1
         # hot ancestors: many nodes point at one root, so split them off
-        fan = ptr.groupBy("anc").agg(F.count(F.lit(1)).alias("n"))
-        hot = ws.save(hot_keys(fan, "anc", "n", hot_threshold), f"hot{step}")
+        hot = _fanout_hot(ptr.select(F.col("anc").alias("parent")), ws, hot_threshold)
         up = ptr.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        nxt = (join_keyed(ptr, up, "anc", how="left", strategy=strategy, hot=hot)
+        hot_anc = hot.select(F.col("parent").alias("anc")) if hot is not None else None
+        nxt = (join_keyed(ptr, up, "anc", how="left", strategy=strategy, hot=hot_anc)
                .select("node", F.coalesce("anc2", "anc").alias("anc"),
                        (F.coalesce("anc2", "anc") != F.col("anc")).alias("moved")))
         nxt = ws.save(nxt, f"ptr{step}")
         moved = nxt.where("moved").count()
-        ws.release(ptr, hot)
-        ptr = nxt.select("node", "anc")
+        ws.release(saved, hot)
+        saved, ptr = nxt, nxt.select("node", "anc")
         if moved == 0:
             break
     return ptr.select("node", F.col("anc").alias("component"))

@@ -41,8 +41,13 @@ def _checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
 
 def join_keyed(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
                strategy: str = "auto", hot: DataFrame | None = None,
+               hot_rows: int | None = None,
                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``big ⋈ keyed`` on ``key`` where ``keyed`` has at most one row per key."""
+    """``big ⋈ keyed`` on ``key`` where ``keyed`` has at most one row per key.
+
+    ``hot_rows`` is the size of ``hot`` when the caller already knows it (from
+    an aggregate it ran anyway); otherwise ``hot`` is counted here.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -54,7 +59,7 @@ def join_keyed(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
         strategy = "shuffle"
     right = keyed.hint("merge") if strategy == "shuffle" else keyed
     if hot is not None:
-        n_hot = hot.count()
+        n_hot = hot.count() if hot_rows is None else hot_rows
         if 0 < n_hot <= max_broadcast_rows:
             hot_b = F.broadcast(hot)
             keyed_hot = F.broadcast(keyed.join(hot_b, key, "left_semi"))
