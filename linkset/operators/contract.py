@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkset.functions.columns import BLOCK_BITS, id_block
 from linkset.operators.graph import distinct_edges, normalize, symmetrize
 from linkset.plans.joins import HOT_KEY_ROWS, MAX_BROADCAST_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
@@ -255,9 +256,14 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
 
 # -- views over the forest ------------------------------------------------------
 
-def tree_children(tree: DataFrame) -> DataFrame:
-    """``(parent, children ARRAY<LONG>)``, children ascending (export form)."""
-    return tree.groupBy("parent").agg(F.sort_array(F.collect_set("child")).alias("children"))
+def tree_children(tree: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """``(parent, block, children ARRAY<LONG>)``, children ascending.
+
+    A seed may have millions of children, so lists are cut by child-id block
+    (``child >> bits``): at most ``2**bits`` ids per row.
+    """
+    return (tree.groupBy("parent", id_block("child", bits).alias("block"))
+                .agg(F.sort_array(F.collect_set("child")).alias("children")))
 
 
 def component_count(seeds: DataFrame) -> DataFrame:

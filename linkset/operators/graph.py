@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.functions.columns import sorted_text
+from linkset.functions.columns import BLOCK_BITS, id_block, sorted_text
 
 
 def as_edges(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -52,17 +52,22 @@ def normalize(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
     return distinct_edges(symmetrize(as_edges(edges, src, dst)))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """``(node, nn ARRAY<LONG>)`` — export form only; the rounds never use it."""
-    return (edges.groupBy(F.col("src").alias("node"))
+def adjacency(edges: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """``(node, block, nn ARRAY<LONG>)`` — export form; the rounds never use it.
+
+    A hub's neighbour list is cut by neighbour-id block (``dst >> bits``), so
+    no row holds more than ``2**bits`` ids; small graphs get one row per node.
+    """
+    return (edges.groupBy(F.col("src").alias("node"), id_block("dst", bits).alias("block"))
                  .agg(F.sort_array(F.collect_set("dst")).alias("nn")))
 
 
-def adjacency_text(edges: DataFrame) -> DataFrame:
-    """S10 line form ``node<TAB>n1;n2;...`` with neighbours in ascending order."""
-    adj = edges.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("nn"))
-    return adj.select("node", F.concat_ws("\t", F.col("node").cast("string"),
-                                          sorted_text("nn", ";")).alias("line"))
+def adjacency_text(edges: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """S10 line form ``node<TAB>n1;n2;...``, neighbours ascending; one line per
+    node and neighbour-id block (a reader unions the lines of a node)."""
+    adj = adjacency(edges, bits)
+    return adj.select("node", "block", F.concat_ws("\t", F.col("node").cast("string"),
+                                                   sorted_text("nn", ";")).alias("line"))
 
 
 def with_activity(adj: DataFrame, flag: bool = True) -> DataFrame:

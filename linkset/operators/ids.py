@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkset.plans.joins import find_hot, join_keyed
 from linkset.plans.workspace import Workspace
 
 _LOW_BITS = (1 << 33) - 1
@@ -54,9 +55,15 @@ def dense_ids(names: DataFrame, *, partitions: int | None = None,
                   .select("name", (F.col("_off") + F.col("_pos")).cast("long").alias("id")))
 
 
-def relabel(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """S7+G8: replace both ends of string edges by their dense ids."""
+def relabel(edges: DataFrame, ids: DataFrame, hot_threshold: int | None = None) -> DataFrame:
+    """S7+G8: replace both ends of string edges by their dense ids.
+
+    A name on many edges (a hub) is a hot key of the join; such names are
+    split off and joined against a broadcast of their few ids.
+    """
     s = ids.select(F.col("name").alias("src"), F.col("id").alias("src_id"))
     d = ids.select(F.col("name").alias("dst"), F.col("id").alias("dst_id"))
-    return (edges.join(s, "src").join(d, "dst")
-                 .select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    e = edges.select("src", "dst")
+    step = join_keyed(e, s, "src", hot=find_hot(e, "src", hot_threshold))
+    both = join_keyed(step, d, "dst", hot=find_hot(e, "dst", hot_threshold))
+    return both.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))

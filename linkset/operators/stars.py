@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkset.functions.columns import BLOCK_BITS, id_block
 from linkset.operators.graph import distinct_edges, normalize, symmetrize, vertices
 from linkset.plans.joins import hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
@@ -109,10 +110,13 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
     return StarResult(pairs, comp, r)
 
 
-def members(components: DataFrame) -> DataFrame:
-    """``(component, members ARRAY<LONG>)`` ascending (export form; a giant
-    component becomes one big row, so prefer :func:`sizes` for reporting)."""
-    return (components.groupBy("component")
+def members(components: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """``(component, block, members ARRAY<LONG>)`` ascending.
+
+    A giant component is cut by member-id block (``node >> bits``), so no row
+    holds more than ``2**bits`` ids; small components get one row each.
+    """
+    return (components.groupBy("component", id_block("node", bits).alias("block"))
                       .agg(F.sort_array(F.collect_list("node")).alias("members")))
 
 

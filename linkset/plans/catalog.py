@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkset.functions.columns import sorted_text
+from linkset.functions.columns import BLOCK_BITS, sorted_text
 from linkset.operators import contract as C
 from linkset.operators import graph as G
 from linkset.operators import ids as I
@@ -182,7 +182,8 @@ def q_edges_isolated(spark, sf_dir):
 @query("adjacency_text",
        _with(_g("order_part"), SYM) +
        "SELECT src AS node, CAST(src AS VARCHAR) || chr(9) || "
-       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS line FROM e GROUP BY src")
+       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS line FROM e "
+       f"GROUP BY src, dst >> {BLOCK_BITS}")
 def q_adjacency_text(spark, sf_dir):
     lines = G.adjacency_text(G.normalize(TG.order_part(spark, sf_dir)))
     ws = _ws(spark, "io")
@@ -227,11 +228,12 @@ def q_graph_counts(spark, sf_dir):
 
 @query("adjacency_active",
        _with(_g("order_part"), SYM) +
-       "SELECT src AS node, string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS nn, "
-       "TRUE AS active FROM e GROUP BY src")
+       f"SELECT src AS node, dst >> {BLOCK_BITS} AS block, "
+       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS nn, "
+       f"TRUE AS active FROM e GROUP BY src, dst >> {BLOCK_BITS}")
 def q_adjacency_active(spark, sf_dir):
     adj = G.with_activity(G.adjacency(G.normalize(TG.order_part(spark, sf_dir))))
-    return adj.select("node", sorted_text("nn").alias("nn"), "active")
+    return adj.select("node", "block", sorted_text("nn").alias("nn"), "active")
 
 
 @query("star_expand",
@@ -332,11 +334,12 @@ def q_propagation_tree_chain(spark, sf_dir):
 
 
 @query("tree_children",
-       _OP_ROUNDS + "SELECT parent, string_agg(CAST(child AS VARCHAR), ';' ORDER BY child) "
-       "AS children FROM tree GROUP BY parent")
+       _OP_ROUNDS + f"SELECT parent, child >> {BLOCK_BITS} AS block, "
+       "string_agg(CAST(child AS VARCHAR), ';' ORDER BY child) "
+       f"AS children FROM tree GROUP BY parent, child >> {BLOCK_BITS}")
 def q_tree_children(spark, sf_dir):
     t = C.tree_children(contraction(spark, sf_dir, "order_part").tree)
-    return t.select("parent", sorted_text("children").alias("children"))
+    return t.select("parent", "block", sorted_text("children").alias("children"))
 
 
 @query("seeds_tracked", _OP_ROUNDS + "SELECT node, round FROM seeds")
@@ -504,11 +507,12 @@ def q_cc_stars(spark, sf_dir):
 
 @query("component_members",
        _with(_g("order_part"), SYM, LABELS) +
-       "SELECT component, string_agg(CAST(node AS VARCHAR), ';' ORDER BY node) AS members "
-       "FROM lab GROUP BY component")
+       f"SELECT component, node >> {BLOCK_BITS} AS block, "
+       "string_agg(CAST(node AS VARCHAR), ';' ORDER BY node) AS members "
+       f"FROM lab GROUP BY component, node >> {BLOCK_BITS}")
 def q_component_members(spark, sf_dir):
     m = ST.members(_stars(spark, sf_dir).components)
-    return m.select("component", sorted_text("members").alias("members"))
+    return m.select("component", "block", sorted_text("members").alias("members"))
 
 
 @query("component_sizes",

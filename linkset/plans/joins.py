@@ -35,6 +35,24 @@ def hot_keys(counts: DataFrame, key: str, count_col: str,
     return counts.where(F.col(count_col) > F.lit(limit)).select(key)
 
 
+def find_hot(big: DataFrame, key: str, threshold: int | None = None) -> DataFrame | None:
+    """Keys of ``big`` with more than ``threshold`` rows, or None when there are none.
+
+    A table with no more rows than the threshold cannot have a hot key, so a
+    count settles the common case; otherwise one map-side-combined count per
+    key runs and the (at most ``rows / threshold``) hot keys are returned.
+    """
+    limit = HOT_KEY_ROWS if threshold is None else threshold
+    if big.count() <= limit:
+        return None
+    per_key = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(per_key, key, "_n", limit).persist()
+    if hot.isEmpty():
+        hot.unpersist()
+        return None
+    return hot
+
+
 def _checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     return F.broadcast(df) if df.count() <= max_rows else None
 

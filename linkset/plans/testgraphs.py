@@ -37,15 +37,36 @@ def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order linked to the customer's next order: one path per customer.
 
-    The window is partitioned by customer, so it shuffles once by ``o_custkey``;
-    a customer with a third of all orders is one long sorted partition, which
-    the window streams without holding it in memory.
+    Same rows as ``lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY
+    o_orderkey)``, without putting one customer's orders in one task (a
+    customer may own a third of all orders):
+
+    1. range-partition on ``(o_custkey, o_orderkey)`` — a big customer spans a
+       run of consecutive partitions — and take each row's partition id; the
+       result is written once, so the sampled boundaries cannot change;
+    2. ``lead`` inside each (partition, customer) piece;
+    3. the last order of a piece links to the first order of the customer's
+       next piece: a ``lead`` over the pieces table, one row per (partition,
+       customer), so a customer's group there has at most one row per
+       partition (empty partitions in between do not matter).
     """
+    from linkset.plans.workspace import Workspace
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return (o.select(F.col("o_orderkey").alias("src"),
-                     F.lead("o_orderkey").over(w).alias("dst"))
-             .where(F.col("dst").isNotNull()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ws = Workspace(spark, label="order-chain")
+    tagged = ws.save(o.repartitionByRange(parts, "o_custkey", "o_orderkey")
+                      .select("o_custkey", "o_orderkey", F.spark_partition_id().alias("pid")),
+                     "orders-ranged")
+    w = Window.partitionBy("pid", "o_custkey").orderBy("o_orderkey")
+    local = tagged.select("pid", "o_custkey", F.col("o_orderkey").alias("src"),
+                          F.lead("o_orderkey").over(w).alias("dst"))
+    inner = local.where(F.col("dst").isNotNull()).select("src", "dst")
+    pieces = tagged.groupBy("pid", "o_custkey").agg(F.min("o_orderkey").alias("first"),
+                                                   F.max("o_orderkey").alias("last"))
+    wp = Window.partitionBy("o_custkey").orderBy("pid")
+    across = (pieces.select(F.col("last").alias("src"), F.lead("first").over(wp).alias("dst"))
+                    .where(F.col("dst").isNotNull()))
+    return inner.unionByName(across)
 
 
 def cust_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
