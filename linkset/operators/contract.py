@@ -219,7 +219,9 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     g = edges if normalized else normalize(edges)
     if activity and "active" not in g.columns:
         g = g.withColumn("active", F.lit(True))
-    g = ws.save(g, "g0")
+    # the input graph's lineage is one scan and one de-duplication: persisting
+    # it is enough (a lost block is recomputed from the source, not a chain)
+    g = g.persist()
     resolved_path = f"{ws.root}/resolved"
     stats = graph_stats(g, thr)
     graph_log: list[dict] = []
@@ -243,8 +245,12 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
         stats = graph_stats(g_next, thr)
         for cached in (m, h, q):
             cached.unpersist()
+        if r == 1:
+            g.unpersist()
         ws.release(g)
         g = g_next
+    if r == 0:
+        g.unpersist()
     ws.release(g)
     if r == 0:
         spark.createDataFrame([], "node BIGINT, parent BIGINT").write.parquet(

@@ -53,10 +53,9 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
     edges = tree.select("parent", "child")
     hot = _fanout_hot(edges, ws, hot_threshold)
     out_path = f"{ws.root}/labels"
-    roots = seeds.select(F.col("node"), F.col("node").alias("component"))
-    roots.write.mode("errorifexists").parquet(f"{out_path}/depth=0")
-    frontier = spark.read.parquet(f"{out_path}/depth=0")
-    depth = 0
+    roots = seeds.select("node", F.col("node").alias("component"), F.lit(0).alias("depth"))
+    frontier = roots.select("node", "component")
+    depth, wrote = 0, False
     while max_depth is None or depth < max_depth:
         depth += 1
         keyed = frontier.select(F.col("node").alias("parent"), "component")
@@ -64,12 +63,16 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
                 .select(F.col("child").alias("node"), "component"))
         path = f"{out_path}/depth={depth}"
         step.write.mode("errorifexists").parquet(path)
-        frontier = spark.read.parquet(path)
-        if frontier.isEmpty():
+        wrote = True
+        frontier = spark.read.schema("node BIGINT, component BIGINT").parquet(path)
+        if (max_depth is not None and depth >= max_depth) or frontier.isEmpty():
             break
-    labels = spark.read.schema("node BIGINT, component BIGINT, depth INT").parquet(out_path)
-    if not include_roots:
-        labels = labels.where(F.col("depth") > 0)
+    labels = roots if include_roots else None
+    if wrote:
+        layers = spark.read.schema("node BIGINT, component BIGINT, depth INT").parquet(out_path)
+        labels = layers if labels is None else labels.unionByName(layers)
+    if labels is None:
+        labels = roots.limit(0)
     return labels
 
 

@@ -90,10 +90,11 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
     while max_rounds is None or r < max_rounds:
         r += 1
         sym = current if r == 1 else symmetrize(current)
-        large = ws.save(large_star(sym, strategy, hot_threshold), f"large{r}")
+        # large-star output only feeds this round's small-star: persisted, not written
+        large = large_star(sym, strategy, hot_threshold).persist()
         small = ws.save(small_star(large, strategy, hot_threshold), f"small{r}")
         n_small = small.count()
-        ws.release(large)
+        large.unpersist()
         if prev is not None and _same_set(small, prev, n_small, n_prev):
             ws.release(small)
             break

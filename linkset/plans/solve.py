@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
                               hot_threshold=hot_threshold, workspace=ws)
     if propagation != "layers":
         raise ValueError(f"propagation must be one of {PROPAGATIONS}")
+    # a parent is still active when its child is retired, so the forest is at
+    # most as deep as the number of rounds: no extra empty layer is needed
     return propagate_layers(res.tree, res.seeds, strategy=prune_strategy,
-                            hot_threshold=hot_threshold,
+                            hot_threshold=hot_threshold, max_depth=res.rounds,
                             workspace=ws).select("node", "component")
