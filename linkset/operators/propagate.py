@@ -76,6 +76,41 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
     return labels
 
 
+def propagate_shrinking(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
+                        workspace: Workspace | None = None) -> DataFrame:
+    """Layered propagation that also drops resolved rows from the tree.
+
+    Each step splits the remaining tree into the rows whose parent was just
+    labelled (resolved now) and the rest (kept for later steps), so every
+    tree row is joined once. Returns ``(node, component)`` for tree children.
+    Costs one anti join per step; pays off when the tree is much deeper than
+    the first few layers.
+    """
+    spark = tree.sparkSession
+    ws = workspace or Workspace(spark, label="shrink")
+    out_path = f"{ws.root}/labels"
+    rest = tree.select("parent", "child")
+    frontier = seeds.select(F.col("node").alias("parent"), F.col("node").alias("component"))
+    step, prev_rest = 0, None
+    while True:
+        step += 1
+        done = join_keyed(rest, frontier, "parent", strategy=strategy)
+        path = f"{out_path}/step={step}"
+        done.select(F.col("child").alias("node"), "component").write.parquet(path)
+        labelled = spark.read.schema("node BIGINT, component BIGINT").parquet(path)
+        if labelled.isEmpty():
+            break
+        nxt = ws.save(rest.join(labelled.select(F.col("node").alias("child")), "child",
+                                "left_anti"), f"rest{step}")
+        ws.release(prev_rest)
+        prev_rest, rest = nxt, nxt
+        frontier = labelled.select(F.col("node").alias("parent"), "component")
+        if rest.isEmpty():
+            break
+    return spark.read.schema("node BIGINT, component BIGINT, step INT").parquet(out_path) \
+        .select("node", "component")
+
+
 def components_from(tree: DataFrame, seeds: DataFrame, **kw) -> DataFrame:
     """The full ``(node, component)`` table, roots included."""
     return propagate_layers(tree, seeds, **kw).select("node", "component")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from linkset.functions.columns import BLOCK_BITS, id_block
 from linkset.operators.graph import distinct_edges, normalize, symmetrize, vertices
-from linkset.plans.joins import hot_keys, join_keyed
+from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
 
 
@@ -34,12 +34,15 @@ def large_star_init(edges: DataFrame) -> DataFrame:
 
 
 def large_star(sym: DataFrame, strategy: str = "auto", hot_threshold: int | None = None,
-               minima: DataFrame | None = None) -> DataFrame:
-    """L2: for each a with m = min(N(a) ∪ {a}), emit (x, m) for x ∈ N(a), x > a."""
+               minima: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+    """L2: for each a with m = min(N(a) ∪ {a}), emit (x, m) for x ∈ N(a), x > a.
+
+    ``hot_rows=0`` tells the join there is no hot node (the caller knows the
+    graph has no more rows than the threshold)."""
     mn = minima if minima is not None else _minima(sym)
     hot = hot_keys(mn, "src", "deg", hot_threshold)
     out = (join_keyed(sym.where(F.col("dst") > F.col("src")), mn.select("src", "mn"), "src",
-                      strategy=strategy, hot=hot)
+                      strategy=strategy, hot=hot, hot_rows=hot_rows)
            .select(F.col("dst").alias("src"), F.col("mn").alias("dst")))
     return distinct_edges(out)
 
@@ -50,13 +53,14 @@ def small_star_init(edges: DataFrame) -> DataFrame:
 
 
 def small_star(edges: DataFrame, strategy: str = "auto", hot_threshold: int | None = None,
-               minima: DataFrame | None = None) -> DataFrame:
+               minima: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """L4: on larger→smaller edges, for each a with m = min(N(a) ∪ {a}),
     emit (x, m) for x ∈ N(a) ∪ {a}, x ≠ m."""
     oriented = distinct_edges(small_star_init(edges))
     mn = minima if minima is not None else _minima(oriented)
     hot = hot_keys(mn, "src", "deg", hot_threshold)
-    nbrs = (join_keyed(oriented, mn.select("src", "mn"), "src", strategy=strategy, hot=hot)
+    nbrs = (join_keyed(oriented, mn.select("src", "mn"), "src", strategy=strategy, hot=hot,
+                       hot_rows=hot_rows)
             .select(F.col("dst").alias("x"), "mn"))
     own = mn.select(F.col("src").alias("x"), "mn")
     out = nbrs.unionByName(own).where(F.col("x") != F.col("mn"))
@@ -83,16 +87,20 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
     """Alternate the two stars until a round changes nothing."""
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="stars")
+    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
     g = ws.save(normalize(edges), "s-g0")
     prev, n_prev = None, -1
-    current = g
+    current, n_current = g, g.count()
     r = 0
     while max_rounds is None or r < max_rounds:
         r += 1
         sym = current if r == 1 else symmetrize(current)
+        # both steps see at most 2 * n_current rows: within the threshold no
+        # node can be hot, and the per-step hot-key count is skipped
+        known = 0 if 2 * n_current <= thr else None
         # large-star output only feeds this round's small-star: persisted, not written
-        large = large_star(sym, strategy, hot_threshold).persist()
-        small = ws.save(small_star(large, strategy, hot_threshold), f"small{r}")
+        large = large_star(sym, strategy, thr, hot_rows=known).persist()
+        small = ws.save(small_star(large, strategy, thr, hot_rows=known), f"small{r}")
         n_small = small.count()
         large.unpersist()
         if prev is not None and _same_set(small, prev, n_small, n_prev):
@@ -100,7 +108,7 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
             break
         if prev is not None:
             ws.release(prev)
-        prev, n_prev, current = small, n_small, small
+        prev, n_prev, current, n_current = small, n_small, small, n_small
     pairs = prev if prev is not None else small
     nodes = vertices(g)
     comp = (nodes.join(pairs.select(F.col("src").alias("node"), F.col("dst").alias("root")),

@@ -255,6 +255,11 @@ def q_neighbour_lookup(spark, sf_dir):
     return G.neighbours(G.normalize(TG.order_part(spark, sf_dir)), urgent)
 
 
+@query("peek_edges")
+def q_peek_edges(spark, sf_dir):
+    return G.peek(TG.order_part(spark, sf_dir), 10)
+
+
 @query("sample_nodes")
 def q_sample_nodes(spark, sf_dir):
     return G.sample_rows(G.vertices(TG.order_part(spark, sf_dir)), 10, seed=123)
@@ -426,6 +431,20 @@ def q_prop_triples(spark, sf_dir):
     return P.propagate_naive(res.tree, res.seeds)
 
 
+@query("prop_triples_broadcast",
+       _CH_DEPTH + "SELECT tree.parent, dep.component AS seed, tree.child FROM tree "
+       "JOIN dep ON tree.child = dep.node")
+def q_prop_triples_broadcast(spark, sf_dir):
+    res = contraction(spark, sf_dir, "order_chain")
+    return P.propagate_naive(res.tree, res.seeds, strategy="broadcast")
+
+
+@query("prop_shrink", _CH_DEPTH + "SELECT node, component FROM dep WHERE depth > 0")
+def q_prop_shrink(spark, sf_dir):
+    res = contraction(spark, sf_dir, "order_chain")
+    return P.propagate_shrinking(res.tree, res.seeds)
+
+
 @query("prop_layers", _CH_DEPTH + "SELECT node, component FROM dep WHERE depth > 0")
 def q_prop_layers(spark, sf_dir):
     res = contraction(spark, sf_dir, "order_chain")
