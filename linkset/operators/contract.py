@@ -32,27 +32,24 @@ from linkset.plans.workspace import Workspace
 
 def local_minima(g: DataFrame, activity: bool = False) -> DataFrame:
     """``(node, m, deg[, active])``: own-or-neighbour minimum and degree."""
-    aggs = [F.min("dst").alias("_mn"), F.count(F.lit(1)).alias("deg")]
-    if activity:
-        aggs.append(F.bool_and("active").alias("active"))
-    out = g.groupBy("src").agg(*aggs)
-    cols = [F.col("src").alias("node"), F.least("src", "_mn").alias("m"), "deg"]
-    return out.select(*cols, *(["active"] if activity else []))
+    act = ["bool_and(active) AS active"] if activity else []
+    return (g.groupBy("src")
+             .agg(*(F.expr(e) for e in ["min(dst) AS _mn", "count(1) AS deg", *act]))
+             .selectExpr("src AS node", "least(src, _mn) AS m", "deg",
+                         *(["active"] if activity else [])))
 
 
 def _sent(g: DataFrame, m: DataFrame, strategy: str = "auto", activity: bool = False,
           hot_threshold: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """H as a bag: ``(node, w[, active])`` — each node sends m(u) to itself and
     to its neighbours. Repeats are harmless for every later step."""
-    keyed = m.select(F.col("node").alias("src"), "m",
-                     *([F.col("active").alias("m_active")] if activity else []))
-    hot = hot_keys(m.select(F.col("node").alias("src"), "deg"), "src", "deg", hot_threshold)
+    keyed = m.selectExpr("node AS src", "m", *(["active AS m_active"] if activity else []))
+    hot = (None if hot_rows == 0 else
+           hot_keys(m.selectExpr("node AS src", "deg"), "src", "deg", hot_threshold))
     sent = join_keyed(g.select("src", "dst"), keyed, "src", strategy=strategy, hot=hot,
                       hot_rows=hot_rows)
-    extra_sent = [F.col("m_active").alias("active")] if activity else []
-    extra_own = ["active"] if activity else []
-    return (sent.select(F.col("dst").alias("node"), F.col("m").alias("w"), *extra_sent)
-                .unionByName(m.select("node", F.col("m").alias("w"), *extra_own)))
+    return (sent.selectExpr("dst AS node", "m AS w", *(["m_active AS active"] if activity else []))
+                .unionByName(m.selectExpr("node", "m AS w", *(["active"] if activity else []))))
 
 
 def min_selection(g: DataFrame, m: DataFrame | None = None, strategy: str = "auto",
@@ -73,40 +70,35 @@ def summarize(h: DataFrame, activity: bool = False) -> DataFrame:
     |H(u)| = 1 exactly when min = max. ``n`` (rows of H for the node) marks
     hot nodes for the join that follows.
     """
-    aggs = [F.min("w").alias("vm"), F.max("w").alias("_mx"),
-            F.bool_or(F.col("w") == F.col("node")).alias("self"),
-            F.count(F.lit(1)).alias("n")]
+    aggs = ["min(w) AS vm", "max(w) AS _mx", "bool_or(w = node) AS self", "count(1) AS n"]
     if activity:
-        aggs.append(F.bool_and("active").alias("active"))
-    out = h.groupBy("node").agg(*aggs)
-    return out.select("node", "vm", (F.col("vm") == F.col("_mx")).alias("single"), "self", "n",
-                      *(["active"] if activity else []))
+        aggs.append("bool_and(active) AS active")
+    return (h.groupBy("node").agg(*(F.expr(e) for e in aggs))
+             .selectExpr("node", "vm", "vm = _mx AS single", "self", "n",
+                         *(["active"] if activity else [])))
 
 
 def prune(h: DataFrame, q: DataFrame, strategy: str = "auto", activity: bool = False,
           hot_threshold: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """The next graph G' (symmetric, distinct). ``h`` may be a bag."""
-    keyed = q.where(~F.col("single")).select("node", "vm", *(["active"] if activity else []))
-    hot = hot_keys(q, "node", "n", hot_threshold)
+    act = ["active"] if activity else []
+    keyed = q.where("NOT single").select("node", "vm", *act)
+    hot = None if hot_rows == 0 else hot_keys(q, "node", "n", hot_threshold)
     d = (join_keyed(h.select("node", "w"), keyed, "node", strategy=strategy, hot=hot,
                     hot_rows=hot_rows)
-         .where(F.col("w") != F.col("vm"))
-         .select(F.col("vm").alias("src"), F.col("w").alias("dst"),
-                 *(["active"] if activity else [])))
+         .where("w <> vm").selectExpr("vm AS src", "w AS dst", *act))
     if activity:
-        both = F.explode(F.array(
-            F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
-            F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("_e")
-        return (d.select(both, "active").select("_e.src", "_e.dst", "active")
-                 .groupBy("src", "dst").agg(F.bool_and("active").alias("active")))
+        return (d.selectExpr("explode(array(struct(src, dst), struct(dst AS src, src AS dst))) AS _e",
+                             "active")
+                 .selectExpr("_e.src", "_e.dst", "active")
+                 .groupBy("src", "dst").agg(F.expr("bool_and(active) AS active")))
     return distinct_edges(symmetrize(d))
 
 
 def deactivated(q: DataFrame, round_no: int = 1) -> DataFrame:
     """Tree rows ``(parent, child, round)`` for nodes that leave the graph."""
-    return q.where(~F.col("self")).select(
-        F.col("vm").alias("parent"), F.col("node").alias("child"),
-        F.lit(round_no).alias("round"))
+    return q.where("NOT self").selectExpr(
+        "vm AS parent", "node AS child", f"CAST({int(round_no)} AS INT) AS round")
 
 
 def root_candidates(q: DataFrame) -> DataFrame:
@@ -117,17 +109,15 @@ def root_candidates(q: DataFrame) -> DataFrame:
 def tracked_seeds(q: DataFrame, g_next: DataFrame, round_no: int = 1,
                   strategy: str = "auto", activity: bool = False) -> DataFrame:
     """C4 (and C5 with ``activity``): seeds found in this round."""
-    cond = F.col("single") & F.col("self")
-    if activity:
-        cond = cond & F.col("active")
-    cand = q.where(cond).select("node")
+    cand = q.where("single AND self" + (" AND active" if activity else "")).select("node")
     # One row per live node: the hub rows of G' collapse map-side before the shuffle.
-    live = g_next.select(F.col("src").alias("node")).distinct()
+    live = g_next.selectExpr("src AS node").distinct()
     if strategy == "broadcast":
         live = F.broadcast(live) if live.count() <= MAX_BROADCAST_ROWS else live.hint("merge")
     elif strategy == "shuffle":
         live = live.hint("merge")
-    return cand.join(live, "node", "left_anti").select("node", F.lit(round_no).alias("round"))
+    return (cand.join(live, "node", "left_anti")
+                .selectExpr("node", f"CAST({int(round_no)} AS INT) AS round"))
 
 
 # -- the driver loop ------------------------------------------------------------
@@ -236,9 +226,9 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
         h = _sent(g, m, prune_strategy, activity, thr, stats["hot"]).persist()
         q = summarize(h, activity).persist()
         g_next = ws.save(prune(h, q, prune_strategy, activity, thr + 1, stats["hot"]), f"g{r}")
-        tree_r = deactivated(q, r).select(F.col("child").alias("node"), "parent")
-        seeds_r = tracked_seeds(q, g_next, r, seed_strategy, activity).select(
-            "node", F.col("node").alias("parent"))
+        tree_r = deactivated(q, r).selectExpr("child AS node", "parent")
+        seeds_r = tracked_seeds(q, g_next, r, seed_strategy, activity).selectExpr(
+            "node", "node AS parent")
         # round=r sub-folders: the round column comes back by partition discovery
         tree_r.unionByName(seeds_r).write.mode("errorifexists").parquet(
             f"{resolved_path}/round={r}")

@@ -31,10 +31,9 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     input plan (a join) runs once, where a union of two projections would run
     it twice.
     """
-    both = F.explode(F.array(
-        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("_e")
-    return edges.select(both).select("_e.src", "_e.dst")
+    return (edges.selectExpr(
+        "explode(array(struct(src, dst), struct(dst AS src, src AS dst))) AS _e")
+        .selectExpr("_e.src", "_e.dst"))
 
 
 def directed(edges: DataFrame) -> DataFrame:
