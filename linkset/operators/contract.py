@@ -184,6 +184,10 @@ class ContractionResult:
             rows, "round INT, edges BIGINT, tree_rows BIGINT, seeds BIGINT")
 
 
+def _seed_candidates(q: DataFrame, activity: bool = False) -> DataFrame:
+    return q.where("single AND self" + (" AND active" if activity else "")).select("node")
+
+
 def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str = "auto",
              seed_strategy: str = "auto", activity: bool = False,
              hot_threshold: int | None = None, max_rounds: int | None = None,
@@ -191,30 +195,38 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     """Run rounds until the graph is empty.
 
     ``edges`` is any ``(src, dst)`` table; it is normalised (G1+G3, S8) unless
-    ``normalized``. Per round three jobs run:
-
-    1. write G' — computes m, H (as a bag) and q; H and q stay persisted for
-       the round only (a lost executor recomputes them from this round's
-       written G, never from earlier rounds);
-    2. write the round's resolved nodes (tree rows and seeds) from q and G';
-    3. one aggregate over G': its size (the loop test), and how many nodes
-       are hot for the next round's joins.
-
-    The lineage is cut once per round by the written G'. Only scalars reach
-    the driver.
+    ``normalized``. Each round runs one write and one count:
+
+    * the write computes m, H (as a bag) and q, and stores, partitioned by
+      ``kind``, the next graph G' (``kind=g``) and the nodes resolved so far
+      (``kind=r``): this round's tree rows, and the previous round's seeds.
+      A seed of round r is a round-r candidate (H(u) = {u}) that is not a
+      node of G_{r+1}; m of round r+1 has exactly one row per such node, so
+      the test is an anti join against a table this round computes anyway;
+    * the count of G' is the loop test (plus a degree aggregate counting hot
+      nodes when G' is larger than the hot threshold).
+
+    The round's m, H and q are persisted for the round only (q for one more,
+    for the seed test); a lost executor recomputes them from this round's
+    written G, never from earlier rounds. The lineage is cut once per round
+    by the written G'. Only scalars reach the driver.
     """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="contract")
     thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
+    act = ["active"] if activity else []
+    no_act = ["CAST(NULL AS BOOLEAN) AS active"] if activity else []
     g = edges if normalized else normalize(edges)
     if activity and "active" not in g.columns:
         g = g.withColumn("active", F.lit(True))
     # the input graph's lineage is one scan and one de-duplication: persisting
     # it is enough (a lost block is recomputed from the source, not a chain)
     g = g.persist()
-    resolved_path = f"{ws.root}/resolved"
+    first_g = g
+    steps = f"{ws.root}/steps"
     stats = graph_stats(g, thr)
     graph_log: list[dict] = []
+    prev_q = None
     r = 0
     while stats["edges"] > 0:
         if max_rounds is not None and r >= max_rounds:
@@ -225,28 +237,58 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
         m = local_minima(g, activity).persist()   # read twice: the join and own rows
         h = _sent(g, m, prune_strategy, activity, thr, stats["hot"]).persist()
         q = summarize(h, activity).persist()
-        g_next = ws.save(prune(h, q, prune_strategy, activity, thr + 1, stats["hot"]), f"g{r}")
-        tree_r = deactivated(q, r).selectExpr("child AS node", "parent")
-        seeds_r = tracked_seeds(q, g_next, r, seed_strategy, activity).selectExpr(
-            "node", "node AS parent")
-        # round=r sub-folders: the round column comes back by partition discovery
-        tree_r.unionByName(seeds_r).write.mode("errorifexists").parquet(
-            f"{resolved_path}/round={r}")
-        stats = graph_stats(g_next, thr)
-        for cached in (m, h, q):
+        nxt = prune(h, q, prune_strategy, activity, thr + 1, stats["hot"])
+        rows = [nxt.selectExpr("src AS a", "dst AS b", *act, f"CAST({r} AS INT) AS round",
+                               "'g' AS kind"),
+                deactivated(q, r).selectExpr("child AS a", "parent AS b", *no_act, "round",
+                                             "'r' AS kind")]
+        if prev_q is not None:
+            live = m.select("node")
+            if seed_strategy == "broadcast":
+                live = F.broadcast(live) if live.count() <= MAX_BROADCAST_ROWS else live.hint("merge")
+            elif seed_strategy == "shuffle":
+                live = live.hint("merge")
+            rows.append(_seed_candidates(prev_q, activity).join(live, "node", "left_anti")
+                        .selectExpr("node AS a", "node AS b", *no_act,
+                                    f"CAST({r - 1} AS INT) AS round", "'r' AS kind"))
+        out = rows[0]
+        for extra in rows[1:]:
+            out = out.unionByName(extra)
+        out.write.mode("errorifexists").partitionBy("kind").parquet(f"{steps}/step={r}")
+        g_path = f"{steps}/step={r}/kind=g"
+        if ws.exists(g_path):
+            g_next = ws.adopt(spark.read.schema(
+                "a BIGINT, b BIGINT" + (", active BOOLEAN" if activity else "")).parquet(g_path)
+                .selectExpr("a AS src", "b AS dst", *act), g_path)
+            stats = graph_stats(g_next, thr)
+        else:
+            g_next, stats = None, {"edges": 0, "hot": 0}
+        for cached in (m, h) + ((prev_q,) if prev_q is not None else ()):
             cached.unpersist()
-        if r == 1:
+        if g is first_g:
             g.unpersist()
         ws.release(g)
-        g = g_next
-    if r == 0:
+        prev_q, g = q, g_next
+    if prev_q is not None:
+        # seeds of the last round: candidates not in the graph left over (none
+        # when the loop ran to the end, so every candidate is a seed)
+        last = _seed_candidates(prev_q, activity)
+        if g is not None and stats["edges"] > 0:
+            last = last.join(g.selectExpr("src AS node").distinct(), "node", "left_anti")
+        (last.selectExpr("node AS a", "node AS b", *no_act, f"CAST({r} AS INT) AS round",
+                         "'r' AS kind")
+             .write.mode("errorifexists").partitionBy("kind").parquet(f"{steps}/step={r + 1}"))
+        prev_q.unpersist()
+    if g is first_g:
         g.unpersist()
     ws.release(g)
     if r == 0:
-        spark.createDataFrame([], "node BIGINT, parent BIGINT").write.parquet(
-            f"{resolved_path}/round=0")
-    resolved = (spark.read.schema("node BIGINT, parent BIGINT, round INT")
-                .parquet(resolved_path))
+        resolved = spark.createDataFrame([], "node BIGINT, parent BIGINT, round INT")
+    else:
+        resolved = (spark.read.schema(
+            "a BIGINT, b BIGINT" + (", active BOOLEAN" if activity else "")
+            + ", round INT, step INT, kind STRING").parquet(steps)
+            .where("kind = 'r'").selectExpr("a AS node", "b AS parent", "round"))
     return ContractionResult(resolved, r, graph_log, ws)
 
 

@@ -34,6 +34,17 @@ class Workspace:
         out._linkset_path = path
         return out
 
+    def adopt(self, df: DataFrame, path: str) -> DataFrame:
+        """Mark a frame read from ``path`` (written by the caller) for release."""
+        df._linkset_path = path
+        return df
+
+    def exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+
     def release(self, *frames: DataFrame | None) -> None:
         """Delete the files behind frames returned by :meth:`save`."""
         for df in frames:
