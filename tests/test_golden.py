@@ -4,7 +4,8 @@ from conftest import union_find
 
 from linkset.operators.contract import contract
 from linkset.operators.propagate import (direct_edges, propagate_jump, propagate_layers,
-                                         propagate_naive, root_of, unresolved_edges)
+                                         propagate_naive, propagate_shrinking, root_of,
+                                         unresolved_edges)
 from linkset.operators.seeds import seeds_antijoin, seeds_except, seeds_outer
 from linkset.operators.stars import star_components
 from linkset.plans.solve import connected_components
@@ -93,8 +94,12 @@ def test_deep_tree_propagation_variants(spark):
     assert sorted(v[1] for v in lay.values()) == [0, 0, 1, 1, 2, 2, 3, 4]
     jump = {r["node"]: r["component"] for r in propagate_jump(tree, seeds).collect()}
     assert jump == {**want, 0: 0, 9: 9}
+    shrink = {r["node"]: r["component"] for r in propagate_shrinking(tree, seeds).collect()}
+    assert shrink == want
     naive = propagate_naive(tree, seeds)
     assert naive.count() == 6  # one row per tree row: no duplicates
+    bnaive = propagate_naive(tree, seeds, strategy="broadcast")
+    assert {r["child"]: r["seed"] for r in bnaive.collect()} == want
     assert {r["child"]: r["seed"] for r in naive.collect()} == want
     assert rows(direct_edges(tree, seeds), "parent", "child") == [(0, 1), (9, 10)]
     assert rows(unresolved_edges(tree, seeds), "parent", "child") == [(1, 2), (2, 3), (3, 4), (10, 11)]
