@@ -7,10 +7,11 @@ complete before it becomes current (the pointer is only advanced after the
 write), so a failed batch is simply replayed by Structured Streaming from its
 checkpoint.
 
-Only the nodes touched by the batch can change component, but their new
-component may relabel an arbitrary number of old nodes, so each batch solves
-the merged forest as a whole; the forest has one edge per node and few
-rounds.
+Only components that contain a node of the batch can change, so each batch
+solves just those components (their forest rows plus the new edges) and keeps
+every other row as it is. The touched components are found with one join of
+the batch's nodes to the table; their ids are broadcast only after a count
+check, else the split is a shuffle join.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from linkset.functions.schema import COMPONENTS
 from linkset.operators.graph import as_edges
 from linkset.operators.merge import merge_components
+from linkset.plans.joins import MAX_BROADCAST_ROWS
 from linkset.plans.session import checkpoint_dir
 
 
@@ -39,11 +41,22 @@ class ComponentTable:
 
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` handler: fold one batch of ``(src, dst)`` edges in."""
-        edges = as_edges(batch)
-        merged = merge_components(self.current(), extra_edges=edges)
+        edges = as_edges(batch).persist()
+        current = self.current()
+        touched_nodes = edges.selectExpr("explode(array(src, dst)) AS node").distinct()
+        touched = (current.join(touched_nodes, "node", "left_semi")
+                          .select("component").distinct().persist())
+        n_touched = touched.count()
+        side = F.broadcast(touched) if n_touched <= MAX_BROADCAST_ROWS else touched
+        affected = current.join(side, "component", "left_semi")
+        kept = current.join(side, "component", "left_anti")
+        merged = merge_components(affected, extra_edges=edges).select("node", "component")
         nxt = self.version + 1
-        merged.select("node", "component").write.mode("overwrite").parquet(f"{self.root}/v={nxt}")
+        kept.select("node", "component").unionByName(merged).write.mode("overwrite").parquet(
+            f"{self.root}/v={nxt}")
         self.version = nxt
+        touched.unpersist()
+        edges.unpersist()
 
 
 def run_incremental(stream: DataFrame, table: ComponentTable, checkpoint: str | None = None,
