@@ -50,9 +50,16 @@ def query(name: str, oracle: str | None = None):
 _CONTRACTIONS: dict[tuple, C.ContractionResult] = {}
 
 
+def _session_key(spark: SparkSession):
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        return id(spark)
+
+
 def contraction(spark: SparkSession, sf_dir: str, graph: str, **kw) -> C.ContractionResult:
     """Contraction of a test graph, computed once per session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, graph, tuple(sorted(kw.items())))
+    key = (_session_key(spark), sf_dir, graph, tuple(sorted(kw.items())))
     if key not in _CONTRACTIONS:
         _CONTRACTIONS[key] = C.contract(TG.GRAPHS[graph](spark, sf_dir), **kw)
     return _CONTRACTIONS[key]
@@ -513,7 +520,7 @@ _STARS: dict[tuple, ST.StarResult] = {}
 
 
 def _stars(spark, sf_dir, graph="order_part") -> ST.StarResult:
-    key = (spark.sparkContext.applicationId, sf_dir, graph)
+    key = (_session_key(spark), sf_dir, graph)
     if key not in _STARS:
         _STARS[key] = ST.star_components(TG.GRAPHS[graph](spark, sf_dir))
     return _STARS[key]

@@ -40,10 +40,17 @@ class Workspace:
         return df
 
     def exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
+        try:
+            jvm = self.spark.sparkContext._jvm
+            hpath = jvm.org.apache.hadoop.fs.Path(path)
+            fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            return bool(fs.exists(hpath))
+        except Exception:  # no JVM handle (Spark Connect): ask the reader
+            try:
+                self.spark.read.parquet(path).schema
+                return True
+            except Exception:
+                return False
 
     def release(self, *frames: DataFrame | None) -> None:
         """Delete the files behind frames returned by :meth:`save`."""
