@@ -9,8 +9,8 @@ seed at the top of its chain.
   step k joins the tree against a table that shrinks quickly (the deep layers
   are tiny and broadcast after a size check).
 * :func:`propagate_jump` (§4.3) — pointer jumping, ⌈log2 depth⌉ joins.
-* :func:`propagate_naive` (P1/P4) — the reference's "join everything again
-  until nothing is null" loop, with set semantics; emits (parent, seed, child).
+* :func:`propagate_naive` (P1/P4) — "join everything again until nothing is
+  null", with set semantics; emits (parent, seed, child).
 
 Each step's output is written to the workspace, so no step replays earlier
 ones, and a lost executor costs one step, not the chain.
@@ -46,7 +46,7 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
     """``(node, component, depth)``; roots have depth 0.
 
     With ``include_roots=False`` only tree children are returned (the
-    reference's P2/P3 output, which omits the roots).
+    layered output that omits the roots).
     """
     spark = tree.sparkSession
     ws = workspace or Workspace(spark, label="propagate")

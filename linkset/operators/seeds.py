@@ -1,7 +1,7 @@
 """Seeds recovered from a finished forest.
 
 A seed is a node that is a parent and never a child. Three equivalent forms
-(the reference benchmarks them against each other); all three dedupe each
+(kept so they can be compared against each other); all three dedupe each
 side map-side first, so a parent with millions of children costs one row per
 task before the shuffle. A node whose only edge is a self-loop has no tree
 row and is not found here — use the tracked seeds of the contraction for that.

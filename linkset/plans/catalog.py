@@ -143,7 +143,7 @@ def q_edges_csv(spark, sf_dir):
     e = TG.order_part(spark, sf_dir)
     ws = _ws(spark, "io")
     path = f"{ws.root}/csv"
-    # a third field on every line, as in the reference's edge files; it is ignored
+    # a third field (a weight) on every line, as in weighted edge files; it is ignored
     SRC.write_edges(e.select("src", "dst", (F.col("src") + F.col("dst")).alias("w")), path)
     return SRC.read_edges(spark, path, ",")
 

@@ -17,7 +17,7 @@ def spark():
 
 
 def union_find(edges):
-    """Reference labels: node -> smallest id of its component."""
+    """Expected labels: node -> smallest id of its component."""
     parent = {}
 
     def find(x):
