@@ -425,6 +425,15 @@ def q_cc_cust_nation(spark, sf_dir):
     return connected_components(TG.cust_nation(spark, sf_dir))
 
 
+@query("cc_named",
+       "WITH RECURSIVE g0 AS (SELECT c_name AS src, n_name AS dst FROM customer "
+       "JOIN nation ON c_nationkey = n_nationkey), " + SYM + ", " + LABELS +
+       " SELECT node AS name, component FROM lab")
+def q_cc_named(spark, sf_dir):
+    from linkset.plans.solve import connected_components_named
+    return connected_components_named(TG.cust_nation_names(spark, sf_dir))
+
+
 # -- P: propagation --------------------------------------------------------------------
 
 _CH_DEPTH = _with(_g("order_chain"), SYM, _rounds(), DEPTH)

@@ -41,3 +41,29 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
     return propagate_layers(res.tree, res.seeds, strategy=prune_strategy,
                             hot_threshold=hot_threshold, max_depth=res.rounds,
                             workspace=ws).select("node", "component")
+
+
+def connected_components_named(edges: DataFrame, *, src: str = "src", dst: str = "dst",
+                               **kw) -> DataFrame:
+    """``(name, component)`` for string node names (S7 + G8 + CC).
+
+    Names get dense ids in name order, the id graph is solved, and ids are
+    mapped back. Because ids follow name order, the smallest id of a component
+    is its smallest name, so ``component`` is the component's smallest name.
+    """
+    from pyspark.sql import functions as F
+
+    from linkset.operators.ids import dense_ids, node_names, relabel
+    from linkset.plans.joins import find_hot, join_keyed
+    named = edges.select(F.col(src).cast("string").alias("src"),
+                         F.col(dst).cast("string").alias("dst"))
+    ws = kw.pop("workspace", None) or Workspace(edges.sparkSession, label="cc-named")
+    ids = dense_ids(node_names(named), workspace=ws)
+    labels = connected_components(relabel(named, ids), workspace=ws, **kw)
+    by_id = ids.select(F.col("id").alias("node"), "name")
+    back = ids.select(F.col("id").alias("component"), F.col("name").alias("component_name"))
+    named_nodes = labels.join(by_id, "node")      # one-to-one on node
+    # a big component is a hot key of the second join: split it off
+    hot = find_hot(labels, "component", kw.get("hot_threshold"))
+    return (join_keyed(named_nodes, back, "component", hot=hot)
+            .select("name", F.col("component_name").alias("component")))

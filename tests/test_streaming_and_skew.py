@@ -51,3 +51,13 @@ def test_dominant_hub(spark):
     assert got == union_find(edges)
     plain = contract(df)
     assert sorted(map(tuple, res.resolved.collect())) == sorted(map(tuple, plain.resolved.collect()))
+
+
+def test_named_components_with_hot_names(spark):
+    from linkset.plans.solve import connected_components_named
+    rows = [(f"c{i:04d}", "hub") for i in range(300)] + [("x", "y"), ("y", "z")]
+    df = spark.createDataFrame(rows, "src STRING, dst STRING")
+    got = {r["name"]: r["component"]
+           for r in connected_components_named(df, hot_threshold=50).collect()}
+    assert got["hub"] == "c0000" and got["c0299"] == "c0000"
+    assert got["z"] == "x" and len(got) == 304
