@@ -20,7 +20,10 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
     """``(node, component)`` for every node; component = smallest id in it.
 
     ``edges`` is any table with two id columns; a null second id marks an
-    isolated vertex. The result can be joined straight back to the input.
+    isolated vertex. The result can be joined straight back to the input. It
+    reads files under the run's workspace folder (in ``spark.checkpoint.dir``);
+    pass your own ``workspace`` and call ``workspace.close()`` once the result
+    has been written elsewhere.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {ALGORITHMS}")

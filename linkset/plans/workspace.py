@@ -62,6 +62,11 @@ class Workspace:
                 self._delete(path)
                 df._linkset_path = None
 
+    def close(self) -> None:
+        """Delete everything this run wrote, results included. Call it once the
+        results have been written elsewhere or are no longer needed."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
