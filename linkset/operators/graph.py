@@ -123,15 +123,24 @@ def peek(df: DataFrame, n: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 123) -> DataFrame:
-    """``n`` rows drawn uniformly without replacement (seeded).
+    """``n`` rows drawn uniformly without replacement (seeded), for small
+    ``n`` (a peek).
 
     Each row gets a seeded random key; a top-``n`` on that key is a bounded
     per-task heap plus one merge of ``n`` rows per task, never a global sort.
+    The merge handles ``n`` rows per task in one place, so for large samples
+    use :func:`sample_fraction`.
     """
     return (df.withColumn("_r", F.rand(seed))
               .orderBy("_r").limit(n).drop("_r"))
 
 
+def sample_fraction(df: DataFrame, fraction: float, seed: int = 123) -> DataFrame:
+    """G12 for large samples: each row kept with probability ``fraction``,
+    decided inside its own task (no merge anywhere)."""
+    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+
+
 def disjoint_copies(edges: DataFrame, k: int, offset: int | None = None) -> DataFrame:
     """``k`` disjoint copies of a graph, copy ``i`` shifted by ``i * offset``.
 
