@@ -68,8 +68,10 @@ def main() -> None:
                           extra={"spark.ui.showConsoleProgress": "false"})
     # JVM warm-up on a smaller table set (not timed): the same plans at a
     # different scale, so JIT and codegen caches are warm as in a long session
-    warm = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
-    if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf):
+    base = os.path.dirname(sf.rstrip("/"))
+    warm = next((d for d in (os.path.join(base, n) for n in ("sf0.01", "sf0.001"))
+                 if os.path.isdir(d) and os.path.abspath(d) != os.path.abspath(sf)), None)
+    if warm is not None:
         for graph in ("order_part", "order_chain"):
             _run(connected_components(TG.GRAPHS[graph](spark, warm)))
         _run(star_components(TG.order_part(spark, warm)).components)
