@@ -540,6 +540,11 @@ def q_cc_stars(spark, sf_dir):
     return _stars(spark, sf_dir).components
 
 
+@query("cc_stars_chain", _labels_sql("order_chain"))
+def q_cc_stars_chain(spark, sf_dir):
+    return _stars(spark, sf_dir, "order_chain").components
+
+
 @query("component_members",
        _with(_g("order_part"), SYM, LABELS) +
        f"SELECT component, node >> {BLOCK_BITS} AS block, "
