@@ -147,3 +147,17 @@ def test_root_lookup_unknown_node(spark):
     asked = spark.createDataFrame([(5,), (10,), (99,)], "node BIGINT")
     got = {r["node"]: r["component"] for r in root_of(asked, comp).collect()}
     assert got == {5: 0, 10: 9, 99: 99}
+
+
+def test_intermediate_graphs_are_released(spark):
+    """Only resolved rows stay in the workspace: every round's graph is deleted."""
+    import os
+    res = contract(edges_from_rows(spark, G14))
+    root = res.workspace.root
+    if root.startswith("file:"):
+        root = root[len("file:"):]
+    if not os.path.isdir(root):
+        return  # not a local folder: nothing to inspect here
+    kinds = {d for _, dirs, _ in os.walk(root) for d in dirs if d.startswith("kind=")}
+    assert kinds == {"kind=r"}
+    assert res.seeds.count() == 2 and res.tree.count() == 14
