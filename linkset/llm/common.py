@@ -100,26 +100,50 @@ def arrow_limits(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
-def classes(members: DataFrame, key: str, id_col: str, links: DataFrame,
-            spread: Sequence[str], workspace: Workspace) -> DataFrame:
-    """Adds ``component_id`` to ``members``: the smallest id reachable by links.
-
-    ``members`` has one row per item, ``key`` names its class of equal items
-    (never null, the value is a long that also stands for the class in
-    ``links``), ``links(src, dst)`` joins classes. Ids may be null; a component
-    with null ids only gets null. Both inputs should be written tables.
+def class_labels(members: DataFrame, key: str, id_col: str, links: DataFrame,
+                 workspace: Workspace) -> DataFrame:
+    """One row per class of equal items: ``key component component_id n``.
+
+    ``members`` has one row per item, ``key`` (a long, never null) names its
+    class, ``links(src, dst)`` joins classes. ``component`` labels the linked
+    classes, ``component_id`` is the smallest id in them (null if all of them
+    are null), ``n`` the number of items. Both inputs must be written tables.
     """
     sizes = workspace.save(members.groupBy(key).agg(F.min(id_col).alias("_id"),
-                                                    F.count(F.lit(1)).alias("_n")), "classes")
+                                                    F.count(F.lit(1)).alias("n")), "classes")
     if links.isEmpty():
-        label = sizes.select(key, F.col("_id").alias("component_id"), "_n")
-        return attach(members, label, [key], "_n", spread)
+        return sizes.select(key, F.col(key).alias("component"), F.col("_id").alias("component_id"), "n")
     solved = workspace.save(connected_components(links), "components")
-    linked = sizes.join(solved.withColumnRenamed("node", key), key, "left")
-    least = (linked.where(F.col("component").isNotNull())
-             .groupBy("component").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_m")))
-    least = workspace.save(least, "least")
-    named = attach(linked, least, ["component"], "_m", [key])
-    label = workspace.save(named.select(
-        key, F.coalesce("_least", "_id").alias("component_id"), "_n"), "labels")
-    return attach(members, label, [key], "_n", spread)
+    linked = workspace.save(sizes.join(solved.withColumnRenamed("node", key), key, "left")
+                            .withColumn("component", F.coalesce("component", key)), "linked")
+    least = workspace.save(linked.groupBy("component").agg(
+        F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("_m")), "least")
+    return workspace.save(attach(linked, least, ["component"], "_m", [key]).select(
+        key, "component", "component_id", "n"), "labels")
+
+
+class Forest:
+    """Union-find over the links of one task; ``edges`` is a forest with the
+    same components, so a task never sends on all links of a dense group."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        root = x
+        while (nxt := up.get(root, root)) != root:
+            root = nxt
+        while up.get(x, x) != root:
+            up[x], x = root, up[x]
+        return root
+
+    def link(self, a, b) -> None:
+        ra, rb = self.find(a), self.find(b)
+        self.up.setdefault(ra, ra)
+        self.up.setdefault(rb, rb)
+        if ra != rb:
+            self.up[max(ra, rb)] = min(ra, rb)
+
+    def edges(self) -> list[tuple]:
+        return [(x, r) for x in self.up if (r := self.find(x)) != x]

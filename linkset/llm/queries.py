@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from linkset.llm.mixing import op7_quality_mix
 from linkset.llm.packing import op8_length_buckets
+from linkset.llm.pii import op2_pii_bootstrap
 from linkset.llm.quality import op5_quality_rules
+from linkset.llm.simhash import op10_simhash_trie
 
 QUERIES = {f.__name__: f for f in (
-    op5_quality_rules, op7_quality_mix, op8_length_buckets)}
+    op2_pii_bootstrap, op5_quality_rules, op7_quality_mix, op8_length_buckets, op10_simhash_trie)}
 
 ORACLES: dict[str, str] = {}
