@@ -7,8 +7,11 @@ from linkset.llm.packing import op8_length_buckets
 from linkset.llm.pii import op2_pii_bootstrap
 from linkset.llm.quality import op5_quality_rules
 from linkset.llm.simhash import op10_simhash_trie
+from linkset.llm.tokens import op4_arrow_tokens
+from linkset.llm.warc import OP1_SQL, op1_warc_assembly
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii_bootstrap, op5_quality_rules, op7_quality_mix, op8_length_buckets, op10_simhash_trie)}
+    op1_warc_assembly, op2_pii_bootstrap, op4_arrow_tokens, op5_quality_rules,
+    op7_quality_mix, op8_length_buckets, op10_simhash_trie)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc_assembly": OP1_SQL}
