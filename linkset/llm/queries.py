@@ -6,12 +6,14 @@ from linkset.llm.mixing import op7_quality_mix
 from linkset.llm.packing import op8_length_buckets
 from linkset.llm.pii import op2_pii_bootstrap
 from linkset.llm.quality import op5_quality_rules
+from linkset.llm.repeats import OP9_SQL, op9_seed_extend
 from linkset.llm.simhash import op10_simhash_trie
 from linkset.llm.tokens import op4_arrow_tokens
+from linkset.llm.toxicity import op6_toxicity_crf
 from linkset.llm.warc import OP1_SQL, op1_warc_assembly
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_assembly, op2_pii_bootstrap, op4_arrow_tokens, op5_quality_rules,
-    op7_quality_mix, op8_length_buckets, op10_simhash_trie)}
+    op6_toxicity_crf, op7_quality_mix, op8_length_buckets, op9_seed_extend, op10_simhash_trie)}
 
-ORACLES: dict[str, str] = {"op1_warc_assembly": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc_assembly": OP1_SQL, "op9_seed_extend": OP9_SQL}
