@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -154,7 +155,7 @@ def read_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
         for b in batches:
             for uri in b.column(0).to_pylist():
-                with files.open_in(uri) as raw, (gzip.open(raw) if uri.endswith(".gz") else raw) as f:
+                with files.open_in(uri) as raw, gzip.open(raw) if uri.endswith(".gz") else io.BufferedReader(raw) as f:
                     for h, block in parse(f):
                         one = lambda k: h.get(k, [None])[0]  # noqa: B023,E731
                         http = "application/http" in (one("content-type") or "")

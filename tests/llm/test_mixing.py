@@ -1,0 +1,79 @@
+import random
+
+from linkset.llm import mixing
+
+
+def targets(sizes, weights=(5, 2, 1)):
+    """Shares with a cap, reshared until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, out = float(sum(sizes.values())), set(names), {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = {s for s in open_ if left * w[s] / total > 3 * sizes[s]}
+        if not over:
+            return out | {s: left * w[s] / total for s in open_}
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+def corpus():
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        s = rng.choice(["a", "a", "a", "b", "c", "d", None])
+        rows.append((i, " ".join(["wé1"] * rng.randint(0, 60)), "en", s))
+    rows += [(1000, "one", "en", "tiny"), (1001, None, "en", "empty"), (None, "no id at all", "en", "b")]
+    rows += [(2007, "same row", "en", "c")] * 3
+    return rows
+
+
+def test_targets_and_taken(spark, ws, docs):
+    rows = corpus()
+    got = mixing.mix(docs(rows), ws).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = targets(sizes)
+    assert sorted(r.size for r in got) == sorted(len((t or "").split()) for _, t, *_ in rows)
+    source = {i: s for i, _, _, s in rows}
+    by = {}
+    for r in got:
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s])
+        assert r.taken % max(1, r.size) == 0 and r.taken <= 3 * r.size
+        assert r.taken >= r.size * int(r.target // max(1, r.source_size)) or r.size == 0
+        by[s] = by.get(s, 0) + r.taken
+    for s, n in by.items():
+        assert abs(n - want[s]) <= 30, (s, n, want[s])
+
+
+def test_reruns_and_the_mix_agree(spark, ws, docs):
+    df = docs(corpus())
+    one = sorted(map(tuple, mixing.mix(df, ws).collect()), key=repr)
+    assert one == sorted(map(tuple, mixing.mix(df.repartition(5), ws).collect()), key=repr)
+    out = mixing.mixed(df, ws)
+    assert out.columns == df.columns
+    assert sum(len((r.text or "").split()) for r in out.collect()) == sum(r[4] for r in one)
+
+
+def test_weights_move_the_sample(spark, ws, docs):
+    """Of two kinds of documents, the one with more letters is drawn more often."""
+    rows = [(i, "abcdefgh " * 10 if i % 2 else "1234567a " * 10, "en", "x") for i in range(600)]
+    rows += [(1000 + i, "word " * 10, "en", "y") for i in range(600)]
+    got = mixing.mix(docs(rows), ws).where("taken = 0 or taken = 10").collect()
+    taken = {p: sum(r.taken > 0 for r in got if r.doc_id >= 1000) for p in (0,)}
+    assert taken[0] < 600
+    one = {r.doc_id: r.taken for r in mixing.mix(docs(rows), ws).collect()}
+    extra = lambda p: sum(one[i] > min(one[j] for j in range(600)) for i in range(p, 600, 2))
+    assert extra(1) > extra(0)
+
+
+def test_empty(spark, ws, docs):
+    assert mixing.mix(docs([]), ws).count() == 0
+    assert mixing.mixed(docs([]), ws).count() == 0
+    assert [tuple(r)[1:] for r in mixing.mix(docs([(1, None), (2, " ")]), ws).collect()] == [(0, 0, 0.0, 0)] * 2
