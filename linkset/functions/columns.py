@@ -10,14 +10,3 @@ def sorted_text(col: str | Column, sep: str = ";") -> Column:
     """An id array as text, ascending, so results hash alike across engines."""
     c = F.col(col) if isinstance(col, str) else col
     return F.array_join(F.transform(F.sort_array(c), lambda x: x.cast("string")), sep)
-
-
-# Id lists are cut into blocks of ids sharing ``id >> BLOCK_BITS``: ids in one
-# list are distinct, so a block never holds more than 2**BLOCK_BITS of them,
-# however large the node's neighbourhood or the component is.
-BLOCK_BITS = 20
-
-
-def id_block(col: str | Column, bits: int = BLOCK_BITS) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.shiftright(c, bits)

@@ -22,28 +22,7 @@ STRING_EDGES = T.StructType([
     T.StructField("dst", T.StringType(), True),
 ])
 
-ADJACENCY = T.StructType([
-    T.StructField("node", T.LongType(), False),
-    T.StructField("nn", T.ArrayType(T.LongType(), False), False),
-])
-
-TREE = T.StructType([
-    T.StructField("parent", T.LongType(), False),
-    T.StructField("child", T.LongType(), False),
-    T.StructField("round", T.IntegerType(), False),
-])
-
-SEEDS = T.StructType([
-    T.StructField("node", T.LongType(), False),
-    T.StructField("round", T.IntegerType(), False),
-])
-
 COMPONENTS = T.StructType([
     T.StructField("node", T.LongType(), False),
     T.StructField("component", T.LongType(), False),
 ])
-
-ID_MAP = T.StructType([
-    T.StructField("name", T.StringType(), False),
-    T.StructField("id", T.LongType(), False),
-])

@@ -7,7 +7,7 @@ One round over a symmetric edge table ``g(src, dst)``::
     q(u)   = min H(u), |H(u)| = 1, u ∈ H(u)              summarize
     G'     = {(vm(u), w), (w, vm(u)) : w ∈ H(u) \\ vm(u)}  prune
     T     += {(vm(u), u) : u ∉ H(u)}                     deactivated
-    Seeds += {u : H(u) = {u}, u ∉ G'}                    tracked_seeds
+    Seeds += {u : H(u) = {u}, u ∉ G'}                    contract
 
 Everything stays flat (one row per edge, never a neighbour array), so a hub's
 neighbourhood is spread over many tasks: every aggregate combines map-side and
@@ -22,8 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.functions.columns import BLOCK_BITS, id_block
 from linkset.operators.graph import distinct_edges, normalize, symmetrize
+from linkset.operators.lists import LIST_ROWS, id_lists
 from linkset.plans.joins import HOT_KEY_ROWS, MAX_BROADCAST_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
 
@@ -106,37 +106,14 @@ def root_candidates(q: DataFrame) -> DataFrame:
     return q.where(F.col("single") & F.col("self")).select("node")
 
 
-def tracked_seeds(q: DataFrame, g_next: DataFrame, round_no: int = 1,
-                  strategy: str = "auto", activity: bool = False) -> DataFrame:
-    """C4 (and C5 with ``activity``): seeds found in this round."""
-    cand = q.where("single AND self" + (" AND active" if activity else "")).select("node")
-    # One row per live node: the hub rows of G' collapse map-side before the shuffle.
-    live = g_next.selectExpr("src AS node").distinct()
-    if strategy == "broadcast":
-        live = F.broadcast(live) if live.count() <= MAX_BROADCAST_ROWS else live.hint("merge")
-    elif strategy == "shuffle":
-        live = live.hint("merge")
-    return (cand.join(live, "node", "left_anti")
-                .selectExpr("node", f"CAST({int(round_no)} AS INT) AS round"))
-
-
 # -- the driver loop ------------------------------------------------------------
 
-def graph_stats(g: DataFrame, hot_threshold: int | None = None) -> dict:
-    """Rows of a symmetric edge table and how many of its nodes are hot.
-
-    No node can have more than ``rows`` edges, so when ``rows`` is within the
-    threshold a plain count settles it. Otherwise one aggregate computes the
-    degrees (combined map-side) and returns one row: the exact number of hot
-    nodes, which is at most ``rows / threshold``.
-    """
-    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
-    rows = g.count()
-    if rows <= thr:
-        return {"edges": rows, "hot": 0}
-    deg = g.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    row = deg.agg(F.count(F.when(F.col("d") > thr, 1)).alias("hot")).first()
-    return {"edges": rows, "hot": int(row["hot"] or 0)}
+def round_stats(m: DataFrame, hot_threshold: int) -> dict:
+    """Edge rows and hot nodes of a round's graph, from its minima table: the
+    degrees are there, so one pass over one row per node settles both."""
+    row = m.agg(F.sum("deg").alias("edges"),
+                F.count(F.when(F.col("deg") > hot_threshold, 1)).alias("hot")).first()
+    return {"edges": int(row["edges"] or 0), "hot": int(row["hot"])}
 
 
 @dataclass
@@ -190,53 +167,52 @@ def _seed_candidates(q: DataFrame, activity: bool = False) -> DataFrame:
 
 def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str = "auto",
              seed_strategy: str = "auto", activity: bool = False,
-             hot_threshold: int | None = None, max_rounds: int | None = None,
+             hot_threshold: int | None = None,
              workspace: Workspace | None = None) -> ContractionResult:
     """Run rounds until the graph is empty.
 
     ``edges`` is any ``(src, dst)`` table; it is normalised (G1+G3, S8) unless
-    ``normalized``. Each round runs one write and one count:
-
-    * the write computes m, H (as a bag) and q, and stores, partitioned by
-      ``kind``, the next graph G' (``kind=g``) and the nodes resolved so far
-      (``kind=r``): this round's tree rows, and the previous round's seeds.
-      A seed of round r is a round-r candidate (H(u) = {u}) that is not a
-      node of G_{r+1}; m of round r+1 has exactly one row per such node, so
-      the test is an anti join against a table this round computes anyway;
-    * the count of G' is the loop test (plus a degree aggregate counting hot
-      nodes when G' is larger than the hot threshold).
-
-    The round's m, H and q are persisted for the round only (q for one more,
-    for the seed test); a lost executor recomputes them from this round's
-    written G, never from earlier rounds. The lineage is cut once per round
-    by the written G'. Only scalars reach the driver.
+    ``normalized``, and written once. With ``activity``, a node that starts
+    with a False flag makes no seed of a component it is part of: flags are
+    combined with AND along every edge row.
+
+    A round computes m, takes the number of edges (the loop test) and of hot
+    nodes from it, writes H and q, and then writes, partitioned by ``kind``, the
+    next graph G' (``kind=g``) and the nodes resolved so far (``kind=r``):
+    this round's tree rows, and the previous round's seeds. A seed of round r
+    is a round-r candidate (H(u) = {u}) that is not a node of G_{r+1}; m of
+    round r+1 has exactly one row per such node, so the test is an anti join
+    against a table this round computes anyway.
+
+    Only m, one row per node, is persisted, for its round; a lost executor
+    recomputes it from this round's written G. What ends the loop is an empty minima table: an error
+    while reading the round's files is raised. Only scalars reach the driver.
     """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="contract")
     thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
     act = ["active"] if activity else []
     no_act = ["CAST(NULL AS BOOLEAN) AS active"] if activity else []
+    flag = ", active BOOLEAN" if activity else ""
     g = edges if normalized else normalize(edges)
     if activity and "active" not in g.columns:
         g = g.withColumn("active", F.lit(True))
-    # the input graph's lineage is one scan and one de-duplication: persisting
-    # it is enough (a lost block is recomputed from the source, not a chain)
-    g = g.persist()
-    first_g = g
-    steps = f"{ws.root}/steps"
-    stats = graph_stats(g, thr)
+    g = ws.save(g.select("src", "dst", *act), "graph")
+    steps = ws.folder("rounds")
     graph_log: list[dict] = []
     prev_q = None
     r = 0
-    while stats["edges"] > 0:
-        if max_rounds is not None and r >= max_rounds:
+    while True:
+        m = local_minima(g, activity).persist()
+        stats = round_stats(m, thr)
+        if stats["edges"] == 0:
+            m.unpersist()
             break
         r += 1
         graph_log.append({"round": r, "edges": stats["edges"]})
         # hot nodes are those of degree > thr: in m (deg) and in q (n = deg + 1)
-        m = local_minima(g, activity).persist()   # read twice: the join and own rows
-        h = _sent(g, m, prune_strategy, activity, thr, stats["hot"]).persist()
-        q = summarize(h, activity).persist()
+        h = ws.save(_sent(g, m, prune_strategy, activity, thr, stats["hot"]), f"sent-{r}")
+        q = ws.save(summarize(h, activity), f"nodes-{r}")
         nxt = prune(h, q, prune_strategy, activity, thr + 1, stats["hot"])
         rows = [nxt.selectExpr("src AS a", "dst AS b", *act, f"CAST({r} AS INT) AS round",
                                "'g' AS kind"),
@@ -254,54 +230,35 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
         out = rows[0]
         for extra in rows[1:]:
             out = out.unionByName(extra)
-        out.write.mode("errorifexists").partitionBy("kind").parquet(f"{steps}/step={r}")
-        g_path = f"{steps}/step={r}/kind=g"
-        if ws.exists(g_path):
-            g_next = ws.adopt(spark.read.schema(
-                "a BIGINT, b BIGINT" + (", active BOOLEAN" if activity else "")).parquet(g_path)
-                .selectExpr("a AS src", "b AS dst", *act), g_path)
-            stats = graph_stats(g_next, thr)
-        else:
-            g_next, stats = None, {"edges": 0, "hot": 0}
-        for cached in (m, h) + ((prev_q,) if prev_q is not None else ()):
-            cached.unpersist()
-        if g is first_g:
-            g.unpersist()
-        ws.release(g)
+        step = f"{steps}/step={r}"
+        out.write.mode("errorifexists").partitionBy("kind").parquet(step)
+        g_next = ws.adopt(
+            spark.read.schema(f"a BIGINT, b BIGINT{flag}, kind STRING").parquet(step)
+            .where("kind = 'g'").selectExpr("a AS src", "b AS dst", *act), f"{step}/kind=g")
+        m.unpersist()
+        ws.release(g, h, prev_q)
         prev_q, g = q, g_next
     if prev_q is not None:
-        # seeds of the last round: candidates not in the graph left over (none
-        # when the loop ran to the end, so every candidate is a seed)
-        last = _seed_candidates(prev_q, activity)
-        if g is not None and stats["edges"] > 0:
-            last = last.join(g.selectExpr("src AS node").distinct(), "node", "left_anti")
-        (last.selectExpr("node AS a", "node AS b", *no_act, f"CAST({r} AS INT) AS round",
-                         "'r' AS kind")
-             .write.mode("errorifexists").partitionBy("kind").parquet(f"{steps}/step={r + 1}"))
-        prev_q.unpersist()
-    if g is first_g:
-        g.unpersist()
-    ws.release(g)
+        # the graph is empty: every candidate of the last round is a seed
+        (_seed_candidates(prev_q, activity)
+         .selectExpr("node AS a", "node AS b", *no_act, f"CAST({r} AS INT) AS round", "'r' AS kind")
+         .write.mode("errorifexists").partitionBy("kind").parquet(f"{steps}/step={r + 1}"))
+    ws.release(g, prev_q)
     if r == 0:
         resolved = spark.createDataFrame([], "node BIGINT, parent BIGINT, round INT")
     else:
-        resolved = (spark.read.schema(
-            "a BIGINT, b BIGINT" + (", active BOOLEAN" if activity else "")
-            + ", round INT, step INT, kind STRING").parquet(steps)
-            .where("kind = 'r'").selectExpr("a AS node", "b AS parent", "round"))
+        resolved = (spark.read.schema(f"a BIGINT, b BIGINT{flag}, round INT, step INT, kind STRING")
+                    .parquet(steps).where("kind = 'r'").selectExpr("a AS node", "b AS parent", "round"))
     return ContractionResult(resolved, r, graph_log, ws)
 
 
 # -- views over the forest ------------------------------------------------------
 
-def tree_children(tree: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """``(parent, block, children ARRAY<LONG>)``, children ascending.
-
-    A seed may have millions of children, so lists are cut by child-id block
-    (``child >> bits``): at most ``2**bits`` ids per row.
-    """
-    return (tree.groupBy("parent", id_block("child", bits).alias("block"))
-                .agg(F.sort_array(F.collect_set("child")).alias("children")))
+def tree_children(tree: DataFrame, per_row: int = LIST_ROWS) -> DataFrame:
+    """``(parent, block, children ARRAY<LONG>)``, children ascending; a seed
+    with more than ``per_row`` children has a row for each ``per_row`` of them."""
+    return (id_lists(tree.select("parent", "child").distinct(), "parent", "child", per_row)
+            .withColumnRenamed("ids", "children"))
 
 
 def component_count(seeds: DataFrame) -> DataFrame:

@@ -9,15 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.functions.columns import BLOCK_BITS, id_block, sorted_text
+from linkset.functions.columns import sorted_text
+from linkset.operators.lists import LIST_ROWS, id_lists
+from linkset.plans.joins import find_hot, join_keyed
+
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 def as_edges(df: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Project any pair of id columns to the canonical ``(src, dst)`` shape.
 
     A null ``src`` row is dropped; a null ``dst`` marks an isolated vertex and
-    becomes the self-loop ``(src, src)`` (S8).
+    becomes the self-loop ``(src, src)`` (S8). Ids must be of an integral type:
+    a cast from any other could make one node of two.
     """
+    types = dict(df.select(F.col(src).alias("s"), F.col(dst).alias("d")).dtypes)
+    wrong = {c: t for c, t in ((src, types["s"]), (dst, types["d"])) if t not in INTEGRAL and t != "void"}
+    if wrong:
+        raise TypeError(f"node ids must be integers, got {wrong}; give names dense ids first")
     s = F.col(src).cast("long")
     d = F.col(dst).cast("long")
     return (df.where(s.isNotNull())
@@ -51,20 +60,20 @@ def normalize(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
     return distinct_edges(symmetrize(as_edges(edges, src, dst)))
 
 
-def adjacency(edges: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def adjacency(edges: DataFrame, per_row: int = LIST_ROWS) -> DataFrame:
     """``(node, block, nn ARRAY<LONG>)`` — export form; the rounds never use it.
 
-    A hub's neighbour list is cut by neighbour-id block (``dst >> bits``), so
-    no row holds more than ``2**bits`` ids; small graphs get one row per node.
+    One row per node; a hub with more than ``per_row`` neighbours has a row
+    (``block`` 0, 1, ...) for each ``per_row`` of them, in ascending order.
     """
-    return (edges.groupBy(F.col("src").alias("node"), id_block("dst", bits).alias("block"))
-                 .agg(F.sort_array(F.collect_set("dst")).alias("nn")))
+    pairs = edges.select(F.col("src").alias("node"), "dst").distinct()
+    return id_lists(pairs, "node", "dst", per_row).withColumnRenamed("ids", "nn")
 
 
-def adjacency_text(edges: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def adjacency_text(edges: DataFrame, per_row: int = LIST_ROWS) -> DataFrame:
     """S10 line form ``node<TAB>n1;n2;...``, neighbours ascending; one line per
-    node and neighbour-id block (a reader unions the lines of a node)."""
-    adj = adjacency(edges, bits)
+    node, and more only for hubs beyond ``per_row`` (a reader joins them)."""
+    adj = adjacency(edges, per_row)
     return adj.select("node", "block", F.concat_ws("\t", F.col("node").cast("string"),
                                                    sorted_text("nn", ";")).alias("line"))
 
@@ -110,45 +119,41 @@ def graph_counts(edges: DataFrame) -> DataFrame:
                      F.max("vertex_count").cast("long").alias("vertex_count")))
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, node_col: str = "node") -> DataFrame:
-    """Batch neighbour lookup — ``(node, neighbour)`` for every asked node."""
+def neighbours(edges: DataFrame, nodes: DataFrame, node_col: str = "node",
+               hot_threshold: int | None = None) -> DataFrame:
+    """Batch neighbour lookup — ``(node, neighbour)`` for every asked node.
+    Hubs' edges are looked up in place, the rest by a shuffle."""
     asked = nodes.select(F.col(node_col).cast("long").alias("src")).distinct()
-    return (edges.join(asked, "src", "left_semi")
+    hot = find_hot(edges, "src", hot_threshold)
+    return (join_keyed(edges, asked, "src", how="left_semi", hot=hot)
                  .select(F.col("src").alias("node"), F.col("dst").alias("neighbour")))
 
 
 def peek(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows (no order promised)."""
-    return df.limit(n)
+    """The first ``n`` rows in the order of all columns."""
+    return df.orderBy(*df.columns).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 123) -> DataFrame:
-    """``n`` rows drawn uniformly without replacement (seeded), for small
-    ``n`` (a peek).
+def sample_rows(df: DataFrame, n: int, seed: int = 123, key: str = "node") -> DataFrame:
+    """``n`` rows drawn without replacement, for small ``n`` (a peek).
 
-    Each row gets a seeded random key; a top-``n`` on that key is a bounded
-    per-task heap plus one merge of ``n`` rows per task, never a global sort.
-    The merge handles ``n`` rows per task in one place, so for large samples
-    use :func:`sample_fraction`.
+    A row's rank is a hash of the seed and its key, so a sample can be checked
+    and repeated. A top-``n`` is a bounded heap per task plus one merge of
+    ``n`` rows per task, never a global sort.
     """
-    return (df.withColumn("_r", F.rand(seed))
-              .orderBy("_r").limit(n).drop("_r"))
-
-
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 123) -> DataFrame:
-    """G12 for large samples: each row kept with probability ``fraction``,
-    decided inside its own task (no merge anywhere)."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("_r", rank).orderBy("_r", key).limit(n).drop("_r")
 
 
 def disjoint_copies(edges: DataFrame, k: int, offset: int | None = None) -> DataFrame:
     """``k`` disjoint copies of a graph, copy ``i`` shifted by ``i * offset``.
 
-    ``offset`` defaults to ``max(|id|) + 1`` so copies can never touch.
+    ``offset`` defaults to ``max(id) - min(id) + 1``, so copies never touch.
     """
     if offset is None:
-        bound = edges.agg(F.max(F.greatest(F.abs("src"), F.abs("dst")))).first()[0]
-        offset = int(bound or 0) + 1
+        row = edges.agg(F.min(F.least("src", "dst")).alias("lo"),
+                        F.max(F.greatest("src", "dst")).alias("hi")).first()
+        offset = 1 if row.lo is None else int(row.hi) - int(row.lo) + 1
     copy = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("copy")
     shift = F.col("copy").cast("long") * F.lit(offset).cast("long")
     return (edges.select("src", "dst", copy)

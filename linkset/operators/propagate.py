@@ -4,10 +4,8 @@ The forest ``tree(parent, child)`` gives every non-root node one parent with
 ``parent < child``; ``seeds(node)`` are the roots. A node's component is the
 seed at the top of its chain.
 
-* :func:`propagate_layers` (P2/P3/P8/P9) — a frontier walks down one layer per
-  step: the frontier holds only the nodes labelled in the previous step, so
-  step k joins the tree against a table that shrinks quickly (the deep layers
-  are tiny and broadcast after a size check).
+* :func:`propagate_layers` (P2/P3/P8/P9) — round by round, last round first, for
+  the forest of a contraction; else a frontier walks down one layer per step.
 * :func:`propagate_jump` (§4.3) — pointer jumping, ⌈log2 depth⌉ joins.
 * :func:`propagate_naive` (P1/P4) — "join everything again until nothing is
   null", with set semantics; emits (parent, seed, child).
@@ -21,62 +19,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed
+from linkset.plans.joins import find_hot, join_keyed
 from linkset.plans.workspace import Workspace
 
 
-def _fanout_hot(tree: DataFrame, ws: Workspace, hot_threshold: int | None) -> DataFrame | None:
-    """Parents with more children than the hot threshold, written once.
+def _labels_of_rounds(tree: DataFrame, roots: DataFrame, rounds: int, strategy: str,
+                      hot: DataFrame | None, ws: Workspace) -> DataFrame:
+    """Labels of a contraction's forest, last round first.
 
-    None when no parent can be hot (the whole tree is within the threshold).
-    The written set holds at most ``rows / threshold`` parents.
+    A node that retires in round r has a parent that is a seed or retires
+    later: the minimum it follows holds itself, so it stays in the graph. When
+    round r is due, its parents are labelled; every tree row is read once and
+    joined once, to the labels of the (much smaller) later rounds.
     """
-    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
-    if tree.count() <= thr:
-        return None
-    fan = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    hot = ws.save(hot_keys(fan, "parent", "n", thr), "hot-parents")
-    return hot if not hot.isEmpty() else None
+    spark = tree.sparkSession
+    out_path = ws.folder("labels")
+    schema = "node BIGINT, component BIGINT, depth INT"
+    for r in range(rounds, 0, -1):
+        known = roots
+        if r < rounds:
+            known = roots.unionByName(spark.read.schema(schema + ", round INT").parquet(out_path)
+                                      .drop("round"))
+        keyed = known.select(F.col("node").alias("parent"), "component", "depth")
+        step = join_keyed(tree.where(F.col("round") == r).select("parent", "child"), keyed, "parent",
+                          strategy=strategy, hot=hot)
+        (step.select(F.col("child").alias("node"), "component", (F.col("depth") + 1).alias("depth"))
+         .write.mode("errorifexists").parquet(f"{out_path}/round={r}"))
+    return spark.read.schema(schema + ", round INT").parquet(out_path).drop("round")
 
 
 def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
                      hot_threshold: int | None = None, include_roots: bool = True,
-                     workspace: Workspace | None = None, max_depth: int | None = None
-                     ) -> DataFrame:
+                     rounds: int | None = None, workspace: Workspace | None = None) -> DataFrame:
     """``(node, component, depth)``; roots have depth 0.
 
+    ``rounds``, for the forest of a contraction, is its number of rounds: its
+    rows are then joined round by round, last first, each row once. Any other
+    tree goes layer by layer: the nodes labelled in one step are joined to the
+    tree in the next, until a step labels none.
+
     With ``include_roots=False`` only tree children are returned (the
     layered output that omits the roots).
     """
     spark = tree.sparkSession
     ws = workspace or Workspace(spark, label="propagate")
     edges = tree.select("parent", "child")
-    hot = _fanout_hot(edges, ws, hot_threshold)
-    out_path = f"{ws.root}/labels"
     roots = seeds.select("node", F.col("node").alias("component"), F.lit(0).alias("depth"))
+    if rounds == 0:
+        return roots if include_roots else roots.limit(0)
+    hot = find_hot(edges, "parent", hot_threshold)
+    if rounds is not None:
+        layers = _labels_of_rounds(tree, roots, rounds, strategy, hot, ws)
+        return roots.unionByName(layers) if include_roots else layers
+    out_path = ws.folder("labels")
     frontier = roots.select("node", "component")
-    depth, wrote = 0, False
-    while max_depth is None or depth < max_depth:
+    depth = 0
+    while True:
         depth += 1
         keyed = frontier.select(F.col("node").alias("parent"), "component")
         step = (join_keyed(edges, keyed, "parent", strategy=strategy, hot=hot)
                 .select(F.col("child").alias("node"), "component"))
         path = f"{out_path}/depth={depth}"
         step.write.mode("errorifexists").parquet(path)
-        wrote = True
         frontier = spark.read.schema("node BIGINT, component BIGINT").parquet(path)
-        if (max_depth is not None and depth >= max_depth) or frontier.isEmpty():
+        if frontier.isEmpty():
             break
-    labels = roots if include_roots else None
-    if wrote:
-        layers = spark.read.schema("node BIGINT, component BIGINT, depth INT").parquet(out_path)
-        labels = layers if labels is None else labels.unionByName(layers)
-    if labels is None:
-        labels = roots.limit(0)
-    return labels
+    layers = spark.read.schema("node BIGINT, component BIGINT, depth INT").parquet(out_path)
+    return roots.unionByName(layers) if include_roots else layers
 
 
 def propagate_shrinking(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
+                        hot_threshold: int | None = None,
                         workspace: Workspace | None = None) -> DataFrame:
     """Layered propagation that also drops resolved rows from the tree.
 
@@ -88,13 +101,14 @@ def propagate_shrinking(tree: DataFrame, seeds: DataFrame, *, strategy: str = "a
     """
     spark = tree.sparkSession
     ws = workspace or Workspace(spark, label="shrink")
-    out_path = f"{ws.root}/labels"
+    out_path = ws.folder("labels")
     rest = tree.select("parent", "child")
+    hot = find_hot(rest, "parent", hot_threshold)
     frontier = seeds.select(F.col("node").alias("parent"), F.col("node").alias("component"))
     step, prev_rest = 0, None
     while True:
         step += 1
-        done = join_keyed(rest, frontier, "parent", strategy=strategy)
+        done = join_keyed(rest, frontier, "parent", strategy=strategy, hot=hot)
         path = f"{out_path}/step={step}"
         done.select(F.col("child").alias("node"), "component").write.parquet(path)
         labelled = spark.read.schema("node BIGINT, component BIGINT").parquet(path)
@@ -134,10 +148,9 @@ def propagate_jump(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
     while True:
         step += 1
         # hot ancestors: many nodes point at one root, so split them off
-        hot = _fanout_hot(ptr.select(F.col("anc").alias("parent")), ws, hot_threshold)
+        hot = find_hot(ptr, "anc", hot_threshold)
         up = ptr.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        hot_anc = hot.select(F.col("parent").alias("anc")) if hot is not None else None
-        nxt = (join_keyed(ptr, up, "anc", how="left", strategy=strategy, hot=hot_anc)
+        nxt = (join_keyed(ptr, up, "anc", how="left", strategy=strategy, hot=hot)
                .select("node", F.coalesce("anc2", "anc").alias("anc"),
                        (F.coalesce("anc2", "anc") != F.col("anc")).alias("moved")))
         nxt = ws.save(nxt, f"ptr{step}")
@@ -150,6 +163,7 @@ def propagate_jump(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
 
 
 def propagate_naive(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
+                    hot_threshold: int | None = None,
                     workspace: Workspace | None = None) -> DataFrame:
     """Join the whole tree to the known labels until no child is unlabelled.
 
@@ -160,12 +174,13 @@ def propagate_naive(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto"
     spark = tree.sparkSession
     ws = workspace or Workspace(spark, label="naive")
     edges = tree.select("parent", "child")
+    hot = find_hot(edges, "parent", hot_threshold)
     known = ws.save(seeds.select("node", F.col("node").alias("seed")), "known0")
     step = 0
     while True:
         step += 1
         keyed = known.select(F.col("node").alias("parent"), "seed")
-        trip = ws.save(join_keyed(edges, keyed, "parent", how="left", strategy=strategy),
+        trip = ws.save(join_keyed(edges, keyed, "parent", how="left", strategy=strategy, hot=hot),
                        f"triples{step}")
         missing = trip.where(F.col("seed").isNull()).count()
         if missing == 0:
@@ -178,19 +193,24 @@ def propagate_naive(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto"
         known = nxt
         if not grew:  # orphans: their chain has no seed; report them unlabelled
             trip = ws.save(join_keyed(edges, known.select(F.col("node").alias("parent"), "seed"),
-                                      "parent", how="left", strategy=strategy), "triples-final")
+                                      "parent", how="left", strategy=strategy, hot=hot), "triples-final")
             break
     return trip.select("parent", "seed", "child")
 
 
-def unresolved_edges(tree: DataFrame, seeds: DataFrame) -> DataFrame:
+def _split_by_seeds(tree: DataFrame, seeds: DataFrame, how: str, hot_threshold: int | None) -> DataFrame:
+    return join_keyed(tree, seeds.select(F.col("node").alias("parent")), "parent", how=how,
+                      hot=find_hot(tree, "parent", hot_threshold))
+
+
+def unresolved_edges(tree: DataFrame, seeds: DataFrame, hot_threshold: int | None = None) -> DataFrame:
     """Tree rows whose parent is not a seed."""
-    return tree.join(seeds.select(F.col("node").alias("parent")), "parent", "left_anti")
+    return _split_by_seeds(tree, seeds, "left_anti", hot_threshold)
 
 
-def direct_edges(tree: DataFrame, seeds: DataFrame) -> DataFrame:
+def direct_edges(tree: DataFrame, seeds: DataFrame, hot_threshold: int | None = None) -> DataFrame:
     """Tree rows whose parent is a seed."""
-    return tree.join(seeds.select(F.col("node").alias("parent")), "parent", "left_semi")
+    return _split_by_seeds(tree, seeds, "left_semi", hot_threshold)
 
 
 def root_of(nodes: DataFrame, components: DataFrame, node_col: str = "node") -> DataFrame:

@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.functions.columns import BLOCK_BITS, id_block
 from linkset.operators.graph import distinct_edges, normalize, symmetrize, vertices
+from linkset.operators.lists import LIST_ROWS, id_lists
 from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
 
@@ -28,17 +28,11 @@ def _minima(edges: DataFrame) -> DataFrame:
     return agg.select("src", F.least("src", "_mn").alias("mn"), "deg")
 
 
-def large_star_init(edges: DataFrame) -> DataFrame:
-    """L1: each edge in both directions."""
-    return symmetrize(edges)
-
-
 def large_star(sym: DataFrame, strategy: str = "auto", hot_threshold: int | None = None,
                minima: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """L2: for each a with m = min(N(a) ∪ {a}), emit (x, m) for x ∈ N(a), x > a.
 
-    ``hot_rows=0`` tells the join there is no hot node (the caller knows the
-    graph has no more rows than the threshold)."""
+    ``minima`` and the number ``hot_rows`` of its hot nodes may be passed in."""
     mn = minima if minima is not None else _minima(sym)
     hot = hot_keys(mn, "src", "deg", hot_threshold)
     out = (join_keyed(sym.where(F.col("dst") > F.col("src")), mn.select("src", "mn"), "src",
@@ -52,12 +46,16 @@ def small_star_init(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
 
 
-def small_star(edges: DataFrame, strategy: str = "auto", hot_threshold: int | None = None,
-               minima: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def small_star(edges: DataFrame, strategy: str = "auto",
+               hot_threshold: int | None = None) -> DataFrame:
     """L4: on larger→smaller edges, for each a with m = min(N(a) ∪ {a}),
     emit (x, m) for x ∈ N(a) ∪ {a}, x ≠ m."""
     oriented = distinct_edges(small_star_init(edges))
-    mn = minima if minima is not None else _minima(oriented)
+    return _re_point(oriented, _minima(oriented), strategy, hot_threshold, None)
+
+
+def _re_point(oriented: DataFrame, mn: DataFrame, strategy: str, hot_threshold: int | None,
+              hot_rows: int | None) -> DataFrame:
     hot = hot_keys(mn, "src", "deg", hot_threshold)
     nbrs = (join_keyed(oriented, mn.select("src", "mn"), "src", strategy=strategy, hot=hot,
                        hot_rows=hot_rows)
@@ -67,6 +65,11 @@ def small_star(edges: DataFrame, strategy: str = "auto", hot_threshold: int | No
     return distinct_edges(out.select(F.col("x").alias("src"), F.col("mn").alias("dst")))
 
 
+def _hot_rows(mn: DataFrame, threshold: int) -> int:
+    """Hot nodes of a step, from its minima table."""
+    return mn.where(F.col("deg") > threshold).count()
+
+
 @dataclass
 class StarResult:
     pairs: DataFrame        # (src=node, dst=root) for every non-root node that has an edge
@@ -82,34 +85,35 @@ def _same_set(a: DataFrame, b: DataFrame, na: int, nb: int) -> bool:
 
 
 def star_components(edges: DataFrame, *, strategy: str = "auto",
-                    hot_threshold: int | None = None, max_rounds: int | None = None,
+                    hot_threshold: int | None = None,
                     workspace: Workspace | None = None) -> StarResult:
     """Alternate the two stars until a round changes nothing."""
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="stars")
     thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
     g = ws.save(normalize(edges), "s-g0")
-    prev, n_prev = None, -1
-    current, n_current = g, g.count()
+    prev, n_prev, current = None, -1, g
     r = 0
-    while max_rounds is None or r < max_rounds:
+    while True:
         r += 1
+        # L1: each edge in both directions
         sym = current if r == 1 else symmetrize(current)
-        # both steps see at most 2 * n_current rows: within the threshold no
-        # node can be hot, and the per-step hot-key count is skipped
-        known = 0 if 2 * n_current <= thr else None
-        # large-star output only feeds this round's small-star: persisted, not written
-        large = large_star(sym, strategy, thr, hot_rows=known).persist()
-        small = ws.save(small_star(large, strategy, thr, hot_rows=known), f"small{r}")
+        # minima are computed once per half-round; hot nodes are counted from them
+        mn = _minima(sym).persist()
+        large = ws.save(large_star(sym, strategy, thr, mn, _hot_rows(mn, thr)), f"large{r}")
+        mn.unpersist()
+        oriented = ws.save(distinct_edges(small_star_init(large)), f"oriented{r}")
+        mn = _minima(oriented).persist()
+        small = ws.save(_re_point(oriented, mn, strategy, thr, _hot_rows(mn, thr)), f"small{r}")
+        mn.unpersist()
+        ws.release(large, oriented)
         n_small = small.count()
-        large.unpersist()
         if prev is not None and _same_set(small, prev, n_small, n_prev):
             ws.release(small)
             break
-        if prev is not None:
-            ws.release(prev)
-        prev, n_prev, current, n_current = small, n_small, small, n_small
-    pairs = prev if prev is not None else small
+        ws.release(prev)
+        prev, n_prev, current = small, n_small, small
+    pairs = prev
     nodes = vertices(g)
     comp = (nodes.join(pairs.select(F.col("src").alias("node"), F.col("dst").alias("root")),
                        "node", "left")
@@ -119,14 +123,10 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
     return StarResult(pairs, comp, r)
 
 
-def members(components: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """``(component, block, members ARRAY<LONG>)`` ascending.
-
-    A giant component is cut by member-id block (``node >> bits``), so no row
-    holds more than ``2**bits`` ids; small components get one row each.
-    """
-    return (components.groupBy("component", id_block("node", bits).alias("block"))
-                      .agg(F.sort_array(F.collect_list("node")).alias("members")))
+def members(components: DataFrame, per_row: int = LIST_ROWS) -> DataFrame:
+    """``(component, block, members ARRAY<LONG>)`` ascending; a component of
+    more than ``per_row`` nodes has a row for each ``per_row`` of them."""
+    return id_lists(components, "component", "node", per_row).withColumnRenamed("ids", "members")
 
 
 def sizes(components: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ and types match its oracle: ids BIGINT, rounds/depths INTEGER, counts BIGINT,
 id lists as ascending ``;``-joined text.
 
 The oracle SQL is written independently of the Spark code: labels by a
-recursive reachability query, the rounds by unrolling the round definition
+recursive query that keeps one row per node, the rounds by unrolling the round definition
 of SURVEY §0.1 as plain CTEs.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkset.functions.columns import BLOCK_BITS, sorted_text
+from linkset.functions.columns import sorted_text
 from linkset.operators import contract as C
 from linkset.operators import graph as G
 from linkset.operators import ids as I
@@ -33,6 +33,7 @@ from linkset.sources import edges as SRC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+HUB_THRESHOLD = 32
 ORACLE_ROUNDS = 8   # unrolled rounds in the SQL oracle; the test graphs need at most 5
 
 
@@ -47,22 +48,8 @@ def query(name: str, oracle: str | None = None):
 
 # -- shared Spark pieces ------------------------------------------------------------
 
-_CONTRACTIONS: dict[tuple, C.ContractionResult] = {}
-
-
-def _session_key(spark: SparkSession):
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # Spark Connect
-        return id(spark)
-
-
 def contraction(spark: SparkSession, sf_dir: str, graph: str, **kw) -> C.ContractionResult:
-    """Contraction of a test graph, computed once per session and input."""
-    key = (_session_key(spark), sf_dir, graph, tuple(sorted(kw.items())))
-    if key not in _CONTRACTIONS:
-        _CONTRACTIONS[key] = C.contract(TG.GRAPHS[graph](spark, sf_dir), **kw)
-    return _CONTRACTIONS[key]
+    return C.contract(TG.GRAPHS[graph](spark, sf_dir), **kw)
 
 
 def _ws(spark: SparkSession, label: str) -> Workspace:
@@ -70,10 +57,9 @@ def _ws(spark: SparkSession, label: str) -> Workspace:
 
 
 def order_part_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-part links with their repeats (one per qualifying line item)."""
+    """Order-part links with their repeats (one per line item)."""
     li = TG.table(spark, sf_dir, "lineitem")
-    return (li.where(F.col("l_quantity") >= 49)
-              .select((F.col("l_orderkey") * 2).alias("src"),
+    return (li.select((F.col("l_orderkey") * 2).alias("src"),
                       (F.col("l_partkey") * 2 + 1).alias("dst")))
 
 
@@ -83,14 +69,14 @@ def _g(graph: str) -> str:
     return f"g0 AS ({TG.GRAPH_SQL[graph]})"
 
 
-OP_RAW = ("SELECT l_orderkey*2 AS src, l_partkey*2+1 AS dst FROM lineitem "
-          "WHERE l_quantity >= 49")
+OP_RAW = "SELECT l_orderkey*2 AS src, l_partkey*2+1 AS dst FROM lineitem"
 SYM = "e AS (SELECT src, dst FROM g0 UNION SELECT dst AS src, src AS dst FROM g0)"
 VERTS = "v AS (SELECT src AS node FROM g0 UNION SELECT dst AS node FROM g0)"
+# one row per node, lowered until nothing changes
 LABELS = (
-    "r(node, component) AS (SELECT src, src FROM e UNION "
-    "SELECT e.dst, r.component FROM r JOIN e ON e.src = r.node WHERE r.component < e.dst), "
-    "lab AS (SELECT node, min(component) AS component FROM r GROUP BY node)")
+    "lab(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION "
+    "SELECT e.dst, min(lab.component) FROM lab JOIN e ON e.src = lab.node "
+    "JOIN recurring.lab AS o ON o.node = e.dst WHERE lab.component < o.component GROUP BY e.dst)")
 
 
 def _rounds(n: int = ORACLE_ROUNDS) -> str:
@@ -144,35 +130,41 @@ def q_edges_csv(spark, sf_dir):
     ws = _ws(spark, "io")
     path = f"{ws.root}/csv"
     # a third field (a weight) on every line, as in weighted edge files; it is ignored
-    SRC.write_edges(e.select("src", "dst", (F.col("src") + F.col("dst")).alias("w")), path)
+    SRC.write_edges(e.select("src", F.concat(F.lit(" "), "dst", F.lit(" ")).alias("dst"),
+                             (F.col("src") + F.col("dst")).alias("w")), path)
     return SRC.read_edges(spark, path, ",")
 
 
 @query("edges_tsv", _with(_g("order_part")) + "SELECT src, dst FROM g0")
 def q_edges_tsv(spark, sf_dir):
     e = TG.order_part(spark, sf_dir)
-    lines = e.select(F.concat_ws("\t", "src", "dst", F.lit("1")).alias("value"))
+    lines = e.select(F.concat_ws("\t", F.concat(F.lit(" "), "src"), F.concat("dst", F.lit(" ")),
+                                 F.lit("1")).alias("value"))
     return _write_read(spark, sf_dir, lines, lambda p: SRC.read_edges(spark, p, "tab"))
 
 
 @query("edges_space", _with(_g("order_part")) + "SELECT src, dst FROM g0")
 def q_edges_space(spark, sf_dir):
     e = TG.order_part(spark, sf_dir)
-    lines = e.select(F.concat_ws(" ", "src", "dst").alias("value"))
+    lines = e.select(F.concat(F.lit(" "), "src", F.lit("  "), "dst", F.lit(" x")).alias("value"))
     return _write_read(spark, sf_dir, lines, lambda p: SRC.read_edges(spark, p, "space"))
 
 
 @query("edges_whitespace", _with(_g("order_part")) + "SELECT src, dst FROM g0")
 def q_edges_whitespace(spark, sf_dir):
     e = TG.order_part(spark, sf_dir)
-    lines = e.select(F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(" \t  "),
+    lines = e.select(F.concat(F.lit("\t "), F.col("src").cast("string"), F.lit(" \t  "),
                               F.col("dst").cast("string"), F.lit("\t")).alias("value"))
     return _write_read(spark, sf_dir, lines, lambda p: SRC.read_edges_whitespace(spark, p))
 
 
 @query("edges_rows", _with(_g("order_part")) + "SELECT src, dst FROM g0")
 def q_edges_rows(spark, sf_dir):
-    return SRC.edges_from_rdd(spark, TG.order_part(spark, sf_dir).rdd)
+    """An RDD that a job has anyway: pairs parsed from a text file."""
+    path = f"{_ws(spark, 'io').root}/rdd"
+    SRC.write_edges(TG.order_part(spark, sf_dir), path)
+    pairs = spark.sparkContext.textFile(path).map(lambda line: tuple(map(int, line.split(","))))
+    return SRC.edges_from_rdd(spark, pairs)
 
 
 @query("edges_isolated",
@@ -181,16 +173,15 @@ def q_edges_rows(spark, sf_dir):
 def q_edges_isolated(spark, sf_dir):
     e = TG.order_part(spark, sf_dir)
     parts = TG.table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 1).alias("p"))
-    lines = (e.select(F.concat_ws(",", "src", "dst").alias("value"))
-              .unionByName(parts.select(F.col("p").cast("string").alias("value"))))
+    lines = (e.select(F.concat_ws(" ,", "src", "dst").alias("value"))
+              .unionByName(parts.select(F.concat(F.lit("\t"), "p", F.lit("  ")).alias("value"))))
     return _write_read(spark, sf_dir, lines, lambda p: SRC.read_edges(spark, p, ","))
 
 
 @query("adjacency_text",
        _with(_g("order_part"), SYM) +
        "SELECT src AS node, CAST(src AS VARCHAR) || chr(9) || "
-       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS line FROM e "
-       f"GROUP BY src, dst >> {BLOCK_BITS}")
+       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS line FROM e GROUP BY src")
 def q_adjacency_text(spark, sf_dir):
     lines = G.adjacency_text(G.normalize(TG.order_part(spark, sf_dir)))
     ws = _ws(spark, "io")
@@ -235,9 +226,8 @@ def q_graph_counts(spark, sf_dir):
 
 @query("adjacency_active",
        _with(_g("order_part"), SYM) +
-       f"SELECT src AS node, dst >> {BLOCK_BITS} AS block, "
-       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS nn, "
-       f"TRUE AS active FROM e GROUP BY src, dst >> {BLOCK_BITS}")
+       "SELECT src AS node, CAST(0 AS BIGINT) AS block, "
+       "string_agg(CAST(dst AS VARCHAR), ';' ORDER BY dst) AS nn, TRUE AS active FROM e GROUP BY src")
 def q_adjacency_active(spark, sf_dir):
     adj = G.with_activity(G.adjacency(G.normalize(TG.order_part(spark, sf_dir))))
     return adj.select("node", "block", sorted_text("nn").alias("nn"), "active")
@@ -262,12 +252,13 @@ def q_neighbour_lookup(spark, sf_dir):
     return G.neighbours(G.normalize(TG.order_part(spark, sf_dir)), urgent)
 
 
-@query("peek_edges")
+@query("peek_edges", _with(_g("order_part")) + "SELECT src, dst FROM g0 ORDER BY src, dst LIMIT 10")
 def q_peek_edges(spark, sf_dir):
     return G.peek(TG.order_part(spark, sf_dir), 10)
 
 
-@query("sample_nodes")
+@query("sample_nodes", _with(_g("order_part"), VERTS) +
+       "SELECT node FROM v ORDER BY md5('123:' || CAST(node AS VARCHAR)), node LIMIT 10")
 def q_sample_nodes(spark, sf_dir):
     return G.sample_rows(G.vertices(TG.order_part(spark, sf_dir)), 10, seed=123)
 
@@ -295,11 +286,20 @@ def q_edges_relabelled(spark, sf_dir):
        _with(_g("order_part")) +
        "SELECT g0.src + t.i * o.off AS src, g0.dst + t.i * o.off AS dst FROM g0 "
        "CROSS JOIN (SELECT CAST(range AS BIGINT) AS i FROM range(3)) t "
-       "CROSS JOIN (SELECT max(greatest(abs(src), abs(dst))) + 1 AS off FROM g0) o")
+       "CROSS JOIN (SELECT max(greatest(src, dst)) - min(least(src, dst)) + 1 AS off FROM g0) o")
+
 def q_disjoint_copies(spark, sf_dir):
     return G.disjoint_copies(TG.order_part(spark, sf_dir), 3)
 
 
+@query("copies_components", _with(_g("part_supp"), SYM, LABELS) +
+       "SELECT 3 * count(DISTINCT component) AS components FROM lab")
+def q_copies_components(spark, sf_dir):
+    """Copies never touch: three times the components, also with negative ids."""
+    e = TG.part_supp(spark, sf_dir).select((-F.col("src")).alias("src"), "dst")
+    return C.component_count(C.contract(G.disjoint_copies(e, 3)).seeds)
+
+
 # -- C: contraction --------------------------------------------------------------------
 
 def _first_round(spark, sf_dir, graph="order_part"):
@@ -346,9 +346,8 @@ def q_propagation_tree_chain(spark, sf_dir):
 
 
 @query("tree_children",
-       _OP_ROUNDS + f"SELECT parent, child >> {BLOCK_BITS} AS block, "
-       "string_agg(CAST(child AS VARCHAR), ';' ORDER BY child) "
-       f"AS children FROM tree GROUP BY parent, child >> {BLOCK_BITS}")
+       _OP_ROUNDS + "SELECT parent, CAST(0 AS BIGINT) AS block, "
+       "string_agg(CAST(child AS VARCHAR), ';' ORDER BY child) AS children FROM tree GROUP BY parent")
 def q_tree_children(spark, sf_dir):
     t = C.tree_children(contraction(spark, sf_dir, "order_part").tree)
     return t.select("parent", "block", sorted_text("children").alias("children"))
@@ -415,6 +414,29 @@ def q_cc_shuffle(spark, sf_dir):
                                 seed_strategy="shuffle")
 
 
+@query("cc_broadcast_prune", _labels_sql("part_supp"))
+def q_cc_broadcast_prune(spark, sf_dir):
+    return connected_components(TG.part_supp(spark, sf_dir), prune_strategy="broadcast",
+                                seed_strategy="shuffle")
+
+
+@query("cc_broadcast_seeds", _labels_sql("part_supp"))
+def q_cc_broadcast_seeds(spark, sf_dir):
+    return connected_components(TG.part_supp(spark, sf_dir), prune_strategy="shuffle",
+                                seed_strategy="broadcast")
+
+
+@query("cc_hubs", _labels_sql("part_supp"))
+def q_cc_hubs(spark, sf_dir):
+    """Suppliers have far more parts than the threshold: the hub path in every round."""
+    return connected_components(TG.part_supp(spark, sf_dir), hot_threshold=HUB_THRESHOLD)
+
+
+@query("cc_stars_hubs", _labels_sql("part_supp"))
+def q_cc_stars_hubs(spark, sf_dir):
+    return ST.star_components(TG.part_supp(spark, sf_dir), hot_threshold=HUB_THRESHOLD).components
+
+
 @query("cc_order_chain", _labels_sql("order_chain"))
 def q_cc_order_chain(spark, sf_dir):
     return connected_components(TG.order_chain(spark, sf_dir))
@@ -434,6 +456,31 @@ def q_cc_named(spark, sf_dir):
     return connected_components_named(TG.cust_nation_names(spark, sf_dir))
 
 
+@query("cc_named_isolated",
+       "WITH RECURSIVE g0 AS (SELECT c_name AS src, n_name AS dst FROM customer "
+       "JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_name, s_name FROM supplier), "
+       + SYM + ", " + LABELS + " SELECT node AS name, component FROM lab")
+def q_cc_named_isolated(spark, sf_dir):
+    """Suppliers have a name and no edge."""
+    from linkset.plans.solve import connected_components_named
+    alone = TG.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("src"),
+                                                       F.lit(None).cast("string").alias("dst"))
+    return connected_components_named(TG.cust_nation_names(spark, sf_dir).unionByName(alone))
+
+
+@query("strings_to_ids_file",
+       f"WITH {NAMES_SQL} SELECT a.id AS src, b.id AS dst FROM g0 "
+       "JOIN names a ON g0.src = a.name JOIN names b ON g0.dst = b.name")
+def q_strings_to_ids_file(spark, sf_dir):
+    """A file of names becomes a file of dense ids: write, read, number, relabel, write, read."""
+    ws = _ws(spark, "io")
+    names, ids = f"{ws.root}/names", f"{ws.root}/ids"
+    SRC.write_edges(TG.cust_nation_names(spark, sf_dir), names)
+    e = SRC.read_string_edges(spark, names)
+    SRC.write_edges(I.relabel(e, I.dense_ids(I.node_names(e))), ids)
+    return SRC.read_edges(spark, ids)
+
+
 # -- P: propagation --------------------------------------------------------------------
 
 _CH_DEPTH = _with(_g("order_chain"), SYM, _rounds(), DEPTH)
@@ -464,13 +511,21 @@ def q_prop_shrink(spark, sf_dir):
 @query("prop_layers", _CH_DEPTH + "SELECT node, component FROM dep WHERE depth > 0")
 def q_prop_layers(spark, sf_dir):
     res = contraction(spark, sf_dir, "order_chain")
-    return P.propagate_layers(res.tree, res.seeds, include_roots=False).select("node", "component")
+    return P.propagate_layers(res.tree, res.seeds, include_roots=False,
+                              rounds=res.rounds).select("node", "component")
+
+
+@query("prop_frontier", _CH_DEPTH + "SELECT node, component, depth FROM dep")
+def q_prop_frontier(spark, sf_dir):
+    """The same labels without the rounds: layer by layer, hub path on."""
+    res = contraction(spark, sf_dir, "order_chain")
+    return P.propagate_layers(res.tree.drop("round"), res.seeds, hot_threshold=2)
 
 
 @query("prop_depth", _CH_DEPTH + "SELECT node, component, depth FROM dep")
 def q_prop_depth(spark, sf_dir):
     res = contraction(spark, sf_dir, "order_chain")
-    return P.propagate_layers(res.tree, res.seeds)
+    return P.propagate_layers(res.tree, res.seeds, rounds=res.rounds)
 
 
 @query("prop_jump", _labels_sql("order_chain"))
@@ -525,14 +580,8 @@ def q_small_star(spark, sf_dir):
     return ST.small_star(ST.large_star(G.normalize(TG.order_part(spark, sf_dir))))
 
 
-_STARS: dict[tuple, ST.StarResult] = {}
-
-
 def _stars(spark, sf_dir, graph="order_part") -> ST.StarResult:
-    key = (_session_key(spark), sf_dir, graph)
-    if key not in _STARS:
-        _STARS[key] = ST.star_components(TG.GRAPHS[graph](spark, sf_dir))
-    return _STARS[key]
+    return ST.star_components(TG.GRAPHS[graph](spark, sf_dir))
 
 
 @query("cc_stars", _labels_sql("order_part"))
@@ -547,9 +596,8 @@ def q_cc_stars_chain(spark, sf_dir):
 
 @query("component_members",
        _with(_g("order_part"), SYM, LABELS) +
-       f"SELECT component, node >> {BLOCK_BITS} AS block, "
-       "string_agg(CAST(node AS VARCHAR), ';' ORDER BY node) AS members "
-       f"FROM lab GROUP BY component, node >> {BLOCK_BITS}")
+       "SELECT component, CAST(0 AS BIGINT) AS block, "
+       "string_agg(CAST(node AS VARCHAR), ';' ORDER BY node) AS members FROM lab GROUP BY component")
 def q_component_members(spark, sf_dir):
     m = ST.members(_stars(spark, sf_dir).components)
     return m.select("component", "block", sorted_text("members").alias("members"))
@@ -566,7 +614,7 @@ def q_component_sizes(spark, sf_dir):
 
 @query("merge_components", _labels_sql("order_part"))
 def q_merge_components(spark, sf_dir):
-    li = TG.table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49)
+    li = TG.table(spark, sf_dir, "lineitem")
     early = F.year("l_shipdate") < 1998
     def batch(cond):
         return (li.where(cond).select((F.col("l_orderkey") * 2).alias("src"),
@@ -574,3 +622,14 @@ def q_merge_components(spark, sf_dir):
     a = connected_components(batch(early))
     b = connected_components(batch(~early))
     return merge_components(a, b)
+
+
+@query("merge_edges", _labels_sql("order_part"))
+def q_merge_edges(spark, sf_dir):
+    """The components of one half, and the edges of the other."""
+    li = TG.table(spark, sf_dir, "lineitem")
+    half = li.where(F.year("l_shipdate") < 1998)
+    rest = li.where(F.coalesce(F.year("l_shipdate") >= 1998, F.lit(True)))
+    pair = lambda d: d.select((F.col("l_orderkey") * 2).alias("src"),
+                              (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    return merge_components(connected_components(pair(half)), extra_edges=pair(rest))

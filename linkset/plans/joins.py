@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkset.plans.workspace import Workspace
+
 HOT_KEY_ROWS = 1 << 20          # rows of one key beyond which the key is split off
 MAX_BROADCAST_ROWS = 1 << 21    # never broadcast more rows than this
 STRATEGIES = ("auto", "broadcast", "shuffle")
@@ -38,25 +40,30 @@ def hot_keys(counts: DataFrame, key: str, count_col: str,
 def find_hot(big: DataFrame, key: str, threshold: int | None = None) -> DataFrame | None:
     """Keys of ``big`` with more than ``threshold`` rows, or None when there are none.
 
-    A table with no more rows than the threshold cannot have a hot key, so a
-    count settles the common case; otherwise one map-side-combined count per
-    key runs and the (at most ``rows / threshold``) hot keys are returned.
+    One map-side-combined count per key; the (at most ``rows / threshold``)
+    hot keys are written once.
     """
-    limit = HOT_KEY_ROWS if threshold is None else threshold
-    if big.count() <= limit:
-        return None
     per_key = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(per_key, key, "_n", limit).persist()
-    if hot.isEmpty():
-        hot.unpersist()
-        return None
-    return hot
+    hot = Workspace(big.sparkSession, label="hot").save(hot_keys(per_key, key, "_n", threshold), "keys")
+    return None if hot.isEmpty() else hot
 
 
 def _checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     return F.broadcast(df) if df.count() <= max_rows else None
 
 
+SALTS = 32
+
+
+def _salted(big: DataFrame, keyed: DataFrame, key: str, how: str) -> DataFrame:
+    """Too many hot keys to broadcast: every key of ``keyed`` in SALTS copies,
+    every row of ``big`` at one of them."""
+    rest = [c for c in big.columns if c != key] or [key]
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    right = keyed.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def join_keyed(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
                strategy: str = "auto", hot: DataFrame | None = None,
                hot_rows: int | None = None,
@@ -78,7 +85,9 @@ def join_keyed(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
     right = keyed.hint("merge") if strategy == "shuffle" else keyed
     if hot is not None:
         n_hot = hot.count() if hot_rows is None else hot_rows
-        if 0 < n_hot <= max_broadcast_rows:
+        if n_hot > max_broadcast_rows:
+            return _salted(big, right, key, how)
+        if n_hot:
             hot_b = F.broadcast(hot)
             keyed_hot = F.broadcast(keyed.join(hot_b, key, "left_semi"))
             part_hot = big.join(hot_b, key, "left_semi").join(keyed_hot, key, how)

@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
     ``edges`` is any table with two id columns; a null second id marks an
     isolated vertex. The result can be joined straight back to the input. It
     reads files under the run's workspace folder (in ``spark.checkpoint.dir``);
-    pass your own ``workspace`` and call ``workspace.close()`` once the result
-    has been written elsewhere.
+    pass your own ``workspace`` (it may serve any number of calls) and call
+    ``workspace.close()`` once the results have been written elsewhere.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {ALGORITHMS}")
@@ -39,10 +39,8 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
                               hot_threshold=hot_threshold, workspace=ws)
     if propagation != "layers":
         raise ValueError(f"propagation must be one of {PROPAGATIONS}")
-    # a parent is still active when its child is retired, so the forest is at
-    # most as deep as the number of rounds: no extra empty layer is needed
     return propagate_layers(res.tree, res.seeds, strategy=prune_strategy,
-                            hot_threshold=hot_threshold, max_depth=res.rounds,
+                            hot_threshold=hot_threshold, rounds=res.rounds,
                             workspace=ws).select("node", "component")
 
 
@@ -58,8 +56,10 @@ def connected_components_named(edges: DataFrame, *, src: str = "src", dst: str =
 
     from linkset.operators.ids import dense_ids, node_names, relabel
     from linkset.plans.joins import find_hot, join_keyed
-    named = edges.select(F.col(src).cast("string").alias("src"),
-                         F.col(dst).cast("string").alias("dst"))
+    # a null second name marks an isolated one, as with ids
+    name = F.col(src).cast("string")
+    named = edges.where(name.isNotNull()).select(
+        name.alias("src"), F.coalesce(F.col(dst).cast("string"), name).alias("dst"))
     ws = kw.pop("workspace", None) or Workspace(edges.sparkSession, label="cc-named")
     ids = dense_ids(node_names(named), workspace=ws)
     labels = connected_components(relabel(named, ids), workspace=ws, **kw)

@@ -27,31 +27,22 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Run ``df`` once, write it to the shared folder, return the written table."""
-        self._seq += 1
-        path = f"{self.root}/{self._seq:04d}-{name}"
+        path = self.folder(name)
         df.write.mode("errorifexists").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._linkset_path = path
         return out
 
+    def folder(self, name: str) -> str:
+        """A new path for a caller that writes its own files; never given twice."""
+        self._seq += 1
+        return f"{self.root}/{self._seq:04d}-{name}"
+
     def adopt(self, df: DataFrame, path: str) -> DataFrame:
         """Mark a frame read from ``path`` (written by the caller) for release."""
         df._linkset_path = path
         return df
 
-    def exists(self, path: str) -> bool:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            hpath = jvm.org.apache.hadoop.fs.Path(path)
-            fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            return bool(fs.exists(hpath))
-        except Exception:  # no JVM handle (Spark Connect): ask the reader
-            try:
-                self.spark.read.parquet(path).schema
-                return True
-            except Exception:
-                return False
-
     def release(self, *frames: DataFrame | None) -> None:
         """Delete the files behind frames returned by :meth:`save`."""
         for df in frames:

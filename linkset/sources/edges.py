@@ -1,8 +1,7 @@
 """Edge readers and writers.
 
-Text edge files are read with Spark's CSV reader and a fixed two-column
-schema, so extra fields on a line are pruned at the scan and nothing is
-inferred. Any Hadoop URI works (``hdfs://``, ``s3a://``, ``file://``: S6).
+Text edge files are read as lines and parsed by one set of column expressions.
+Any Hadoop URI works (``hdfs://``, ``s3a://``, ``file://``: S6).
 """
 
 from __future__ import annotations
@@ -10,47 +9,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkset.functions.schema import EDGE_TEXT, EDGES, STRING_EDGES
+from linkset.functions.schema import EDGES, STRING_EDGES
 from linkset.operators.graph import as_edges
 
 SEPARATORS = {"comma": ",", "tab": "\t", "space": " "}
 
 
-def read_edges(spark: SparkSession, path: str, sep: str = ",", *, mode: str = "PERMISSIVE",
-               comment: str | None = "#", isolated: bool = True) -> DataFrame:
-    """``(src, dst)`` from delimited text; fields after the
-    second are ignored. A line with a single id is an isolated vertex and
-    becomes ``(id, id)`` when ``isolated`` (else it is dropped).
+_TRIM = r"^\s+|\s+$"
+_INTEGER = r"^[+-]?[0-9]+$"
+#: How a line is cut into fields; a run of blanks counts as one.
+_CUTS = {",": ",", "\t": "\t", " ": " +"}
 
-    ``PERMISSIVE`` is needed for both: Spark's CSV reader counts a line with
-    more or fewer fields than the schema as malformed, and only this mode
-    keeps it (truncated or null-padded). A non-numeric first id is dropped.
-    """
-    sep = SEPARATORS.get(sep, sep)
-    reader = (spark.read.schema(EDGE_TEXT).option("sep", sep).option("mode", mode)
-              .option("header", "false"))
+
+def _parsed(spark: SparkSession, path: str, cut: str, comment: str | None, isolated: bool,
+            on_bad: str) -> DataFrame:
+    """``(src, dst)`` of text lines: trimmed, cut, first two fields trimmed and
+    read as integers. Empty lines and comments are skipped. One field is an
+    isolated vertex; any other line without two integers is bad."""
+    if on_bad not in ("fail", "drop"):
+        raise ValueError(f"on_bad must be 'fail' or 'drop', got {on_bad!r}")
+    line = F.regexp_replace("value", _TRIM, "")
+    rows = spark.read.text(path).select("value", line.alias("line")).where("line <> ''")
     if comment:
-        reader = reader.option("comment", comment)
-    raw = reader.csv(path)
+        rows = rows.where(~F.startswith("line", F.lit(comment)))
+    field = F.split("line", cut)
+    rows = rows.select("value", F.size(field).alias("n"), *[
+        F.regexp_replace(F.get(field, F.lit(i)), _TRIM, "").alias(f"f{i}") for i in (0, 1)])
+    number = lambda c: F.when(F.col(c).rlike(_INTEGER), F.col(c).try_cast("long"))
+    rows = rows.withColumns({"src": number("f0"), "dst": number("f1")})
+    good = F.col("src").isNotNull() & ((F.col("n") == 1) | F.col("dst").isNotNull())
+    if on_bad == "drop":
+        rows = rows.where(good)
+    else:
+        bad = F.raise_error(F.concat(F.lit("not an edge line: "), F.col("value"))).cast("long")
+        rows = rows.withColumn("src", F.when(good, F.col("src")).otherwise(bad))
     if not isolated:
-        raw = raw.where(F.col("dst").isNotNull())
-    return as_edges(raw)
-
+        rows = rows.where("n > 1")
+    return as_edges(rows.select("src", "dst"))
 
-def read_edges_whitespace(spark: SparkSession, path: str, *, isolated: bool = True) -> DataFrame:
-    """Any run of blanks or tabs separates fields; first two are used.
 
-    ``try_cast`` turns a non-numeric field into null, so a dirty line is
-    skipped instead of failing the job (ANSI casts raise).
+def read_edges(spark: SparkSession, path: str, sep: str = ",", *, comment: str | None = "#",
+               isolated: bool = True, on_bad: str = "fail") -> DataFrame:
+    """``(src, dst)`` from delimited text; blanks around ids and
+    fields after the second do not matter. A line with a single id is an
+    isolated vertex and becomes ``(id, id)`` when ``isolated`` (else it is left
+    out). A line that has no two integers is an error, or with
+    ``on_bad="drop"`` left out.
     """
-    parts = F.split(F.trim(F.col("value")), r"\s+")
-    raw = (spark.read.text(path)
-           .where(F.length(F.trim(F.col("value"))) > 0)
-           .select(parts.getItem(0).try_cast("long").alias("src"),
-                   F.when(F.size(parts) > 1, parts.getItem(1)).try_cast("long").alias("dst")))
-    if not isolated:
-        raw = raw.where(F.col("dst").isNotNull())
-    return as_edges(raw)
+    sep = SEPARATORS.get(sep, sep)
+    return _parsed(spark, path, _CUTS.get(sep) or "\\Q" + sep + "\\E", comment, isolated, on_bad)
+
+
+def read_edges_whitespace(spark: SparkSession, path: str, *, comment: str | None = "#",
+                          isolated: bool = True, on_bad: str = "fail") -> DataFrame:
+    """Any run of white space separates fields; otherwise as :func:`read_edges`."""
+    return _parsed(spark, path, r"\s+", comment, isolated, on_bad)
 
 
 def read_string_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -66,8 +79,9 @@ def edges_from_rows(spark: SparkSession, rows) -> DataFrame:
 
 
 def edges_from_rdd(spark: SparkSession, rdd) -> DataFrame:
-    """An RDD of id pairs with the fixed edge schema (distributed, no collect)."""
-    return spark.createDataFrame(rdd.map(lambda t: (int(t[0]), int(t[1]))), EDGES)
+    """An RDD of integer pairs with the fixed edge schema (distributed, no
+    collect). For RDDs a job already has; tables and files have better readers."""
+    return spark.createDataFrame(rdd, EDGES, verifySchema=False)
 
 
 def write_edges(edges: DataFrame, path: str, fmt: str = "csv", sep: str = ",",

@@ -1,72 +1,20 @@
 """Components kept current over a stream of edge batches (M1 per micro-batch).
 
-Each micro-batch of new edges is merged with the current ``(node, component)``
-table — the union of the old star forest and the new edges is solved — and
-the result is written as a new version in the shared folder. A version is
-complete before it becomes current (the pointer is only advanced after the
-write), so a failed batch is simply replayed by Structured Streaming from its
-checkpoint.
-
-Only components that contain a node of the batch can change, so each batch
-solves just those components (their forest rows plus the new edges) and keeps
-every other row as it is. The touched components are found with one join of
-the batch's nodes to the table; their ids are broadcast only after a count
-check, else the split is a shuffle join.
+:func:`merge_batch` is a plain function from a table and a batch to the next
+table. Where the table is stored, and how a version becomes current, is the
+job's choice: call it inside ``foreachBatch`` and write the result with a
+format that overwrites atomically, or into a folder named by the batch id, so
+that a replayed batch writes the same version again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from linkset.functions.schema import COMPONENTS
-from linkset.operators.graph import as_edges
 from linkset.operators.merge import merge_components
-from linkset.plans.joins import MAX_BROADCAST_ROWS
-from linkset.plans.session import checkpoint_dir
-
-
-class ComponentTable:
-    """Versioned ``(node, component)`` table under one folder."""
-
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
-        self.root = (root or f"{checkpoint_dir(spark).rstrip('/')}/linkset-components").rstrip("/")
-        self.version = -1
-
-    def current(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], COMPONENTS)
-        return self.spark.read.schema(COMPONENTS).parquet(f"{self.root}/v={self.version}")
-
-    def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """``foreachBatch`` handler: fold one batch of ``(src, dst)`` edges in."""
-        edges = as_edges(batch).persist()
-        current = self.current()
-        touched_nodes = edges.selectExpr("explode(array(src, dst)) AS node").distinct()
-        touched = (current.join(touched_nodes, "node", "left_semi")
-                          .select("component").distinct().persist())
-        n_touched = touched.count()
-        side = F.broadcast(touched) if n_touched <= MAX_BROADCAST_ROWS else touched
-        affected = current.join(side, "component", "left_semi")
-        kept = current.join(side, "component", "left_anti")
-        merged = merge_components(affected, extra_edges=edges).select("node", "component")
-        nxt = self.version + 1
-        kept.select("node", "component").unionByName(merged).write.mode("overwrite").parquet(
-            f"{self.root}/v={nxt}")
-        self.version = nxt
-        touched.unpersist()
-        edges.unpersist()
 
 
-def run_incremental(stream: DataFrame, table: ComponentTable, checkpoint: str | None = None,
-                    src: str = "src", dst: str = "dst", available_now: bool = True):
-    """Start a streaming query that keeps ``table`` current. ``stream`` is any
-    streaming DataFrame with two id columns."""
-    spark = stream.sparkSession
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/linkset-stream-{id(table):x}"
-    edges = stream.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    writer = edges.writeStream.foreachBatch(table.merge_batch).option("checkpointLocation", ckpt)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+def merge_batch(components: DataFrame, batch: DataFrame, **kw) -> DataFrame:
+    """``(node, component)`` after the edges ``(src, dst)`` of a batch. Merging a
+    batch twice changes nothing, so a replay is safe."""
+    return merge_components(components, extra_edges=batch, **kw)
