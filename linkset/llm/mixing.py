@@ -155,3 +155,26 @@ def mixed(docs: DataFrame, workspace: Workspace, weights: tuple[int, ...] = WEIG
 
 def op7_quality_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), Workspace(spark, label="op7"))
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5(concat_ws('|', '{SEED}', doc_id, t)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE)
+    / (0.05::DOUBLE + 0.95::DOUBLE * length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / greatest(length(t), 1)) AS key
+    FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, 3 * sum(size) AS cap,
+             {list(WEIGHTS)}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+lv AS (SELECT cap / w AS fills, (sum(n) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+       FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, n AS source_size, target, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS epochs
+      FROM (SELECT *, least(cap::DOUBLE, w * (SELECT level FROM lv WHERE level <= fills ORDER BY fills LIMIT 1)) AS target FROM s)),
+r AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
+             sum(size) OVER (PARTITION BY d.source ORDER BY key) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+cut AS (SELECT source, max(key) FILTER (WHERE run <= rest) AS cut,
+               any_value(rest) - coalesce(max(run) FILTER (WHERE run <= rest), 0) AS gap FROM r GROUP BY source),
+late AS (SELECT r.source, key, sum(size) AS size, any_value(gap) AS gap FROM r JOIN cut ON r.source IS NOT DISTINCT FROM cut.source
+         WHERE gap > 0 AND size > 0 AND (cut IS NULL OR key > cut) GROUP BY r.source, key),
+pick AS (SELECT source, arg_min(key, abs(size - gap)) AS last FROM late WHERE size < 2 * gap GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN key <= cut OR key = last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r JOIN cut ON r.source IS NOT DISTINCT FROM cut.source LEFT JOIN pick ON r.source IS NOT DISTINCT FROM pick.source
+"""

@@ -207,3 +207,53 @@ def keep_good(docs: DataFrame, workspace: Workspace, min_docs: int = MIN_DOCS) -
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), Workspace(spark, label="op5"))
+
+
+_SLACK_SQL = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items()) + " END"
+_FENCE_SQL = f"""
+    SELECT {{keys}} measure, max(whole) AS docs, min(CASE WHEN run * 4 >= whole * 3 THEN edge END)
+           + {FENCE} * greatest(min(CASE WHEN run * 4 >= whole * 3 THEN edge END)
+           - min(CASE WHEN run * 4 >= whole THEN edge END), {_SLACK_SQL}) AS fence
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {{keys}} measure ORDER BY bucket) AS run,
+                 sum(n) OVER (PARTITION BY {{keys}} measure) AS whole,
+                 CASE WHEN bucket < 64 THEN bucket
+                      ELSE ((bucket - (bucket - 32) // 32 * 32 + 1) << ((bucket - 32) // 32)) - 1 END AS edge
+          FROM (SELECT {{keys}} measure, bucket, count(*) AS n FROM b GROUP BY ALL))
+    GROUP BY {{keys}} measure"""
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM d),
+g AS (SELECT doc_id, i, word, lag(word) OVER o AS prior, CASE WHEN count(*) OVER f = 5 THEN string_agg(word, ' ') OVER f END AS s
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i),
+                    f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+r AS (SELECT *, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, s) > 1 THEN 1 END AS again FROM g),
+c AS (SELECT doc_id, count(*) FILTER (WHERE hit) AS n_repeat_words, count(*) FILTER (WHERE word = prior) AS n_stutter
+      FROM (SELECT *, count(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0 AS hit FROM r)
+      GROUP BY doc_id),
+f AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutter, 0) AS n_stutter,
+             CAST(length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_upper
+      FROM d LEFT JOIN c USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             n_symbols * 1000 // greatest(n_words, 1) AS symbols, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
+             n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, n_stutter * 1000 // greatest(n_words, 1) AS stutter,
+             n_upper * 1000 // greatest(word_chars, 1) AS upper, word_chars * 10 // greatest(n_words, 1) AS word_len FROM f),
+u AS (SELECT doc_id, lang, source, unnest({list(SLACK)}) AS measure, unnest([{', '.join(SLACK)}]) AS v FROM m),
+b AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS bucket FROM u),
+own AS ({_FENCE_SQL.format(keys="lang, source,")}),
+by_lang AS ({_FENCE_SQL.format(keys="lang,")}),
+by_all AS ({_FENCE_SQL.format(keys="")}),
+bad AS (SELECT DISTINCT b.doc_id FROM b JOIN own o ON o.lang IS NOT DISTINCT FROM b.lang
+               AND o.source IS NOT DISTINCT FROM b.source AND o.measure = b.measure
+        JOIN by_lang l ON l.lang IS NOT DISTINCT FROM b.lang AND l.measure = b.measure
+        JOIN by_all a ON a.measure = b.measure
+        WHERE b.v > CASE WHEN o.docs >= {MIN_DOCS} THEN o.fence WHEN l.docs >= {MIN_DOCS} THEN l.fence ELSE a.fence END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+"""

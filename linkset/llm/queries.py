@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from linkset.llm.covertree import OP3_SQL, op3_cover_tree
-from linkset.llm.mixing import op7_quality_mix
+from linkset.llm.mixing import OP7_SQL, op7_quality_mix
 from linkset.llm.packing import op8_length_buckets
 from linkset.llm.pii import op2_pii_bootstrap
-from linkset.llm.quality import op5_quality_rules
+from linkset.llm.quality import OP5_SQL, op5_quality_rules
 from linkset.llm.repeats import OP9_SQL, op9_seed_extend
 from linkset.llm.simhash import op10_simhash_trie
 from linkset.llm.tokens import op4_arrow_tokens
@@ -17,4 +17,10 @@ QUERIES = {f.__name__: f for f in (
     op1_warc_assembly, op2_pii_bootstrap, op3_cover_tree, op4_arrow_tokens, op5_quality_rules,
     op6_toxicity_crf, op7_quality_mix, op8_length_buckets, op9_seed_extend, op10_simhash_trie)}
 
-ORACLES: dict[str, str] = {"op1_warc_assembly": OP1_SQL, "op3_cover_tree": OP3_SQL, "op9_seed_extend": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc_assembly": OP1_SQL,
+    "op3_cover_tree": OP3_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op7_quality_mix": OP7_SQL,
+    "op9_seed_extend": OP9_SQL,
+}
