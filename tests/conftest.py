@@ -10,7 +10,7 @@ from linkset.plans.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[*]", shuffle_partitions=8,
+    s = build_session(master="local[*]", shuffle_partitions=4,
                       extra={"spark.ui.showConsoleProgress": "false"})
     yield s
     s.stop()

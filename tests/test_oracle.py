@@ -21,6 +21,25 @@ def _rows(records, cols):
     return sorted((tuple(_norm(r[i]) for i in order) for r in records), key=repr)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def solved_once():
+    """Queries on the same contraction or star run share it here; on their own
+    they each solve the graph."""
+    kept = {}
+
+    def once(name, solve):
+        def call(spark, sf_dir, *graph, **kw):
+            key = (name, sf_dir, graph, tuple(sorted(kw.items())))
+            if key not in kept:
+                kept[key] = solve(spark, sf_dir, *graph, **kw)
+            return kept[key]
+        return call
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("contraction", "_stars"):
+            patch.setattr(catalog, name, once(name, getattr(catalog, name)))
+        yield
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
