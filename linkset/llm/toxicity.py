@@ -163,11 +163,14 @@ def _adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
 def label_tokens(flat: list[str], first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for each word that is toxic in its (toxic) document."""
     seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    for d in range(len(first) - 1):
-        w = flat[first[d]:first[d + 1]]
-        to = seen[int(toxic[d])]
-        for a, b, c in zip(["", *w[:-1]], w, [*w[1:], ""], strict=True):
-            to[b].add(hash((a, c)))
+    wanted: set | None = None          # clean documents: only words that toxic ones vary
+    for k in (1, 0):
+        for d in np.flatnonzero(toxic == k).tolist():
+            w = flat[first[d]:first[d + 1]]
+            for a, b, c in zip(["", *w[:-1]], w, [*w[1:], ""], strict=True):
+                if wanted is None or b in wanted:
+                    seen[k][b].add(hash((a, c)))
+        wanted = {w for w, ctx in seen[1].items() if len(ctx) >= MIN_CONTEXTS}
     per = [max(1, int((np.diff(first) * (toxic == k)).sum())) for k in (0, 1)]
     bad = {w for w, ctx in seen[1].items() if w and len(ctx) >= MIN_CONTEXTS
            and (len(ctx) / per[1]) >= RATIO * ((len(seen[0].get(w, ())) + 0.25) / per[0])}
