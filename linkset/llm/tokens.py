@@ -2,7 +2,7 @@
 
 Documents are ordered by id, tokenized, and laid end to end; each file holds a
 run of that stream as record batches with two fixed-size-list columns: ``ids``
-(uint32, SEQUENCE of them per row) and ``mask`` (uint8, 1 where a token is).
+(SEQUENCE of them per row) and ``mask`` (true where a token is).
 Only the last row of a file is padded. Any sequence, or any document through
 the index, is then a slice of a mapped buffer: row r of a file is row
 ``r % BATCH_ROWS`` of batch ``r // BATCH_ROWS``, nothing is decoded or copied.
@@ -14,12 +14,15 @@ there. That is exact for tokenizers that never look across white space.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tokenizers
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,74 +35,127 @@ from linkset.plans.workspace import Workspace
 SEQUENCE = 2048
 BATCH_ROWS = 256
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
+SLICE = 1000            # documents encoded together
 
-SCHEMA = pa.schema([("ids", pa.list_(pa.uint32(), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
+def schema_of(vocabulary: int) -> pa.Schema:
+    """Ids take the smallest unsigned type that holds the vocabulary; masks are bits."""
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, SEQUENCE)), ("mask", pa.list_(pa.bool_(), SEQUENCE))])
 
 
-class WordEncoder:
-    """Encodes texts word by word, remembering words it has seen."""
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
-    def __init__(self, model: str):
-        self.tokenizer = Tokenizer.from_str(model)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.size = np.zeros(1 << 12, dtype=np.int64)
-        self.store = np.zeros(1 << 14, dtype=np.uint32)
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the stretches start .. start + size, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+class WordTable:
+    """Ids of words met so far, by the words' 64-bit hashes, sorted."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.store = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in got for i in ids), dtype=np.uint32)
-        n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        first = len(self.at)
-        while first + len(words) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 if new."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def _add(self, h: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         while self.used + len(flat) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
         self.store[self.used:self.used + len(flat)] = flat
-        self.start[first:first + len(n)] = self.used + np.cumsum(n) - n
-        self.size[first:first + len(n)] = n
+        start = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+        order = np.argsort(h)
+        at = np.searchsorted(self.keys, h[order])
+        self.keys = np.insert(self.keys, at, h[order])
+        self.start = np.insert(self.start, at, start[order])
+        self.size = np.insert(self.size, at, size[order])
+
+    def learn(self, words: list[str], h: np.ndarray) -> None:
+        """Encodes new words. A word of Latin letters with full stops or commas
+        behind is its lower-cased letters and these: the tokenizer parts them."""
+        parts = [_parted(w) for w in words]
+        units = list(dict.fromkeys(u for part in parts for u in part))
+        hu = _hashes(units)
+        new = np.flatnonzero(self.find(hu) < 0)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [units[i] for i in new.tolist()], add_special_tokens=False)]
+        self._add(hu[new], np.fromiter((i for ids in got for i in ids), np.uint32),
+                  np.fromiter(map(len, got), np.int32, count=len(got)))
+        rest = np.flatnonzero(self.find(h) < 0)
+        row = dict(zip(units, self.find(hu).tolist(), strict=True))
+        head, tail = (np.array([row[parts[i][k]] for i in rest.tolist()], np.int64) for k in (0, 1))
+        both = np.stack([head, tail], axis=1).reshape(-1)
+        flat = self.store[_spread(self.start[both], self.size[both])]
+        self._add(h[rest], flat, self.size[head] + self.size[tail])
+
+
+def _parted(word: str) -> tuple[str, str]:
+    if "<|" in word or not word or max(word) > "\xff":
+        return word, ""
+    low = word.lower()
+    core = low.rstrip(".,")
+    return (core, low[len(core):]) if core[-1:].isalpha() else (low, "")
+
+
+class WordEncoder:
+    """Encodes texts word by word, remembering words it has seen."""
+
+    def __init__(self, model: str):
+        # Python workers serve many tasks: what one has learnt helps the next
+        tables = tokenizers.__dict__.setdefault("_linkset_word_tables", {})
+        key = hashlib.sha1(model.encode()).digest()
+        if key not in tables:
+            tables[key] = WordTable(Tokenizer.from_str(model))
+        self.table = tables[key]
+        self.tokenizer = self.table.tokenizer
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
+        table = self.table
         split = pc.ascii_split_whitespace(texts)
-        flat = split.flatten()
-        # ASCII words are lower-cased first, as the tokenizer would, to be fewer;
-        # its own marks are not lower-cased by it
-        plain = pc.and_not(pc.string_is_ascii(flat), pc.match_substring(flat, "<|"))
-        coded = pc.if_else(plain, pc.ascii_lower(flat), flat).dictionary_encode()
+        coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.at) > CACHE_WORDS:
-            self._reset()
-        new = [w for w in words if w not in self.at]
-        if new:
-            self._learn(new)
-        entry = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        entry = entry[coded.indices.to_numpy()] if len(words) else entry
-        n = self.size[entry]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.store[np.arange(total) + np.repeat(self.start[entry] - (ends - n), n)]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if len(table.keys) > CACHE_WORDS:
+            table.clear()
+        h = _hashes(words)
+        new = np.flatnonzero(table.find(h) < 0)
+        if len(new):
+            table.learn([words[i] for i in new.tolist()], h[new])
+        entry = table.find(h)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        n = table.size[entry].astype(np.int64)
+        ids = table.store[_spread(table.start[entry], n)]
+        bounds = np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return ids, np.diff(bounds)
 
 
 class SequenceWriter:
     """One file: ids go in piece by piece, whole batches go out."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, schema: pa.Schema):
         self.uri, self.length, self.pending, self.held = uri, 0, [], 0
+        self.schema, self.kind = schema, schema.field("ids").type.value_type.to_pandas_dtype()
         self.sink = files.open_out(uri)
-        self.writer = pa.ipc.new_file(self.sink, SCHEMA)
+        self.writer = pa.ipc.new_file(self.sink, schema)
 
     def append(self, ids: np.ndarray) -> None:
-        self.pending.append(ids)
+        self.pending.append(ids.astype(self.kind))
         self.held += len(ids)
         self.length += len(ids)
         if self.held >= SEQUENCE * BATCH_ROWS:
@@ -111,10 +167,10 @@ class SequenceWriter:
 
     def _batch(self, ids: np.ndarray) -> None:
         pad = -len(ids) % SEQUENCE
-        mask = np.concatenate([np.ones(len(ids), np.uint8), np.zeros(pad, np.uint8)])
-        ids = np.concatenate([ids, np.zeros(pad, np.uint32)])
+        mask = np.concatenate([np.ones(len(ids), bool), np.zeros(pad, bool)])
+        ids = np.concatenate([ids, np.zeros(pad, self.kind)])
         self.writer.write_batch(pa.RecordBatch.from_arrays(
-            [pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)], schema=SCHEMA))
+            [pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
         if self.held:
@@ -160,9 +216,10 @@ def write_tokens(docs: DataFrame, folder: str, model: str, workspace: Workspace,
         for b in batches:
             if out is None:
                 encoder = WordEncoder(shared.value)
-                out = SequenceWriter(files.new_name(folder, ".arrow"))
-            for i in range(0, b.num_rows, 500):
-                s = b.slice(i, 500)
+                size = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
+                out = SequenceWriter(files.new_name(folder, ".arrow"), schema_of(size))
+            for i in range(0, b.num_rows, SLICE):
+                s = b.slice(i, SLICE)
                 ids, n = encoder.encode(s.column(1))
                 # an end id after each document
                 full = np.insert(ids, np.cumsum(n), np.uint32(end_id))
