@@ -18,7 +18,7 @@ EXPECTED = {
                     [27000, 45020, 52532, 14734, 192]),
     "cust_nation": ([1485, 15], [14, 11], None),
 }
-STAR_ROUNDS = {"order_part": 4, "part_supp": 3, "order_chain": 6}
+STAR_ROUNDS = {"order_part": 5, "part_supp": 3, "order_chain": 6}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
