@@ -35,9 +35,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ANCHORS = ("response", "revisit", "resource")
 
 
-def record_id(page_id: int | None, digest: str, kind: str) -> str:
-    name = hashlib.md5(f"{page_id}|{digest}|{kind}".encode()).digest()
-    return f"<urn:uuid:{uuid.UUID(bytes=name)}>"
+def record_id() -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>"
 
 
 def record(kind: str, rid: str, headers: dict[str, str | None], block: bytes) -> bytes:
@@ -49,10 +48,10 @@ def record(kind: str, rid: str, headers: dict[str, str | None], block: bytes) ->
     return head.encode() + block + b"\r\n\r\n"
 
 
-def capture_records(page_id: int | None, url: str | None, payload: bytes,
-                    sha1: str, refers_to: int | None) -> list[bytes]:
-    """The three records of a page; ``refers_to`` makes it a revisit of that page."""
-    main = record_id(page_id, sha1, "response")
+def capture_records(main: str, page_id: int | None, url: str | None, payload: bytes | None,
+                    size: int, sha1: str, refers_to: str | None) -> list[bytes]:
+    """The three records of a page, ``main`` is the id of its response; ``refers_to``
+    makes it a revisit of that record, which needs the payload's size only."""
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
     parts = None
     try:
@@ -61,39 +60,51 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes,
         pass
     path = ((parts.path or "/") + ("?" + parts.query if parts.query else "")) if parts else "/"
     host = parts.netloc if parts else ""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     shared = {"WARC-Target-URI": url, "WARC-Payload-Digest": digest}
     if refers_to is None:
         body = record("response", main, shared | {
             "Content-Type": "application/http; msgtype=response"}, http + payload)
     else:
         body = record("revisit", main, shared | {
-            "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, sha1, "response"),
+            "WARC-Profile": PROFILE, "WARC-Refers-To": refers_to,
             "Content-Type": "application/http; msgtype=response"}, http)
     linked = {"WARC-Target-URI": url, "WARC-Concurrent-To": main}
     ask = f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode(errors="replace")
     note = "".join(f"{k}: {v}\r\n" for k, v in (("page-id", page_id),) if v is not None).encode()
-    return [record("request", record_id(page_id, sha1, "request"), linked | {
+    return [record("request", record_id(), linked | {
                 "Content-Type": "application/http; msgtype=request"}, ask), body,
-            record("metadata", record_id(page_id, sha1, "metadata"), linked | {
+            record("metadata", record_id(), linked | {
                 "Content-Type": "application/warc-fields"}, note)]
 
 
 def write_archive(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``page_id url payload sha1 refers_to`` rows as archives under
-    ``folder``; the lazy result has one row ``uri records`` per file. Write it
-    to a table first and take the archives' names from there."""
+    """Writes ``page_id url payload size sha1 refers_to shared`` rows as archives
+    under ``folder``, every row under record ids of its own. The lazy result has
+    one row ``uri records`` per file, and one row ``sha1 response`` with the id of
+    its response per ``shared`` row. Write it to a table first and take the
+    archives' names and the ids from there."""
     arrow_limits(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, n, size = None, "", 0, 0
         done: list[tuple[str, int]] = []
+        def rows(uris, records, digests, ids) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(uris, pa.string()), pa.array(records, pa.int64()),
+                 pa.array(digests, pa.string()), pa.array(ids, pa.string())],
+                names=["uri", "records", "sha1", "response"])
+
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ids: list[tuple[str, str]] = []
+            for *row, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     uri, n, size = files.new_name(folder, ".warc.gz"), 0, 0
                     out = files.open_out(uri)
-                for rec in capture_records(*row):
+                main = record_id()
+                if shared:
+                    ids.append((row[4], main))
+                for rec in capture_records(main, *row):
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = z.compress(rec) + z.flush()
                     out.write(data)
@@ -102,15 +113,15 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
                     out.close()
                     out = None
                     done.append((uri, n))
+            if ids:
+                yield rows([None] * len(ids), [None] * len(ids), *zip(*ids, strict=True))
         if out is not None:
             out.close()
             done.append((uri, n))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()),
-                                          pa.array([d[1] for d in done], pa.int64())],
-                                         names=["uri", "records"])
+        yield rows([d[0] for d in done], [d[1] for d in done], [None] * len(done), [None] * len(done))
 
-    rows = pages.select("page_id", "url", F.col("payload").cast("binary"), "sha1", "refers_to")
-    return rows.mapInArrow(run, "uri string, records long")
+    columns = pages.select("page_id", "url", F.col("payload").cast("binary"), "size", "sha1", "refers_to", "shared")
+    return columns.mapInArrow(run, "uri string, records long, sha1 string, response string")
 
 
 def parse(stream) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -214,18 +225,31 @@ def assemble(records: DataFrame, workspace: Workspace) -> DataFrame:
 def crawl(pages: DataFrame, workspace: Workspace, min_shared: int = MIN_SHARED) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives; returns their names.
 
-    Only payloads that repeat are looked up when records are written, so pages
-    are not shuffled unless very many payloads repeat.
+    Responses are written first. The ids that they got are looked up when the
+    revisits are written, so that rows may be equal in everything. Only payloads
+    that repeat are looked up, so pages are not shuffled unless very many
+    payloads repeat.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    p = p.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    size = F.octet_length("payload")
-    owners = (p.select("page_id", "sha1", size.alias("size")).where(F.col("size") >= min_shared)
+    p = p.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload")})
+    owners = (p.select("page_id", "sha1", "size").where(F.col("size") >= min_shared)
               .groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")))
     owners = workspace.save(owners.where("n > 1"), "owners")
-    p = attach(p, owners, ["sha1"], "n", ["page_id", "url"])
-    p = p.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
-    return workspace.save(write_archive(p, f"{workspace.root}/warc"), "archives")
+    again = F.coalesce(F.col("page_id") != F.col("owner"), F.lit(False))     # never of a page without id
+    first = attach(p, owners, ["sha1"], "n", ["page_id", "url"]).where(~again)
+    first = first.withColumns({"refers_to": F.lit(None).cast("string"),
+                               "shared": F.coalesce(F.col("page_id") == F.col("owner"), F.lit(False))})
+    folder = f"{workspace.root}/warc"
+    done = workspace.save(write_archive(first, folder), "responses")
+    archives = done.where("uri is not null").select("uri", "records")
+    ids = done.where("response is not null").groupBy("sha1").agg(F.min("response").alias("refers_to"))
+    ids = workspace.save(owners.join(ids, "sha1"), "owner-ids")
+    if ids.isEmpty():
+        return archives
+    rest = attach(p.drop("payload"), ids, ["sha1"], "n", ["page_id", "url"]).where(again)
+    rest = rest.withColumns({"payload": F.lit(None).cast("string"), "shared": F.lit(False)})
+    done = workspace.save(write_archive(rest, folder), "revisits")
+    return archives.unionByName(done.select("uri", "records"))
 
 
 def page_captures(captures: DataFrame, workspace: Workspace) -> DataFrame:
@@ -250,9 +274,10 @@ def page_captures(captures: DataFrame, workspace: Workspace) -> DataFrame:
 
 
 def op1_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null html is an empty payload; among equal payloads the largest page_id
-    (never null) is the response; equal rows are one capture; a null page_id
-    or url is kept as null; an empty table gives no rows."""
+    """Null html is an empty payload; among equal payloads the rows with the
+    largest page_id, and those without one, are responses; every row is a
+    capture of its own, also if it equals another; a null page_id or url is
+    kept as null; an empty table gives no rows."""
     ws = Workspace(spark, label="op1")
     archives = crawl(table(spark, sf_dir, "pages"), ws)
     spread = archives.repartition(max(1, archives.count()), "uri")

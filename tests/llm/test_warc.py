@@ -3,6 +3,7 @@ import hashlib
 import io
 import os
 
+import duckdb
 import pytest
 
 from linkset.llm import warc
@@ -41,6 +42,28 @@ def test_round_trip(spark, ws):
     assert all(c.request.type == "request" and len(c.metadata) == 1 for c in nested)
 
 
+def test_every_row_is_a_capture(spark, ws):
+    """Repeated rows, equal ids with other urls, and many rows without an id."""
+    big, other = "b" * 2000, "é" * 600
+    rows = [(1, "http://a", big), (1, "http://a", big), (1, "http://b", big),          # revisits
+            (7, "http://a", big), (7, "http://a", big), (7, "http://c", big), (7, None, big),
+            (None, "http://n", big), (None, "http://n", big), (None, None, big),
+            (None, "http://n", None), (None, "http://n", None), (None, None, None), (None, None, ""),
+            (None, "http://o", other), (None, "http://o", other),
+            (3, "http://s", "small"), (3, "http://s", "small"), (3, "http://t", "small"), (4, "http://s", "small")]
+    _, records, captures = run(spark, ws, rows)
+    assert records.count() == records.select("record_id").distinct().count() == 3 * len(rows)
+    main = {r.record_id: r.type for r in records.collect()}
+    assert all(main[r.refers_to] == "response" for r in records.where("refers_to is not null").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    res = con.execute(warc.OP1_SQL)
+    cols = [d[0] for d in res.description]
+    got = [tuple(r) for r in warc.page_captures(captures, ws).select(cols).collect()]
+    assert sorted(got, key=repr) == sorted(res.fetchall(), key=repr)
+
+
 def test_archives_are_members_any_reader_can_open(spark, ws):
     archives, _, _ = run(spark, ws, [(i, "http://x", "p" * 2000) for i in range(5)])
     n = 0
