@@ -39,6 +39,7 @@ GRAM = 8
 SAMPLE_DOCS = 4000
 BASE = 0x9E3779B97F4A7C15          # any odd number
 BATCH = 1000                       # documents looked at together
+GROUP = 1 << 22                    # windows compared together, or all of one anchor
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,32 +171,69 @@ def seeds(docs: DataFrame, window: int, gram: int, hot: np.ndarray) -> DataFrame
     return docs.mapInArrow(run, "anchor long, k long, at int, upto int, wins binary")
 
 
-def extend(found: DataFrame, window: int) -> DataFrame:
-    """``k at upto``: words that repeated windows cover, from all :func:`seeds`."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches, FOUND)
-        out = ["k", "at", "upto"]
-        known = t.filter(pc.greater(t["upto"], 0)).select(out)
-        yield from known.to_batches()
-        t = t.filter(pc.equal(t["upto"], 0)).combine_chunks()
-        if not t.num_rows:
-            return
-        col = t["wins"].chunk(0)
-        ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
-        w = np.frombuffer(col.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.uint64)
-        n = np.diff(ends) // 8
-        row = np.repeat(np.arange(len(n)), n)
-        anchor = t["anchor"].to_numpy()[row]
-        order = np.argsort(w, kind="stable")
-        same = (w[order[1:]] == w[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
-        hit = np.zeros(len(w), bool)
+def _windows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of window hashes in each value of a batch's ``wins``, and all hashes."""
+    width = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    _, cuts, data = col.buffers()
+    ends = np.frombuffer(cuts, width)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    if ends[0] == ends[-1]:
+        return np.diff(ends), np.zeros(0, np.uint64)
+    return np.diff(ends) // 8, np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(np.uint64)
+
+
+def _groups(anchor: np.ndarray, n: np.ndarray, group: int) -> Iterator[np.ndarray]:
+    """Rows with all rows of their anchors, about ``group`` windows at a time."""
+    rows = np.argsort(anchor, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], anchor[rows[1:]] != anchor[rows[:-1]]]))
+    done = np.concatenate([[0], np.cumsum(n[rows])])
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(done[first], done[first[i]] + group, side="right")) - 1)
+        j = j if done[-1] - done[first[i]] > group else len(first)
+        yield rows[first[i]:first[j] if j < len(first) else len(rows)]
+        i = j
+
+
+def common_spans(batches: Iterator[pa.RecordBatch], window: int, group: int) -> Iterator[pa.RecordBatch]:
+    """``k at upto`` of what :func:`seeds` found for the anchors of one task. Window
+    hashes may be more than one Arrow array can hold."""
+    parts = []
+    for b in batches:
+        if b.num_rows:
+            upto = b.column("upto").to_numpy()
+            if upto.any():
+                yield b.filter(pa.array(upto > 0)).select(["k", "at", "upto"])
+            parts.append((*(b.column(c).to_numpy() for c in ("anchor", "k", "at")), *_windows(b.column("wins"))))
+    if not parts:
+        return
+    anchor, k, at, n, w = map(np.concatenate, zip(*parts, strict=True))
+    del parts
+    assert len(n) == len(anchor) and n.sum() == len(w)
+    open_ = np.flatnonzero(n)                     # repeats known already have no windows
+    first = np.cumsum(n) - n
+    for rows in _groups(anchor[open_], n[open_], group):
+        rows = open_[rows]
+        size = n[rows]
+        row = np.repeat(rows, size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        h, of = w[first[row] + step], anchor[row]
+        order = np.argsort(h, kind="stable")
+        same = (h[order[1:]] == h[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+        hit = np.zeros(len(h), bool)
         hit[order[1:]] = same
         hit[order[:-1]] |= same
-        start = t["at"].to_numpy().astype(np.int64)[row] + np.arange(len(w)) - (np.cumsum(n) - n)[row]
+        start = at[row].astype(np.int64) + step
         a, z = _spans(hit, row, start)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(t["k"].to_numpy()[row[a]]), pa.array(start[a].astype(np.int32)),
-            pa.array((start[z] + window).astype(np.int32))], names=out)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(k[row[a]]), pa.array(start[a].astype(np.int32)),
+                pa.array((start[z] + window).astype(np.int32))], names=["k", "at", "upto"])
+
+
+def extend(found: DataFrame, window: int) -> DataFrame:
+    """``k at upto``: words that repeated windows cover, from all :func:`seeds`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from common_spans(batches, window, GROUP)
 
     return found.repartition("anchor").mapInArrow(run, "k long, at int, upto int")
 

@@ -73,5 +73,30 @@ def test_gram_hashes():
         assert repeats.gram_hashes(h, n).tolist() == want
 
 
+def seeded(texts, window, gram):
+    """Batches of one text each, as they meet in a task."""
+    for i, t in enumerate(texts):
+        h, first = repeats.word_hashes(pa.array([t or ""]))
+        start, wins, run, anchor, _ = repeats.anchored(h, first, window, gram)
+        if len(run):
+            cuts = np.concatenate([run, [len(start)]])
+            yield repeats._rows(anchor.view(np.int64), np.full(len(run), i), start[run],
+                                np.zeros_like(run), repeats._binary(wins, cuts))
+
+
+@pytest.mark.parametrize("group", [1, 50, 1 << 22])
+def test_all_chunks_are_compared(group):
+    """Window hashes in many chunks, in groups of any size: no repeat is left in."""
+    texts = corpus(3, 10)
+    known = repeats._rows(np.array([5]), np.array([10 ** 6]), np.array([2]), np.array([30]),
+                          repeats._binary(np.zeros(0, np.uint64), np.zeros(2, np.int64)))
+    gone = {i: set() for i in range(len(texts))} | {10 ** 6: set()}
+    for b in repeats.common_spans(iter([known, *seeded(texts, 10, 4), known.slice(0, 0)]), 10, group):
+        for r in b.to_pylist():
+            gone[r["k"]] |= set(range(r["at"], r["upto"]))
+    assert gone.pop(10 ** 6) == set(range(2, 30))
+    assert [len(g) for g in gone.values()] == [n for _, n, _ in brute(texts, 10)]
+
+
 def test_empty(spark, ws, docs):
     assert repeats.without_repeats(docs([]), ws).count() == 0
