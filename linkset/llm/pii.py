@@ -9,7 +9,8 @@ seed entities of a bootstrap over the whole corpus:
 * patterns and distinct instances form a graph. Per kind, seeds have score 1;
   a pattern scores the mean over its instances if at least MIN_SUPPORT of them
   are believed, an instance combines the patterns that score TRUST or more
-  (noisy or). Scores are passed back and forth ROUNDS times;
+  (noisy or). Scores are passed back and forth ROUNDS times, and what is
+  believed after one round supports new patterns in the next;
 * tokens in a pattern that scores CERTAIN, and that score CERTAIN themselves,
   are new spans of that kind.
 
@@ -38,7 +39,10 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = (r"(?:(?<=[\x20\x09-\x0D])|\G)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
-CONTEXT = 120        # characters of context looked at on either side
+#: Characters of context looked at first on either side, and then, if the two
+#: words are not whole in them; after these the whole text.
+CONTEXT = (120, 1920, 30720)
+LONG = 120           # a longer word stands in a pattern by its digest
 MIN_SUPPORT = 3
 TRUST = 0.5
 CERTAIN = 0.9
@@ -110,20 +114,36 @@ def _other_tokens(text: Column, base: Column) -> Column:
     return F.filter(found, free)
 
 
+def _beside(text: Column, s: Column, before: bool, sizes: tuple[int, ...] = CONTEXT) -> Column:
+    """Words of the text before or after a span, the next two of them whole."""
+    def part(size: Column) -> Column:
+        if not before:
+            return F.substring(text, s["end"] + 1, size)
+        a = F.greatest(s["start"] - size, F.lit(0))
+        return F.substring(text, a + 1, s["start"] - a)
+    if not sizes:
+        return words(F.lower(part(s["start"] if before else F.lit(2 ** 31 - 1))))
+
+    def enough(x: Column) -> Column:      # the outermost word may be cut, the text ends in a shorter part
+        return F.when((F.size(x["w"]) > 2) | (F.length(x["part"]) < sizes[0]), x["w"]).otherwise(
+            _beside(text, s, before, sizes[1:]))
+    return bind(part(F.lit(sizes[0])), lambda p: bind(
+        F.struct(p.alias("part"), words(F.lower(p)).alias("w")), enough))
+
+
 def _patterns(text: Column, s: Column) -> Column:
     """The lexical patterns of a span, as strings."""
-    a = F.greatest(s["start"] - CONTEXT, F.lit(0))
-    left = F.lower(F.substring(text, a + 1, s["start"] - a))
-    right = F.lower(F.substring(text, s["end"] + 1, F.lit(CONTEXT)))
-
     def of(lr: Column) -> Column:
+        word = lambda w, i: bind(F.get(w, i), lambda x: F.when(
+            F.length(x) > LONG, F.concat(F.lit(" "), F.sha2(x, 256))).otherwise(x))
         lw, rw = lr["l"], lr["r"]
-        l1, l2 = F.get(lw, F.size(lw) - 1), F.get(lw, F.size(lw) - 2)
-        r1, r2 = F.get(rw, F.lit(0)), F.get(rw, F.lit(1))
-        return F.array_compact(F.array(F.concat(l2, F.lit(" "), l1, F.lit(" _")),
-                                       F.concat(l1, F.lit(" _ "), r1),
-                                       F.concat(F.lit("_ "), r1, F.lit(" "), r2)))
-    return bind(F.struct(words(left).alias("l"), words(right).alias("r")), of)
+        near = F.struct(word(lw, F.size(lw) - 1).alias("l1"), word(lw, F.size(lw) - 2).alias("l2"),
+                        word(rw, F.lit(0)).alias("r1"), word(rw, F.lit(1)).alias("r2"))
+        return bind(near, lambda w: F.array_compact(F.array(
+            F.concat(w["l2"], F.lit(" "), w["l1"], F.lit(" _")),
+            F.concat(w["l1"], F.lit(" _ "), w["r1"]),
+            F.concat(F.lit("_ "), w["r1"], F.lit(" "), w["r2"]))))
+    return bind(F.struct(_beside(text, s, True).alias("l"), _beside(text, s, False).alias("r")), of)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -150,13 +170,11 @@ def score(found: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]
     edges = workspace.save(
         found.select("value", "k", F.explode("patterns").alias("pattern"))
         .groupBy("pattern", "value").agg(F.max("k").alias("k")), "edges")
-    # patterns induced by seeds: believed instances of one kind, enough of them
-    induced = edges.groupBy("pattern").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.greatest(*[F.count(F.when(F.col("k") == k, 1)) for k in ks]).alias("seeds"))
-    induced = workspace.save(induced, "induced")
-    edges = workspace.save(attach(edges, induced, ["pattern"], "n", ["value"])
-                           .where(F.col("seeds") >= MIN_SUPPORT).drop("seeds"), "kept-edges")
+    # a pattern of fewer instances never has enough that are believed, in any round
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    sizes = workspace.save(sizes.where(F.col("n") >= MIN_SUPPORT).withColumn("kept", F.lit(True)), "sizes")
+    edges = workspace.save(attach(edges, sizes, ["pattern"], "n", ["value"])
+                           .where("kept").drop("kept"), "kept-edges")
     seed = [F.max((F.col("k") == k).cast("double")).alias(f"s{k}") for k in ks]
     inst = workspace.save(edges.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), *seed), "instances-0")

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from linkset.llm import pii
 
 FORMS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -72,6 +74,46 @@ def test_contexts_find_what_forms_miss(spark, ws, docs):
     assert out[100] == "you may write to [EMAIL], today or later" and out[101] == rows[41][1]
 
 
+def chain(rng, sep=" "):
+    """Emails follow "write to"; broken ones there also follow "mirror of", and
+    others follow "mirror of" only."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [f"{word()} {word()} please write{sep}to {word()}.{i}@mail.com about {word()} {word()}" for i in range(80)]
+    rows += [f"{word()} may write{sep}to bob{i}@localhost {word()} {word()}" for i in range(6)]
+    rows += [f"{word()} the mirror{sep}of bob{i}@localhost {word()} {word()}" for i in range(6)]
+    rows += [f"{word()} the mirror{sep}of eve{word()}@intranet {word()} {word()}", f"{word()} saw eve@intranet {word()}"]
+    return list(enumerate(rows))
+
+
+def test_believed_instances_support_new_patterns(spark, ws, docs):
+    """No seed follows "mirror of": its instances are believed after round one."""
+    rows = chain(random.Random(2))
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs(rows), ws).collect()}
+    for i, t in rows[80:-1]:
+        m = re.search(r"\w+@\w+", t)
+        assert got[i] == f"email:{m.start()}:{m.end()}", t
+    assert got[rows[-1][0]] == ""
+
+
+def test_contexts_have_whole_words(spark, ws, docs):
+    """Two words, however long they and the blanks are, and at either end."""
+    long = ["x" * 200 + "1", "é" * 3000, "z" * 40000]
+    for w1, w2, sep in (("a", "b", " " * 500), (long[0], long[1], " "), (long[2], long[0], "\n" * 2000), ("c", "d", " ")):
+        for out in ("", "far ", f"far {w2} "):
+            t = f"{out}{w1}{sep}{w2}{sep}q@r.st{sep}{w2}{sep}{w1} {out}"
+            rows = docs([(1, t)]).withColumn("s", F.struct(
+                F.lit(t.index("q@")).alias("start"), F.lit(t.index("q@") + 6).alias("end")))
+            got = rows.select(pii._patterns(F.col("text"), F.col("s")).alias("p")).first().p
+            a, b = (w if len(w) <= 120 else " " + hashlib.sha256(w.encode()).hexdigest() for w in (w1, w2))
+            assert got == [f"{a} {b} _", f"{b} _ {b}", f"_ {b} {a}"]
+
+
+def test_long_blanks_do_not_hide_a_chain(spark, ws, docs):
+    rows = chain(random.Random(3), " " * 150)
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs(rows), ws).collect()}
+    assert all(got[i] for i, _ in rows[80:-1]) and got[rows[-1][0]] == ""
+
+
 def test_masked_rows(spark, ws, docs):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "z@z.zz"), (1, "z@z.zz"), (1, "z@z.zz")]
     df = docs(rows)
