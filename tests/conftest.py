@@ -14,22 +14,3 @@ def spark():
                       extra={"spark.ui.showConsoleProgress": "false"})
     yield s
     s.stop()
-
-
-def union_find(edges):
-    """Expected labels: node -> smallest id of its component."""
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            lo, hi = min(ra, rb), max(ra, rb)
-            parent[hi] = lo
-    return {x: find(x) for x in list(parent)}

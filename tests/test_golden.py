@@ -1,6 +1,6 @@
 """Hand-made graphs with known answers (FIXTURES §2)."""
 
-from conftest import union_find
+from graph_tools import union_find
 
 from linkset.operators.contract import contract
 from linkset.operators.propagate import (direct_edges, propagate_jump, propagate_layers,

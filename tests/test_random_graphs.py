@@ -8,7 +8,7 @@ repeats and self-loops.
 import random
 
 import pytest
-from conftest import union_find
+from graph_tools import union_find
 
 from linkset.operators.contract import contract
 from linkset.operators.graph import disjoint_copies, vertices

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import union_find
+from graph_tools import union_find
 
 from linkset.functions.schema import COMPONENTS, EDGE_TEXT
 from linkset.operators.contract import contract
