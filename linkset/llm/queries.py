@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from linkset.llm.alignment import op12_galloping_alignment
 from linkset.llm.covertree import OP3_SQL, op3_cover_tree
 from linkset.llm.lines import OP13_SQL, op13_line_bitmaps
 from linkset.llm.mixing import OP7_SQL, op7_quality_mix
@@ -18,7 +19,7 @@ from linkset.llm.warc import OP1_SQL, op1_warc_assembly
 QUERIES = {f.__name__: f for f in (
     op1_warc_assembly, op2_pii_bootstrap, op3_cover_tree, op4_arrow_tokens, op5_quality_rules,
     op6_toxicity_crf, op7_quality_mix, op8_length_buckets, op9_seed_extend, op10_simhash_trie, op11_hybrid_search,
-    op13_line_bitmaps)}
+    op12_galloping_alignment, op13_line_bitmaps)}
 
 ORACLES: dict[str, str] = {
     "op1_warc_assembly": OP1_SQL,

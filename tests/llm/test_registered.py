@@ -9,11 +9,11 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark")
 
 
 def test_one_query_per_operator():
-    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
@@ -26,7 +26,8 @@ def test_query(spark, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     whole = {"op1": "pages", "op3": "embeddings"}.get(name.split("_")[0], "documents")
-    assert len(got) == con.execute(f"SELECT count(*) FROM {whole}").fetchall()[0][0]
+    if not name.startswith("op11_"):        # 20 rows an item, at most
+        assert len(got) == con.execute(f"SELECT count(*) FROM {whole}").fetchall()[0][0]
     if name not in entry.oracle_sql():
         return
     res = con.execute(entry.oracle_sql()[name])
