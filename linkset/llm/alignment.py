@@ -13,12 +13,18 @@ document's distinct pairs as ranks in the block's own list of pairs, and
 that list goes to Spark: ``(block, rank, pair, documents)``. Summed by pair and joined
 back, it returns to the block as plain arrays by rank. So neither texts nor tokens are shuffled, and no
 text is tokenized twice.
+
+Tokenizing would cost most. Where neither tokenizer has a token that goes on
+over a space between two characters that are none (their files
+tell), a text is cut there, and a worker tokenizes each different
+chunk once; else it gets whole texts. The tokens are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -39,6 +45,7 @@ from linkset.plans.workspace import Workspace
 BLOCK_BYTES = 16 << 20      # of text; a block has one document at least
 SLICE_BYTES = 1 << 20       # of text, aligned at once; one document at least
 PAIRS = 1 << 22             # linked pairs looked at at once
+CHUNK_BYTES = 64 << 20      # of chunks that a worker remembers
 
 STATS = ["n_a", "n_b", "n_groups", "n_links"]
 HELD = "block long, rank int, pair long, documents long"
@@ -83,6 +90,16 @@ class ByteLevel:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.tokens = Strings([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
                                for t in names])
+        self.apart = self._apart(json.loads(model))
+
+    @staticmethod
+    def _apart(spec: dict) -> bool:
+        """Whether its own pattern parts texts at such spaces, and nothing comes before it."""
+        first = spec.get("pre_tokenizer") or {}
+        return (first.get("type") == "ByteLevel" and first.get("use_regex", True)
+                and not first.get("add_prefix_space") and not spec.get("normalizer")
+                and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+                and all(t["special"] for t in spec.get("added_tokens", [])))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts],
@@ -94,13 +111,14 @@ class Pieces:
 
     def __init__(self, model: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.tokens = Strings([self._bytes(i) for i in range(self.model.get_piece_size())])
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.tokens = Strings([self._bytes(i, n) for i, n in enumerate(names)])
+        self.apart = not any("▁" in n.lstrip("▁") for n in names)
 
-    def _bytes(self, i: int) -> bytes:
+    def _bytes(self, i: int, name: str) -> bytes:
         if self.model.is_control(i) or self.model.is_unknown(i):
             return b""
-        piece = self.model.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
+        return bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -123,6 +141,93 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(ids), np.int64, count=int(n.sum())), n
 
 
+def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts cut before each space that stands between two characters that
+    are not white space: the different chunks (without that space, as the
+    first of a text has none), the number of each chunk in order, and the
+    first chunk of each text (and the end)."""
+    split = pc.split_pattern(texts, " ")
+    coded = split.flatten().dictionary_encode()
+    values, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    first = split.offsets.to_numpy() - split.offsets[0].as_py()
+    head = np.array([bool(v) and not v[0].isspace() for v in values], bool)
+    tail = np.array([bool(v) and not v[-1].isspace() for v in values], bool)
+    begins = np.ones(len(which), bool)
+    begins[1:] = tail[which[:-1]] & head[which[1:]]
+    begins[first[:-1]] = True
+    at = np.flatnonzero(begins)
+    upto = np.append(at[1:], len(which))
+    number, more = which[at].astype(np.int64), {}
+    for g in np.flatnonzero(upto - at > 1).tolist():        # runs of white space, and what is around them
+        joined = " ".join([values[i] for i in which[at[g]:upto[g]].tolist()])
+        number[g] = more.setdefault(joined, len(values) + len(more))
+    used, number = np.unique(number, return_inverse=True)
+    every = [*values, *more]
+    return [every[i] for i in used.tolist()], number, np.searchsorted(at, first)
+
+
+class Chunks:
+    """The ids of both tokenizers for chunks met so far."""
+
+    def __init__(self, a, b):
+        self.sides = (a, b)
+        self.apart = a.apart and b.apart
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.held = 0
+        self.ok = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64) for _ in range(2)]
+        self.size = [np.zeros(0, np.int64) for _ in range(2)]
+
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        if self.held > CHUNK_BYTES:
+            self.clear()
+        new = [c for c in chunks if c not in self.row]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.row.__getitem__, chunks), np.int64, count=len(chunks))
+
+    def _learn(self, new: list[str]) -> None:
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        want = [b" " + c.encode() for c in new]
+        self.held += sum(map(len, want)) + 64 * len(want)
+        ok = np.ones(len(new), bool)
+        for k, side in enumerate(self.sides):
+            ids, n = _flat(side.encode(new))
+            got = side.tokens.join(ids)
+            upto = np.concatenate([[0], np.cumsum(side.tokens.size[ids])])[np.concatenate([[0], np.cumsum(n)])]
+            # one that a tokenizer alters has no tokens
+            ok &= np.array([got[x:y].tobytes() == w for x, y, w in zip(upto, upto[1:], want, strict=False)], bool)
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+            self.size[k] = np.concatenate([self.size[k], n])
+        self.ok = np.concatenate([self.ok, ok])
+
+    def encode(self, texts: pa.Array):
+        """Ids and their number in each text, for both sides; a text that either
+        tokenizer alters, and an empty one, has none."""
+        if self.apart:
+            values, number, first = chunks_of(texts)
+        else:
+            self.clear()
+            values, number = np.unique(np.array(texts.to_pylist(), object), return_inverse=True)
+            values, first = values.tolist(), np.arange(len(texts) + 1)
+        row = self.rows(values)[number]
+        per = np.diff(first)
+        doc = np.repeat(np.arange(len(texts)), per)
+        good = pc.binary_length(texts).to_numpy() > 0
+        good[doc[~self.ok[row]]] = False
+        row, doc = row[good[doc]], doc[good[doc]]
+        out = []
+        for ids, size in zip(self.ids, self.size, strict=True):
+            start = np.cumsum(size) - size
+            n = np.zeros(len(texts), np.int64)
+            np.add.at(n, doc, size[row])
+            out.append((ids[_spread(start[row], size[row])], n))
+        return out
+
+
 def gallop(short: np.ndarray, long: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each of ``short`` the first place of ``long`` (ascending, its last not
     below any of ``short``) that is not below it, searched from place ``at``."""
@@ -172,23 +277,10 @@ def common_ends(a_end: np.ndarray, b_end: np.ndarray, n_a: np.ndarray, n_b: np.n
 class Aligned:
     """The alignment of a slice of texts."""
 
-    def __init__(self, texts: list[str], a, b):
+    def __init__(self, texts: pa.Array, chunks: Chunks):
         self.n = len(texts)
-        want = [b" " + t.encode() if t else b"" for t in texts]
-        # a text that either tokenizer alters has no tokens
-        sides = []
-        ok = np.array([bool(w) for w in want], bool)
-        for side in (a, b):
-            ids, n = _flat(side.encode(texts))
-            got, cuts = side.tokens.join(ids), np.cumsum(n)
-            upto = np.concatenate([[0], np.cumsum(side.tokens.size[ids])])[np.concatenate([[0], cuts])]
-            size = np.diff(upto)
-            for i in np.flatnonzero(ok).tolist():
-                if size[i] != len(want[i]) or got[upto[i]:upto[i + 1]].tobytes() != want[i]:
-                    ok[i] = False
-            sides.append((ids, n))
-        (self.a, self.n_a), (self.b, self.n_b) = (
-            (ids[np.repeat(ok, n)], np.where(ok, n, 0)) for ids, n in sides)
+        a, b = chunks.sides
+        (self.a, self.n_a), (self.b, self.n_b) = chunks.encode(texts)
         a_at, b_at = common_ends(np.cumsum(a.tokens.size[self.a]), np.cumsum(b.tokens.size[self.b]),
                                  self.n_a, self.n_b)
         self.size_a, self.size_b = (np.diff(np.concatenate([[-1], at])) for at in (a_at, b_at))
@@ -214,7 +306,7 @@ class Aligned:
             t = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             wide = self.size_b[g][of]
             code = self.a[a_at[g][of] + t // wide] * width + self.b[b_at[g][of] + t % wide]
-            parts.append(self._summed(self.doc[g][of], code, np.ones(len(of), np.int64)))
+            parts.append(self._summed(self.doc[g][of], code, None))
         for g in np.flatnonzero(big).tolist():      # by distinct ids, some of A's at a time
             xs, nx = np.unique(self.a[a_at[g]:a_at[g] + self.size_a[g]], return_counts=True)
             ys, ny = np.unique(self.b[b_at[g]:b_at[g] + self.size_b[g]], return_counts=True)
@@ -223,14 +315,24 @@ class Aligned:
                 code = (xs[i:i + rows, None] * width + ys).reshape(-1)
                 parts.append((np.full(len(code), self.doc[g]), code,
                               (nx[i:i + rows, None] * ny).reshape(-1)))
-        return self._summed(*map(np.concatenate, zip(*parts, strict=True)))
+        return parts[0] if len(parts) == 1 else self._summed(*map(np.concatenate, zip(*parts, strict=True)))
 
     @staticmethod
-    def _summed(doc: np.ndarray, code: np.ndarray, times: np.ndarray):
-        order = np.lexsort((code, doc)) if len(doc) and doc[-1] != doc[0] else np.argsort(code, kind="stable")
-        doc, code, times = doc[order], code[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])[:len(doc)])
-        return doc[first], code[first], np.add.reduceat(times, first) if len(first) else times
+    def _summed(doc: np.ndarray, code: np.ndarray, times: np.ndarray | None):
+        """Equal (doc, code) together, in order; without ``times`` each counts once."""
+        width = int(code.max(initial=0)) + 1
+        key = doc * width + code                # a slice has few documents: this fits
+        if times is None:
+            key.sort()
+        else:
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        if times is None:
+            times = np.diff(np.append(first, len(key)))
+        elif len(first):
+            times = np.add.reduceat(times, first)
+        return key[first] // width, key[first] % width, times
 
     def digests(self, numbers: Strings) -> list[str]:
         """Of ``a1,a2|b1;a3|b2,b3``: all groups of a document with their ids."""
@@ -314,6 +416,7 @@ def align(docs: DataFrame, folder: str, a: tuple[str, bytes], b: tuple[str, byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = (_loaded(*x) for x in shared.value)
+        chunks = tokenizers.__dict__["_linkset_aligned"].setdefault((id(one), id(two)), Chunks(one, two))
         numbers = _numbers(max(len(one.tokens.size), len(two.tokens.size)))
         block = BlockWriter(folder, width)
         for batch in batches:
@@ -325,7 +428,7 @@ def align(docs: DataFrame, folder: str, a: tuple[str, bytes], b: tuple[str, byte
                 load = int(size[done:done + piece.num_rows].sum())
                 if block.held + load > BLOCK_BYTES:
                     yield from block.flush()
-                found = Aligned(piece.column(1).to_pylist(), one, two)
+                found = Aligned(piece.column(1), chunks)
                 block.add(piece.column(0), found, found.digests(numbers), load)
                 done += piece.num_rows
         yield from block.flush()

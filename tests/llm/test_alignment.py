@@ -127,3 +127,36 @@ def test_common_ends_of_many_documents(seed):
 def test_empty_table(ws, docs, models):
     out = alignment.aligned(docs([]), ws, *models)
     assert out.count() == 0 and out.columns == [c.split()[0] for c in alignment.ALIGNED.split(", ")]
+
+
+def test_chunks_lay_out_the_text():
+    import pyarrow as pa
+    rng = random.Random(4)
+    texts = ["", " ", "a", " a", "a ", "a  b", "a b c", "x  y z", "\n q r", "é 日本 　 語 w"]
+    texts += ["".join(rng.choice(["a", "é", " ", " ", "\n", " ", "."]) for _ in range(rng.randint(0, 40)))
+              for _ in range(300)]
+    values, number, first = alignment.chunks_of(pa.array(["skip", *texts]).slice(1))
+    got = [" ".join(values[i] for i in number[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
+    assert got == texts and len(set(values)) == len(values)
+    for v in values:        # no cut is left out, none is made beside white space
+        assert not any(v[i] == " " and i and i + 1 < len(v) and not v[i - 1].isspace() and not v[i + 1].isspace()
+                       for i in range(len(v)))
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_chunks_have_the_tokens_of_whole_texts(models, monkeypatch, apart):
+    import pyarrow as pa
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 2000)     # forgotten now and then
+    sides = [alignment._loaded(*m) for m in models]
+    chunks = alignment.Chunks(*sides)
+    assert chunks.apart
+    chunks.apart = apart
+    texts = [t or "" for t in corpus(9, 200)]
+    for i in range(0, len(texts), 20):
+        part = texts[i:i + 20]
+        whole = [side.encode(part) for side in sides]
+        fit = [bool(t) and all(side.tokens.join(np.array(w[j], np.int64)).tobytes() == b" " + t.encode()
+                               for side, w in zip(sides, whole, strict=True)) for j, t in enumerate(part)]
+        for (ids, n), w in zip(chunks.encode(pa.array(part)), whole, strict=True):
+            assert n.tolist() == [len(x) if f else 0 for x, f in zip(w, fit, strict=True)]
+            assert ids.tolist() == [y for x, f in zip(w, fit, strict=True) if f for y in x]
