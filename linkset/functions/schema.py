@@ -17,11 +17,6 @@ EDGE_TEXT = T.StructType([
     T.StructField("dst", T.LongType(), True),
 ])
 
-STRING_EDGES = T.StructType([
-    T.StructField("src", T.StringType(), True),
-    T.StructField("dst", T.StringType(), True),
-])
-
 COMPONENTS = T.StructType([
     T.StructField("node", T.LongType(), False),
     T.StructField("component", T.LongType(), False),

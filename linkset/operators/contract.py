@@ -9,10 +9,14 @@ One round over a symmetric edge table ``g(src, dst)``::
     T     += {(vm(u), u) : u ∉ H(u)}                     deactivated
     Seeds += {u : H(u) = {u}, u ∉ G'}                    contract
 
-Everything stays flat (one row per edge, never a neighbour array), so a hub's
-neighbourhood is spread over many tasks: every aggregate combines map-side and
-every join against a per-node table goes through :func:`join_keyed`, which
-splits hot nodes off to a broadcast of their few per-node rows.
+Everything stays flat (one row per edge, never a neighbour array). The steps
+above are operators of their own. The loop (:func:`contract`) runs the same
+definitions on tables it has written in buckets, G by src and H by node: the
+minimum of a node and the edges that need it are then in one task already, so
+a round reads each of the two tables once and exchanges its rows once. Hot nodes
+(more than ``hot_threshold`` rows) are kept apart: their rows are spread
+over all tasks and meet a broadcast of the few hot nodes' values. With an explicit join strategy
+the loop joins per-node tables instead, through :func:`join_keyed`.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from linkset.operators.graph import distinct_edges, normalize, symmetrize
 from linkset.operators.lists import LIST_ROWS, id_lists
-from linkset.plans.joins import HOT_KEY_ROWS, MAX_BROADCAST_ROWS, hot_keys, join_keyed
+from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed
 from linkset.plans.workspace import Workspace
 
 
@@ -108,12 +112,12 @@ def root_candidates(q: DataFrame) -> DataFrame:
 
 # -- the driver loop ------------------------------------------------------------
 
-def round_stats(m: DataFrame, hot_threshold: int) -> dict:
-    """Edge rows and hot nodes of a round's graph, from its minima table: the
-    degrees are there, so one pass over one row per node settles both."""
-    row = m.agg(F.sum("deg").alias("edges"),
-                F.count(F.when(F.col("deg") > hot_threshold, 1)).alias("hot")).first()
-    return {"edges": int(row["edges"] or 0), "hot": int(row["hot"])}
+BUCKET_ROWS = 1 << 16       # rows of a bucket, until there are spark.sql.shuffle.partitions of them
+MAX_HOT = 1 << 20           # hot nodes of a table at most: its threshold rises until that holds
+
+#: What the rows (a, b) of a round's table are, a folder for each: edges of cold and of hot
+#: nodes (the next graph), tree rows (child, parent), seed candidates.
+COLD, HOT, TREE, CANDIDATE = "g", "x", "t", "c"
 
 
 @dataclass
@@ -137,20 +141,17 @@ class ContractionResult:
                     .select("node", "round"))
 
     @property
-    def log(self) -> list[dict]:
-        """Per round: graph rows at the start, tree rows and seeds it produced.
+    def tree_rows(self) -> int:
+        return sum(r["tree_rows"] for r in self.graph_log)
 
-        Tree and seed counts come from one aggregate over the written result,
-        run the first time the log is asked for.
-        """
+    @property
+    def log(self) -> list[dict]:
+        """Per round: graph rows at the start, tree rows and seeds it produced. The
+        seeds are counted the first time the log is asked for."""
         if self._log is None:
-            counts = {r["round"]: (r["t"], r["s"]) for r in (
-                self.resolved.groupBy("round")
-                .agg(F.count(F.when(F.col("parent") != F.col("node"), 1)).alias("t"),
-                     F.count(F.when(F.col("parent") == F.col("node"), 1)).alias("s"))
-                .collect())}
-            self._log = [{**g, "tree_rows": counts.get(g["round"], (0, 0))[0],
-                          "seeds": counts.get(g["round"], (0, 0))[1]} for g in self.graph_log]
+            seeds = {r["round"]: r["s"] for r in
+                     self.seeds.groupBy("round").agg(F.count(F.lit(1)).alias("s")).collect()}
+            self._log = [{**g, "seeds": seeds.get(g["round"], 0)} for g in self.graph_log]
         return self._log
 
     def log_frame(self) -> DataFrame:
@@ -161,14 +162,222 @@ class ContractionResult:
             rows, "round INT, edges BIGINT, tree_rows BIGINT, seeds BIGINT")
 
 
-def _seed_candidates(q: DataFrame, activity: bool = False) -> DataFrame:
-    return q.where("single AND self" + (" AND active" if activity else "")).select("node")
+@dataclass
+class _Graph:
+    """The graph of a round: rows (a, b[, active]) of cold and of hot nodes."""
+
+    rows: int
+    cold: DataFrame | None
+    hot: DataFrame | None = None
+    hot_nodes: DataFrame | None = None      # (a), MAX_HOT rows at most
+
+    def edges(self) -> DataFrame:
+        parts = [f for f in (self.cold, self.hot) if f is not None]
+        return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumnsRenamed(
+            {"a": "src", "b": "dst"})
+
+
+class _Rounds:
+    """The steps of the loop, for one run."""
+
+    def __init__(self, ws: Workspace, strategy: str, activity: bool, hot_threshold: int):
+        self.ws, self.strategy, self.activity, self.threshold = ws, strategy, activity, hot_threshold
+        self.act = ["active"] if activity else []
+        self.used: list[DataFrame] = []         # tables of one row per node that the round needs
+        self.schema = "a BIGINT, b BIGINT, round INT" + (", active BOOLEAN" if activity else "")
+
+    def _over(self, key: str) -> list[str]:
+        return [f"bool_and(active) OVER (PARTITION BY {key}) AS active"] if self.activity else []
+
+    def _agg(self) -> list:
+        return [F.expr("bool_and(active) AS active")] if self.activity else []
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        self.used.append(self.ws.save(df, name))
+        return self.used[-1]
+
+    def _limit(self, rows: int) -> int:
+        return max(self.threshold, rows // MAX_HOT)
+
+    def _parts(self, rows: int) -> int:
+        most = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(most, -(-rows // BUCKET_ROWS)))
+
+    def first(self, edges: DataFrame) -> tuple[_Graph, dict]:
+        g = self.ws.save(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *self.act), "graph",
+                         {"rows": F.count(F.lit(1))})
+        return self._first(g, g.metrics["rows"]), {"round": 0, "path": g._linkset_path, "rows": g.metrics["rows"]}
+
+    def _first(self, g: DataFrame, rows: int) -> _Graph:
+        limit = self._limit(rows)
+        if rows <= limit:
+            return _Graph(rows, g)
+        hot = self._hot(g, limit)
+        if hot is None:
+            return _Graph(rows, g)
+        return _Graph(rows, g.join(F.broadcast(hot), "a", "left_anti"),
+                      g.join(F.broadcast(hot), "a", "left_semi"), hot)
+
+    def _hot(self, rows: DataFrame, limit: int) -> DataFrame | None:
+        hot = self.ws.save(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("a"),
+                           "hot", {"n": F.count(F.lit(1))})
+        return hot if hot.metrics["n"] else None
+
+    def opened(self, record: dict) -> _Graph:
+        """The graph that a commit record speaks of."""
+        spark = self.ws.spark
+        if record["round"] == 0:
+            plain = spark.read.schema(self.schema.replace(", round INT", "")).parquet(record["path"])
+            return self._first(self.ws.adopt(plain, record["path"]), record["rows"])
+        n, path = record["counts"], record["path"]
+        part = {}
+        for kind in (COLD, HOT):
+            part[kind] = None
+            if n[kind]:
+                f = (self.ws.buckets(f"{path}/kind={kind}", self.schema, "a", record["buckets"]) if kind == COLD
+                     else spark.read.schema(self.schema).parquet(f"{path}/kind={kind}"))
+                part[kind] = f.select("a", "b", *self.act)
+                part[kind]._linkset_path = f"{path}/kind={kind}"
+        hot = spark.read.schema("a BIGINT").parquet(record["hot"]) if n[HOT] else None
+        return _Graph(n[COLD] + n[HOT], part[COLD], part[HOT], hot)
+
+    # -- H, as a bag (node, w, sender[, active]) --
+
+    def sent_cold(self, g: DataFrame) -> DataFrame:
+        """One pass over edges that are bucketed by ``a``. The row of the smallest
+        neighbour, one for each node, also stands for the node itself."""
+        seen = g.selectExpr("a", "b", "min(b) OVER (PARTITION BY a) AS mn", *self._over("a"))
+        return seen.selectExpr("explode(if(b = mn, array(b, a), array(b))) AS node", "least(a, mn) AS w",
+                               "a AS sender", *self.act)
+
+    def sent_hot(self, g: DataFrame) -> DataFrame:
+        m = self._kept(g.groupBy("a").agg(F.expr("least(a, min(b)) AS w"), *self._agg()), "hot-minima")
+        sent = g.select("a", "b").join(F.broadcast(m), "a")
+        return sent.selectExpr("b AS node", "w", "a AS sender", *self.act).unionByName(
+            m.selectExpr("a AS node", "w", "a AS sender", *self.act))
+
+    def sent(self, g: _Graph) -> DataFrame:
+        if self.strategy == "auto":
+            parts = ([self.sent_cold(g.cold)] if g.cold is not None else []) + (
+                [self.sent_hot(g.hot)] if g.hot is not None else [])
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        edges = g.edges()
+        m = self._kept(local_minima(edges, self.activity), "minima")
+        hot_rows = 0 if g.hot is None else None
+        return _sent(edges, m, self.strategy, self.activity, self.threshold, hot_rows).withColumn(
+            "sender", F.xxhash64("w"))
+
+    def write_sent(self, g: _Graph, r: int) -> tuple[_Graph, str]:
+        """H by node; rows of hot nodes are spread by their senders."""
+        h = self.sent(g)
+        kind, key = F.lit(COLD), F.col("node")
+        if g.hot_nodes is not None:
+            h = h.join(F.broadcast(g.hot_nodes.select(F.col("a").alias("node"), F.lit(True).alias("is_hot"))),
+                       "node", "left")
+            kind = F.when(F.col("is_hot"), HOT).otherwise(COLD)
+            key = F.when(F.col("is_hot"), F.xxhash64("sender")).otherwise(F.col("node"))
+        n = self._parts(2 * g.rows)
+        path, seen = self.ws.write_buckets(
+            h.select(F.col("node").alias("a"), F.col("w").alias("b"), *self.act, kind.alias("kind"), key.alias("_key"))
+             .repartition(n, "_key").drop("_key"),
+            f"sent-{r}", "a", n, by="kind", metrics=_counts(COLD, HOT))
+        schema = self.schema.replace(", round INT", "")
+        part = {k: None if not seen[k] else self.ws.buckets(f"{path}/kind={k}", schema, "a", n) if k == COLD
+                else self.ws.spark.read.schema(schema).parquet(f"{path}/kind={k}") for k in (COLD, HOT)}
+        return _Graph(seen[COLD] + seen[HOT], part[COLD], part[HOT], g.hot_nodes), path
+
+    # -- G', tree rows and candidates, as rows (kind, a, b[, active]) --
+
+    def _emitted(self, edge: str, node: str) -> str:
+        """Rows that a row of H leads to: the edge vm - w both ways, and once for
+        each node its tree row or its candidacy; rows without a kind are none."""
+        act = ", 'active', active" if self.activity else ""
+        rows = [(f"if({edge}, '{COLD}', NULL)", "vm", "w"), (f"if({edge}, '{COLD}', NULL)", "w", "vm"),
+                (f"CASE WHEN NOT {node} THEN NULL WHEN NOT self THEN '{TREE}' WHEN vm = mx THEN '{CANDIDATE}' END",
+                 "node", "if(self, node, vm)")]
+        return "inline(array(" + ", ".join(
+            f"named_struct('kind', {kind}, 'a', {a}, 'b', {b}{act})" for kind, a, b in rows) + "))"
+
+    def next_cold(self, h: DataFrame) -> DataFrame:
+        """One pass over H rows that are bucketed by ``a``, the node."""
+        p = "OVER (PARTITION BY a)"
+        seen = h.selectExpr("a AS node", "b AS w", f"min(b) {p} AS vm", f"max(b) {p} AS mx",
+                            f"bool_or(b = a) {p} AS self", "row_number() OVER (PARTITION BY a ORDER BY b) AS k",
+                            *self._over("a"))
+        return seen.selectExpr(self._emitted("w <> vm", "k = 1")).where("kind IS NOT NULL")
+
+    def next_hot(self, h: DataFrame) -> DataFrame:
+        q = self._kept(h.groupBy("a").agg(F.expr("min(b) AS vm"), F.expr("max(b) AS mx"),
+                                          F.expr("bool_or(b = a) AS self"), *self._agg()), "hot-nodes")
+        edges = h.select("a", "b").join(F.broadcast(q), "a").selectExpr(
+            "a AS node", "b AS w", "vm", "mx", "self", *self.act)
+        nodes = q.selectExpr("a AS node", "vm AS w", "vm", "mx", "self", *self.act)
+        return edges.selectExpr(self._emitted("w <> vm", "false")).unionByName(
+            nodes.selectExpr(self._emitted("false", "true"))).where("kind IS NOT NULL")
+
+    def next_joined(self, h: _Graph) -> DataFrame:
+        bag = h.edges().withColumnsRenamed({"src": "node", "dst": "w"})
+        q = self._kept(summarize(bag, self.activity), "nodes")
+        nxt = prune(bag, q, self.strategy, self.activity, self.threshold + 1, 0 if h.hot is None else None)
+        return (nxt.selectExpr(f"'{COLD}' AS kind", "src AS a", "dst AS b", *self.act)
+                .unionByName(q.where("NOT self").selectExpr(f"'{TREE}' AS kind", "node AS a", "vm AS b", *self.act))
+                .unionByName(q.where("single AND self").selectExpr(
+                    f"'{CANDIDATE}' AS kind", "node AS a", "node AS b", *self.act)))
+
+    def write_next(self, h: _Graph, r: int) -> dict:
+        """The round's table; its commit record."""
+        if self.strategy == "auto":
+            parts = ([self.next_cold(h.cold)] if h.cold is not None else []) + (
+                [self.next_hot(h.hot)] if h.hot is not None else [])
+            rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            limit = self._limit(2 * h.rows)
+            # a node of the next graph has at most as many edges as there are rows for it now
+            hot = self._hot(rows.where(F.col("kind") == COLD), limit) if 2 * h.rows > limit else None
+            keys = ["kind", "a", "b"]
+            rows = rows.groupBy(*keys).agg(*self._agg()) if self.activity else rows.dropDuplicates(keys)
+        else:
+            rows = self.next_joined(h)
+            limit = self._limit(2 * h.rows)
+            hot = self._hot(rows.where(F.col("kind") == COLD), limit) if 2 * h.rows > limit else None
+        key = F.col("a")
+        if hot is not None:
+            rows = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "a", "left")
+            is_hot = F.col("is_hot") & (F.col("kind") == COLD)
+            key = F.when(is_hot, F.xxhash64("a", "b")).otherwise(key)
+            rows = rows.withColumn("kind", F.when(is_hot, HOT).otherwise(F.col("kind")))
+        n = self._parts(2 * h.rows)
+        path, seen = self.ws.write_buckets(
+            rows.select("a", "b", F.lit(r).cast("int").alias("round"), *self.act, "kind", key.alias("_key"))
+                .repartition(n, "_key").drop("_key"),
+            f"round-{r}", "a", n, by="kind", metrics=_counts(COLD, HOT, TREE, CANDIDATE))
+        return {"round": r, "path": path, "buckets": n, "counts": dict(seen),
+                "hot": hot._linkset_path if hot is not None else None}
+
+
+def _counts(*kinds: str) -> dict:
+    return {k: F.count(F.when(F.col("kind") == k, 1)) for k in kinds}
+
+
+def _seeds(rounds: _Rounds, records: list[dict], tree: DataFrame | None, strategy: str) -> DataFrame | None:
+    """(node, round): candidates that never retire, in the last round that has them
+    (a candidate that stays in the graph is a candidate or a child again later)."""
+    paths = [f"{r['path']}/kind={CANDIDATE}" for r in records if r["counts"][CANDIDATE]]
+    if not paths:
+        return None
+    found = rounds.ws.spark.read.schema(rounds.schema).parquet(*paths)
+    last = [F.max("round").alias("round"), *([F.max_by("active", "round").alias("active")] if rounds.activity else [])]
+    found = found.groupBy(F.col("a").alias("node")).agg(*last)
+    if rounds.activity:
+        found = found.where("active")
+    if tree is not None:
+        found = join_keyed(found, tree.select("node"), "node", "left_anti", strategy)
+    return found.select("node", "round")
 
 
 def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str = "auto",
              seed_strategy: str = "auto", activity: bool = False,
-             hot_threshold: int | None = None,
-             workspace: Workspace | None = None) -> ContractionResult:
+             hot_threshold: int | None = None, workspace: Workspace | None = None,
+             resume: str | None = None) -> ContractionResult:
     """Run rounds until the graph is empty.
 
     ``edges`` is any ``(src, dst)`` table; it is normalised (G1+G3, S8) unless
@@ -176,80 +385,64 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     with a False flag makes no seed of a component it is part of: flags are
     combined with AND along every edge row.
 
-    A round computes m, takes the number of edges (the loop test) and of hot
-    nodes from it, writes H and q, and then writes, partitioned by ``kind``, the
-    next graph G' (``kind=g``) and the nodes resolved so far (``kind=r``):
-    this round's tree rows, and the previous round's seeds. A seed of round r
-    is a round-r candidate (H(u) = {u}) that is not a node of G_{r+1}; m of
-    round r+1 has exactly one row per such node, so the test is an anti join
-    against a table this round computes anyway.
-
-    Only m, one row per node, is persisted, for its round; a lost executor
-    recomputes it from this round's written G. What ends the loop is an empty minima table: an error
-    while reading the round's files is raised. Only scalars reach the driver.
+    A round writes H, in buckets of its nodes, and then one table with the next graph (in
+    buckets of ``a``), the round's tree rows and its seed candidates. The
+    numbers that end the loop, size the buckets and fill the log are
+    taken by these two writes. Seeds are the candidates that never retire; they
+    are found once, at the end. Only scalars reach the driver; an
+    unreadable file is an error, never an empty graph.
+
+    ``resume`` names a folder for this run alone. Each finished round leaves a
+    commit record there. If the driver is lost, the same call goes on after
+    the last of them; once all is done it returns the result as it is.
     """
     spark = edges.sparkSession
-    ws = workspace or Workspace(spark, label="contract")
-    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
-    act = ["active"] if activity else []
-    no_act = ["CAST(NULL AS BOOLEAN) AS active"] if activity else []
-    flag = ", active BOOLEAN" if activity else ""
-    g = edges if normalized else normalize(edges)
-    if activity and "active" not in g.columns:
-        g = g.withColumn("active", F.lit(True))
-    g = ws.save(g.select("src", "dst", *act), "graph")
-    steps = ws.folder("rounds")
-    graph_log: list[dict] = []
-    prev_q = None
-    r = 0
-    while True:
-        m = local_minima(g, activity).persist()
-        stats = round_stats(m, thr)
-        if stats["edges"] == 0:
-            m.unpersist()
-            break
-        r += 1
-        graph_log.append({"round": r, "edges": stats["edges"]})
-        # hot nodes are those of degree > thr: in m (deg) and in q (n = deg + 1)
-        h = ws.save(_sent(g, m, prune_strategy, activity, thr, stats["hot"]), f"sent-{r}")
-        q = ws.save(summarize(h, activity), f"nodes-{r}")
-        nxt = prune(h, q, prune_strategy, activity, thr + 1, stats["hot"])
-        rows = [nxt.selectExpr("src AS a", "dst AS b", *act, f"CAST({r} AS INT) AS round",
-                               "'g' AS kind"),
-                deactivated(q, r).selectExpr("child AS a", "parent AS b", *no_act, "round",
-                                             "'r' AS kind")]
-        if prev_q is not None:
-            live = m.select("node")
-            if seed_strategy == "broadcast":
-                live = F.broadcast(live) if live.count() <= MAX_BROADCAST_ROWS else live.hint("merge")
-            elif seed_strategy == "shuffle":
-                live = live.hint("merge")
-            rows.append(_seed_candidates(prev_q, activity).join(live, "node", "left_anti")
-                        .selectExpr("node AS a", "node AS b", *no_act,
-                                    f"CAST({r - 1} AS INT) AS round", "'r' AS kind"))
-        out = rows[0]
-        for extra in rows[1:]:
-            out = out.unionByName(extra)
-        step = f"{steps}/step={r}"
-        out.write.mode("errorifexists").partitionBy("kind").parquet(step)
-        g_next = ws.adopt(
-            spark.read.schema(f"a BIGINT, b BIGINT{flag}, kind STRING").parquet(step)
-            .where("kind = 'g'").selectExpr("a AS src", "b AS dst", *act), f"{step}/kind=g")
-        m.unpersist()
-        ws.release(g, h, prev_q)
-        prev_q, g = q, g_next
-    if prev_q is not None:
-        # the graph is empty: every candidate of the last round is a seed
-        (_seed_candidates(prev_q, activity)
-         .selectExpr("node AS a", "node AS b", *no_act, f"CAST({r} AS INT) AS round", "'r' AS kind")
-         .write.mode("errorifexists").partitionBy("kind").parquet(f"{steps}/step={r + 1}"))
-    ws.release(g, prev_q)
-    if r == 0:
-        resolved = spark.createDataFrame([], "node BIGINT, parent BIGINT, round INT")
+    ws = Workspace.at(spark, resume) if resume else workspace or Workspace(spark, label="contract")
+    rounds = _Rounds(ws, prune_strategy, activity, HOT_KEY_ROWS if hot_threshold is None else hot_threshold)
+    records = ws.commits() if resume else []
+    if records:
+        if records[0]["activity"] != activity:
+            raise ValueError(f"the run in {resume} was begun with activity={records[0]['activity']}")
+        g = rounds.opened(records[-1]) if "result" not in records[-1] else None
+    else:
+        e = edges if normalized else normalize(edges)
+        if activity and "active" not in e.columns:
+            e = e.withColumn("active", F.lit(True))
+        g, record = rounds.first(e)
+        records.append(record | {"activity": activity})
+        if resume:
+            ws.commit(0, records[0])
+    while g is not None and g.rows:
+        r = len(records)
+        h, path = rounds.write_sent(g, r)
+        records.append(rounds.write_next(h, r) | {"edges": g.rows})
+        if resume:
+            ws.commit(r, records[-1])
+        ws.delete(path)
+        ws.release(g.cold, g.hot, g.hot_nodes, *rounds.used)
+        rounds.used = []
+        if r == 1:
+            ws.delete(records[0]["path"])
+        g = rounds.opened(records[-1])
+    done = [r for r in records[1:] if "result" not in r]
+    if not done:
+        return ContractionResult(spark.createDataFrame([], "node BIGINT, parent BIGINT, round INT"), 0, [], ws)
+    paths = [f"{r['path']}/kind={TREE}" for r in done if r["counts"][TREE]]
+    tree = spark.read.schema(rounds.schema).parquet(*paths).selectExpr("a AS node", "b AS parent", "round") if paths else None
+    if "result" in records[-1]:
+        seeds = spark.read.schema("node BIGINT, round INT").parquet(records[-1]["result"])
     else:
-        resolved = (spark.read.schema(f"a BIGINT, b BIGINT{flag}, round INT, step INT, kind STRING")
-                    .parquet(steps).where("kind = 'r'").selectExpr("a AS node", "b AS parent", "round"))
-    return ContractionResult(resolved, r, graph_log, ws)
+        found = _seeds(rounds, done, tree, seed_strategy)
+        if found is None:
+            found = spark.createDataFrame([], "node BIGINT, round INT")
+        seeds = ws.save(found, "seeds")
+        if resume:
+            ws.commit(len(records), {"result": seeds._linkset_path})
+    resolved = seeds.selectExpr("node", "node AS parent", "round")
+    if tree is not None:
+        resolved = tree.unionByName(resolved)
+    log = [{"round": r["round"], "edges": r["edges"], "tree_rows": r["counts"][TREE]} for r in done]
+    return ContractionResult(resolved, len(done), log, ws)
 
 
 # -- views over the forest ------------------------------------------------------

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from linkset.functions.columns import sorted_text
 from linkset.operators.lists import LIST_ROWS, id_lists
 from linkset.plans.joins import find_hot, join_keyed
+from linkset.plans.lookup import asked_of
+from linkset.plans.workspace import Workspace
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
@@ -106,26 +108,27 @@ def vertices(edges: DataFrame) -> DataFrame:
 def graph_counts(edges: DataFrame) -> DataFrame:
     """Edge rows, distinct directed edges, distinct vertices — one row.
 
-    Computed as three separate aggregates so no single ``count(DISTINCT)``
-    forces all rows through one expand; the result is a 1-row cross of scalars.
+    One scan: each edge becomes one row for itself and one for each of its
+    ends, equal ones are counted map-side, and the counts are read off by kind.
     """
-    rows = edges.agg(F.count(F.lit(1)).alias("edge_rows"))
-    pairs = distinct_edges(edges).agg(F.count(F.lit(1)).alias("distinct_edges"))
-    nodes = vertices(edges).agg(F.count(F.lit(1)).alias("vertex_count"))
-    return (rows.unionByName(pairs, allowMissingColumns=True)
-                .unionByName(nodes, allowMissingColumns=True)
-                .agg(F.max("edge_rows").cast("long").alias("edge_rows"),
-                     F.max("distinct_edges").cast("long").alias("distinct_edges"),
-                     F.max("vertex_count").cast("long").alias("vertex_count")))
+    tagged = edges.selectExpr(
+        "inline(array(struct(true AS edge, src AS x, dst AS y), struct(false AS edge, src AS x, NULL AS y), "
+        "struct(false AS edge, dst AS x, NULL AS y)))")
+    each = tagged.groupBy("edge", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.coalesce(F.sum(F.when(F.col("edge"), F.col("n"))), F.lit(0)).cast("long").alias("edge_rows"),
+                    F.count(F.when(F.col("edge"), 1)).alias("distinct_edges"),
+                    F.count(F.when(~F.col("edge"), 1)).alias("vertex_count"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, node_col: str = "node",
-               hot_threshold: int | None = None) -> DataFrame:
+               hot_threshold: int | None = None, workspace: Workspace | None = None) -> DataFrame:
     """Batch neighbour lookup — ``(node, neighbour)`` for every asked node.
-    Hubs' edges are looked up in place, the rest by a shuffle."""
-    asked = nodes.select(F.col(node_col).cast("long").alias("src")).distinct()
-    hot = find_hot(edges, "src", hot_threshold)
-    return (join_keyed(edges, asked, "src", how="left_semi", hot=hot)
+    Other nodes' edges are left out where they are read; of the rest, hubs'
+    edges are looked up in place, the others by a shuffle."""
+    ws = workspace or Workspace(edges.sparkSession, label="lookup")
+    asked, near = asked_of(nodes.select(F.col(node_col).cast("long").alias("src")), "src", edges, ws)
+    hot = find_hot(near, "src", hot_threshold, ws)
+    return (join_keyed(near, asked, "src", how="left_semi", hot=hot)
                  .select(F.col("src").alias("node"), F.col("dst").alias("neighbour")))
 
 

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkset.plans.joins import find_hot, join_keyed
+from linkset.plans.joins import HOT_KEY_ROWS, find_hot, join_keyed
+from linkset.plans.lookup import asked_of
 from linkset.plans.workspace import Workspace
 
 
@@ -50,7 +51,8 @@ def _labels_of_rounds(tree: DataFrame, roots: DataFrame, rounds: int, strategy:
 
 def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
                      hot_threshold: int | None = None, include_roots: bool = True,
-                     rounds: int | None = None, workspace: Workspace | None = None) -> DataFrame:
+                     rounds: int | None = None, rows: int | None = None,
+                     workspace: Workspace | None = None) -> DataFrame:
     """``(node, component, depth)``; roots have depth 0.
 
     ``rounds``, for the forest of a contraction, is its number of rounds: its
@@ -58,6 +60,9 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
     tree goes layer by layer: the nodes labelled in one step are joined to the
     tree in the next, until a step labels none.
 
+    ``rows`` is the number of tree rows, if it is known: a tree of no more rows
+    than ``hot_threshold`` is not searched for hot parents.
+
     With ``include_roots=False`` only tree children are returned (the
     layered output that omits the roots).
     """
@@ -67,7 +72,8 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
     roots = seeds.select("node", F.col("node").alias("component"), F.lit(0).alias("depth"))
     if rounds == 0:
         return roots if include_roots else roots.limit(0)
-    hot = find_hot(edges, "parent", hot_threshold)
+    few = rows is not None and rows <= (HOT_KEY_ROWS if hot_threshold is None else hot_threshold)
+    hot = None if few else find_hot(edges, "parent", hot_threshold, ws)
     if rounds is not None:
         layers = _labels_of_rounds(tree, roots, rounds, strategy, hot, ws)
         return roots.unionByName(layers) if include_roots else layers
@@ -103,7 +109,7 @@ def propagate_shrinking(tree: DataFrame, seeds: DataFrame, *, strategy: str = "a
     ws = workspace or Workspace(spark, label="shrink")
     out_path = ws.folder("labels")
     rest = tree.select("parent", "child")
-    hot = find_hot(rest, "parent", hot_threshold)
+    hot = find_hot(rest, "parent", hot_threshold, ws)
     frontier = seeds.select(F.col("node").alias("parent"), F.col("node").alias("component"))
     step, prev_rest = 0, None
     while True:
@@ -148,13 +154,13 @@ def propagate_jump(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto",
     while True:
         step += 1
         # hot ancestors: many nodes point at one root, so split them off
-        hot = find_hot(ptr, "anc", hot_threshold)
+        hot = find_hot(ptr, "anc", hot_threshold, ws)
         up = ptr.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
         nxt = (join_keyed(ptr, up, "anc", how="left", strategy=strategy, hot=hot)
                .select("node", F.coalesce("anc2", "anc").alias("anc"),
                        (F.coalesce("anc2", "anc") != F.col("anc")).alias("moved")))
-        nxt = ws.save(nxt, f"ptr{step}")
-        moved = nxt.where("moved").count()
+        nxt = ws.save(nxt, f"ptr{step}", {"moved": F.count(F.when(F.col("moved"), 1))})
+        moved = nxt.metrics["moved"]
         ws.release(saved, hot)
         saved, ptr = nxt, nxt.select("node", "anc")
         if moved == 0:
@@ -174,21 +180,21 @@ def propagate_naive(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto"
     spark = tree.sparkSession
     ws = workspace or Workspace(spark, label="naive")
     edges = tree.select("parent", "child")
-    hot = find_hot(edges, "parent", hot_threshold)
-    known = ws.save(seeds.select("node", F.col("node").alias("seed")), "known0")
+    hot = find_hot(edges, "parent", hot_threshold, ws)
+    size = {"rows": F.count(F.lit(1))}
+    known = ws.save(seeds.select("node", F.col("node").alias("seed")), "known0", size)
     step = 0
     while True:
         step += 1
         keyed = known.select(F.col("node").alias("parent"), "seed")
         trip = ws.save(join_keyed(edges, keyed, "parent", how="left", strategy=strategy, hot=hot),
-                       f"triples{step}")
-        missing = trip.where(F.col("seed").isNull()).count()
-        if missing == 0:
+                       f"triples{step}", {"missing": F.count(F.when(F.col("seed").isNull(), 1))})
+        if trip.metrics["missing"] == 0:
             break
         newly = trip.where(F.col("seed").isNotNull()).select(
             F.col("child").alias("node"), "seed")
-        nxt = ws.save(known.unionByName(newly).dropDuplicates(["node"]), f"known{step}")
-        grew = nxt.count() > known.count()
+        nxt = ws.save(known.unionByName(newly).dropDuplicates(["node"]), f"known{step}", size)
+        grew = nxt.metrics["rows"] > known.metrics["rows"]
         ws.release(known, trip)
         known = nxt
         if not grew:  # orphans: their chain has no seed; report them unlabelled
@@ -213,8 +219,11 @@ def direct_edges(tree: DataFrame, seeds: DataFrame, hot_threshold: int | None =
     return _split_by_seeds(tree, seeds, "left_semi", hot_threshold)
 
 
-def root_of(nodes: DataFrame, components: DataFrame, node_col: str = "node") -> DataFrame:
-    """P5: component of each asked node; a node the graph does not know is its own root."""
-    asked = nodes.select(F.col(node_col).cast("long").alias("node")).distinct()
-    return (asked.join(components.select("node", "component"), "node", "left")
+def root_of(nodes: DataFrame, components: DataFrame, node_col: str = "node",
+            workspace: Workspace | None = None) -> DataFrame:
+    """P5: component of each asked node; a node the graph does not know is its own root.
+    The components of other nodes are left out where they are read."""
+    asked, found = asked_of(nodes.select(F.col(node_col).cast("long").alias("node")), "node",
+                            components.select("node", "component"), workspace)
+    return (asked.join(found, "node", "left")
                  .select("node", F.coalesce("component", "node").alias("component")))

@@ -2,18 +2,22 @@
 
 Both steps are "per node minimum, then re-point edges at it", written as a
 map-side-combined ``min`` aggregate and a join back to the edges; no node's
-neighbourhood is ever gathered into one row.
+neighbourhood is ever gathered into one row. While a table has no more rows
+than one hot node may have, the loop takes the minimum by a window instead.
 
 Stop rule (corrected, SURVEY §0.2 row 1): a round is large-star followed by
 small-star; stop when a round leaves the small-star output unchanged as a set.
-Comparing large- and small-star outputs of the same round can stop early.
+Comparing large- and small-star outputs of the same round can stop early. While
+it is written, a table's rows are counted and its row hashes are folded into a
+fingerprint of 128 bits that does not depend on their order. Different
+fingerprints are different sets; equal ones are confirmed by one anti join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkset.operators.graph import distinct_edges, normalize, symmetrize, vertices
@@ -65,11 +69,6 @@ def _re_point(oriented: DataFrame, mn: DataFrame, strategy: str, hot_threshold:
     return distinct_edges(out.select(F.col("x").alias("src"), F.col("mn").alias("dst")))
 
 
-def _hot_rows(mn: DataFrame, threshold: int) -> int:
-    """Hot nodes of a step, from its minima table."""
-    return mn.where(F.col("deg") > threshold).count()
-
-
 @dataclass
 class StarResult:
     pairs: DataFrame        # (src=node, dst=root) for every non-root node that has an edge
@@ -77,11 +76,55 @@ class StarResult:
     rounds: int
 
 
-def _same_set(a: DataFrame, b: DataFrame, na: int, nb: int) -> bool:
-    """Exact set equality of two distinct edge tables: equal sizes and a ⊆ b."""
-    if na != nb:
-        return False
-    return a.join(b, ["src", "dst"], "left_anti").isEmpty()
+def fingerprint() -> dict[str, Column]:
+    """Size and fingerprint of a set of edges. Equal rows would cancel out: a set has none."""
+    return {"rows": F.count(F.lit(1)), "one": F.bit_xor(F.xxhash64("src", "dst")),
+            "two": F.bit_xor(F.xxhash64("dst", "src", F.lit(1)))}
+
+
+def same_set(a: DataFrame, b: DataFrame) -> bool:
+    """Exact equality of two distinct edge tables, written with :func:`fingerprint`."""
+    return a.metrics == b.metrics and a.join(b, ["src", "dst"], "left_anti").isEmpty()
+
+
+def _large_by_window(sym: DataFrame) -> DataFrame:
+    seen = sym.selectExpr("src", "dst", "min(dst) OVER (PARTITION BY src) AS mn").where("dst > src")
+    return distinct_edges(seen.selectExpr("dst AS src", "least(src, mn) AS dst"))
+
+
+def _small_by_window(large: DataFrame) -> DataFrame:
+    """A large-star output has each row once, larger end first; the row of the
+    smallest neighbour stands for the node itself."""
+    seen = large.selectExpr("src", "dst", "min(dst) OVER (PARTITION BY src) AS mn")
+    return distinct_edges(seen.selectExpr("if(dst = mn, src, dst) AS src", "mn AS dst"))
+
+
+class _Loop:
+    """The two half-rounds of the loop on tables of known size."""
+
+    def __init__(self, ws: Workspace, strategy: str, threshold: int):
+        self.ws, self.strategy, self.threshold = ws, strategy, threshold
+
+    def _minima(self, edges: DataFrame) -> tuple[DataFrame, int]:
+        hot = F.count(F.when(F.col("deg") > self.threshold, 1))
+        mn = self.ws.save(_minima(edges), "minima", {"hot": hot})
+        return mn, mn.metrics["hot"]
+
+    def large(self, sym: DataFrame, rows: int, r: int) -> DataFrame:
+        if rows <= self.threshold and self.strategy == "auto":
+            return self.ws.save(_large_by_window(sym), f"large{r}", fingerprint())
+        mn, hot = self._minima(sym)
+        out = self.ws.save(large_star(sym, self.strategy, self.threshold, mn, hot), f"large{r}", fingerprint())
+        self.ws.release(mn)
+        return out
+
+    def small(self, large: DataFrame, r: int) -> DataFrame:
+        if large.metrics["rows"] <= self.threshold and self.strategy == "auto":
+            return self.ws.save(_small_by_window(large), f"small{r}", fingerprint())
+        mn, hot = self._minima(large)
+        out = self.ws.save(_re_point(large, mn, self.strategy, self.threshold, hot), f"small{r}", fingerprint())
+        self.ws.release(mn)
+        return out
 
 
 def star_components(edges: DataFrame, *, strategy: str = "auto",
@@ -90,34 +133,26 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
     """Alternate the two stars until a round changes nothing."""
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="stars")
-    thr = HOT_KEY_ROWS if hot_threshold is None else hot_threshold
-    g = ws.save(normalize(edges), "s-g0")
-    prev, n_prev, current = None, -1, g
+    loop = _Loop(ws, strategy, HOT_KEY_ROWS if hot_threshold is None else hot_threshold)
+    g = ws.save(normalize(edges), "s-g0", {"rows": F.count(F.lit(1))})
+    prev = None
     r = 0
     while True:
         r += 1
         # L1: each edge in both directions
-        sym = current if r == 1 else symmetrize(current)
-        # minima are computed once per half-round; hot nodes are counted from them
-        mn = _minima(sym).persist()
-        large = ws.save(large_star(sym, strategy, thr, mn, _hot_rows(mn, thr)), f"large{r}")
-        mn.unpersist()
-        oriented = ws.save(distinct_edges(small_star_init(large)), f"oriented{r}")
-        mn = _minima(oriented).persist()
-        small = ws.save(_re_point(oriented, mn, strategy, thr, _hot_rows(mn, thr)), f"small{r}")
-        mn.unpersist()
-        ws.release(large, oriented)
-        n_small = small.count()
-        if prev is not None and _same_set(small, prev, n_small, n_prev):
+        sym, rows = (g, g.metrics["rows"]) if prev is None else (symmetrize(prev), 2 * prev.metrics["rows"])
+        large = loop.large(sym, rows, r)
+        small = loop.small(large, r)
+        ws.release(large)
+        if prev is not None and same_set(small, prev):
             ws.release(small)
             break
         ws.release(prev)
-        prev, n_prev, current = small, n_small, small
+        prev = small
     pairs = prev
-    nodes = vertices(g)
-    comp = (nodes.join(pairs.select(F.col("src").alias("node"), F.col("dst").alias("root")),
-                       "node", "left")
-                 .select("node", F.coalesce("root", "node").alias("component")))
+    comp = (vertices(g).join(pairs.select(F.col("src").alias("node"), F.col("dst").alias("root")),
+                             "node", "left")
+                       .select("node", F.coalesce("root", "node").alias("component")))
     comp = ws.save(comp, "star-components")
     ws.release(g)
     return StarResult(pairs, comp, r)

@@ -79,26 +79,38 @@ LABELS = (
     "JOIN recurring.lab AS o ON o.node = e.dst WHERE lab.component < o.component GROUP BY e.dst)")
 
 
-def _rounds(n: int = ORACLE_ROUNDS) -> str:
-    """SURVEY §0.1 unrolled: g1 = e; tree/seeds/log over all rounds."""
-    parts = ["g1 AS (SELECT src, dst FROM e)"]
+def _rounds(n: int = ORACLE_ROUNDS, flags: bool = False) -> str:
+    """SURVEY §0.1 unrolled: g1 = e; tree/seeds/log over all rounds. With
+    ``flags``, e has a column ``active`` that every regrouping combines by AND.
+    Edges left after ``n`` rounds appear as tree rows, which no result has."""
+    def act(source: str) -> str:
+        return f", bool_and({source}) AS active" if flags else ""
+
+    f, seed = (", active", " AND active") if flags else ("", "")
+    once = "GROUP BY ALL" if flags else ""
+    distinct = "" if flags else "DISTINCT "
+    parts = [f"g1 AS (SELECT src, dst{f} FROM e)"]
     for r in range(1, n + 1):
+        m = f", m{r}.active" if flags else ""
         parts += [
-            f"m{r} AS (SELECT src AS node, least(src, min(dst)) AS m FROM g{r} GROUP BY src)",
-            f"h{r} AS (SELECT g{r}.dst AS node, m{r}.m AS w FROM g{r} JOIN m{r} ON g{r}.src = m{r}.node "
-            f"UNION SELECT node, m AS w FROM m{r})",
-            f"q{r} AS (SELECT node, min(w) AS vm, count(*) AS cnt, bool_or(w = node) AS is_self "
+            f"m{r} AS (SELECT src AS node, least(src, min(dst)) AS m{act('active')} FROM g{r} GROUP BY src)",
+            f"h{r} AS (SELECT {distinct}node, w{act('active')} FROM (SELECT g{r}.dst AS node, m{r}.m AS w{m} "
+            f"FROM g{r} JOIN m{r} ON g{r}.src = m{r}.node UNION ALL SELECT node, m AS w{f} FROM m{r}) {once})",
+            f"q{r} AS (SELECT node, min(w) AS vm, count(*) AS cnt, bool_or(w = node) AS is_self{act('active')} "
             f"FROM h{r} GROUP BY node)",
-            f"d{r} AS (SELECT q{r}.vm AS src, h{r}.w AS dst FROM h{r} JOIN q{r} ON h{r}.node = q{r}.node "
-            f"WHERE h{r}.w <> q{r}.vm)",
-            f"g{r + 1} AS (SELECT src, dst FROM d{r} UNION SELECT dst AS src, src AS dst FROM d{r})",
+            f"d{r} AS (SELECT q{r}.vm AS src, h{r}.w AS dst{f and f', q{r}.active'} FROM h{r} "
+            f"JOIN q{r} ON h{r}.node = q{r}.node WHERE h{r}.w <> q{r}.vm)",
+            f"g{r + 1} AS (SELECT {distinct}src, dst{act('active')} FROM (SELECT src, dst{f} FROM d{r} "
+            f"UNION ALL SELECT dst AS src, src AS dst{f} FROM d{r}) {once})",
             f"t{r} AS (SELECT vm AS parent, node AS child, CAST({r} AS INTEGER) AS round FROM q{r} "
             f"WHERE NOT is_self)",
-            f"s{r} AS (SELECT node, CAST({r} AS INTEGER) AS round FROM q{r} WHERE cnt = 1 AND is_self "
+            f"s{r} AS (SELECT node, CAST({r} AS INTEGER) AS round FROM q{r} WHERE cnt = 1 AND is_self{seed} "
             f"AND NOT EXISTS (SELECT 1 FROM g{r + 1} WHERE g{r + 1}.src = q{r}.node))",
         ]
-    parts.append("tree AS (" + " UNION ALL ".join(f"SELECT * FROM t{r}" for r in range(1, n + 1)) + ")")
-    parts.append("seeds AS (" + " UNION ALL ".join(f"SELECT * FROM s{r}" for r in range(1, n + 1)) + ")")
+    parts.append("tree AS (" + " UNION ALL ".join(f"SELECT * FROM t{r}" for r in range(1, n + 1)) +
+                 f" UNION ALL SELECT src, dst, CAST({n + 1} AS INTEGER) FROM g{n + 1})")
+    parts.append("seeds AS (" + " UNION ALL ".join(f"SELECT * FROM s{r}" for r in range(1, n + 1)) +
+                 f" UNION ALL SELECT src, CAST({n + 1} AS INTEGER) FROM g{n + 1})")
     parts.append("log AS (" + " UNION ALL ".join(
         f"SELECT CAST({r} AS INTEGER) AS round, (SELECT count(*) FROM g{r}) AS edges, "
         f"(SELECT count(*) FROM t{r}) AS tree_rows, (SELECT count(*) FROM s{r}) AS seeds"
@@ -178,6 +190,38 @@ def q_edges_isolated(spark, sf_dir):
     return _write_read(spark, sf_dir, lines, lambda p: SRC.read_edges(spark, p, ","))
 
 
+@query("edges_rejected",
+       _with(_g("order_part")) +
+       "SELECT src, dst, CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS reason FROM g0 UNION ALL "
+       "SELECT NULL, NULL, p_name || ',' || p_partkey, 'first field is no id' FROM part UNION ALL "
+       "SELECT NULL, NULL, s_suppkey || ',\"' || s_name || '\"', 'second field is no id' FROM supplier UNION ALL "
+       "SELECT NULL, NULL, ',' || c_custkey, 'first field is no id' FROM customer")
+def q_edges_rejected(spark, sf_dir):
+    """A file with lines that are no edges: they come back as a table, the edges are whole."""
+    t = lambda name, *cols: TG.table(spark, sf_dir, name).select(F.concat(*cols).alias("value"))
+    comma, quote = F.lit(","), F.lit('"')
+    lines = (TG.order_part(spark, sf_dir).select(F.concat("src", comma, "dst").alias("value"))
+             .unionByName(t("part", "p_name", comma, "p_partkey"))
+             .unionByName(t("supplier", "s_suppkey", comma, quote, "s_name", quote))
+             .unionByName(t("customer", comma, "c_custkey")))
+    found = _write_read(spark, sf_dir, lines, lambda p: SRC.read_edges(spark, p, on_bad="keep"))
+    return found.edges.unionByName(found.rejected.select("line", "reason"), allowMissingColumns=True)
+
+
+@query("strings_quoted",
+       "SELECT '\"' || c_name AS src, n_name || '\"' AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey "
+       "UNION ALL SELECT '\"' || s_name || '\"', s_name || '\\' FROM supplier "
+       "UNION ALL SELECT ' ' || p_name || ' ', NULL FROM part")
+def q_strings_quoted(spark, sf_dir):
+    """Names with quotes, blanks and backslashes, and lines of one name, tab-separated."""
+    tab, quote = F.lit("\t"), F.lit('"')
+    lines = (TG.cust_nation_names(spark, sf_dir).select(F.concat(quote, "src", tab, "dst", quote).alias("value"))
+             .unionByName(TG.table(spark, sf_dir, "supplier").select(
+                 F.concat(quote, "s_name", quote, tab, "s_name", F.lit("\\\tmore")).alias("value")))
+             .unionByName(TG.table(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("value"))))
+    return _write_read(spark, sf_dir, lines, lambda p: SRC.read_string_edges(spark, p, "tab"))
+
+
 @query("adjacency_text",
        _with(_g("order_part"), SYM) +
        "SELECT src AS node, CAST(src AS VARCHAR) || chr(9) || "
@@ -363,6 +407,24 @@ def q_seeds_active(spark, sf_dir):
     return contraction(spark, sf_dir, "order_part", activity=True).seeds
 
 
+_IDLE = "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000"
+
+
+@query("seeds_inactive",
+       _with(_g("order_chain"),
+             f"e AS (SELECT src, dst, src NOT IN ({_IDLE}) AS active FROM "
+             "(SELECT src, dst FROM g0 UNION SELECT dst AS src, src AS dst FROM g0))", _rounds(flags=True)) +
+       "SELECT node, round FROM seeds")
+def q_seeds_inactive(spark, sf_dir):
+    """Large urgent orders start inactive: components that hold one have no seed."""
+    idle = (TG.table(spark, sf_dir, "orders")
+            .where("o_orderpriority = '1-URGENT' AND o_totalprice > 300000")
+            .select(F.col("o_orderkey").alias("src"), F.lit(False).alias("active")))
+    g = G.normalize(TG.order_chain(spark, sf_dir)).join(idle, "src", "left")
+    return C.contract(g.select("src", "dst", F.coalesce("active", F.lit(True)).alias("active")),
+                      normalized=True, activity=True).seeds
+
+
 _TREE_SEEDS = _OP_ROUNDS + ("SELECT DISTINCT parent AS node FROM tree "
                             "WHERE parent NOT IN (SELECT child FROM tree)")
 
@@ -615,7 +677,8 @@ def q_component_sizes(spark, sf_dir):
 @query("merge_components", _labels_sql("order_part"))
 def q_merge_components(spark, sf_dir):
     li = TG.table(spark, sf_dir, "lineitem")
-    early = F.year("l_shipdate") < 1998
+    early = F.coalesce(F.year("l_shipdate") < 1998, F.lit(False))
+
     def batch(cond):
         return (li.where(cond).select((F.col("l_orderkey") * 2).alias("src"),
                                       (F.col("l_partkey") * 2 + 1).alias("dst")).distinct())

@@ -15,8 +15,8 @@ PROPAGATIONS = ("layers", "jump")
 def connected_components(edges: DataFrame, *, algorithm: str = "contract",
                          propagation: str = "layers", src: str = "src", dst: str = "dst",
                          prune_strategy: str = "auto", seed_strategy: str = "auto",
-                         hot_threshold: int | None = None,
-                         workspace: Workspace | None = None) -> DataFrame:
+                         hot_threshold: int | None = None, workspace: Workspace | None = None,
+                         resume: str | None = None) -> DataFrame:
     """``(node, component)`` for every node; component = smallest id in it.
 
     ``edges`` is any table with two id columns; a null second id marks an
@@ -24,16 +24,21 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
     reads files under the run's workspace folder (in ``spark.checkpoint.dir``);
     pass your own ``workspace`` (it may serve any number of calls) and call
     ``workspace.close()`` once the results have been written elsewhere.
+
+    ``resume`` names a folder for this run alone, for the contraction to go on
+    in after a lost driver (see :func:`linkset.operators.contract.contract`).
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {ALGORITHMS}")
     e = edges.select(src, dst).toDF("src", "dst") if (src, dst) != ("src", "dst") else edges
+    if resume and algorithm != "contract":
+        raise ValueError("only the contraction can resume")
     ws = workspace or Workspace(edges.sparkSession, label="cc")
     if algorithm == "stars":
         from linkset.operators.stars import star_components
         return star_components(e, hot_threshold=hot_threshold, workspace=ws).components
     res = contract(e, prune_strategy=prune_strategy, seed_strategy=seed_strategy,
-                   hot_threshold=hot_threshold, workspace=ws)
+                   hot_threshold=hot_threshold, workspace=ws, resume=resume)
     if propagation == "jump":
         return propagate_jump(res.tree, res.seeds, strategy=prune_strategy,
                               hot_threshold=hot_threshold, workspace=ws)
@@ -41,7 +46,7 @@ def connected_components(edges: DataFrame, *, algorithm: str = "contract",
         raise ValueError(f"propagation must be one of {PROPAGATIONS}")
     return propagate_layers(res.tree, res.seeds, strategy=prune_strategy,
                             hot_threshold=hot_threshold, rounds=res.rounds,
-                            workspace=ws).select("node", "component")
+                            rows=res.tree_rows, workspace=ws).select("node", "component")
 
 
 def connected_components_named(edges: DataFrame, *, src: str = "src", dst: str = "dst",
@@ -67,6 +72,6 @@ def connected_components_named(edges: DataFrame, *, src: str = "src", dst: str =
     back = ids.select(F.col("id").alias("component"), F.col("name").alias("component_name"))
     named_nodes = labels.join(by_id, "node")      # one-to-one on node
     # a big component is a hot key of the second join: split it off
-    hot = find_hot(labels, "component", kw.get("hot_threshold"))
+    hot = find_hot(labels, "component", kw.get("hot_threshold"), ws)
     return (join_keyed(named_nodes, back, "component", hot=hot)
             .select("name", F.col("component_name").alias("component")))

@@ -7,16 +7,27 @@ executor (files live on shared storage, not in executor memory), and gives
 Catalyst real file sizes for its join choices. Tables of earlier rounds that
 no later step reads are deleted as soon as a round is done, so disk use stays
 at about two rounds of intermediate data however many rounds run.
+
+Tables may be written in buckets of a key: what later groups or joins by that
+key then needs no exchange. Counts of what is written come from the write
+itself (``metrics``), not from another pass. A loop that must survive the loss of its
+driver leaves a small commit record after each round (:meth:`Workspace.commit`)
+and finds them in a run's folder that is opened again (:meth:`Workspace.at`).
 """
 
 from __future__ import annotations
 
+import json
+import logging
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from linkset.plans.session import checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 
 class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None, label: str = "run"):
@@ -24,19 +35,58 @@ class Workspace:
         base = (root or checkpoint_dir(spark)).rstrip("/")
         self.root = f"{base}/linkset-{label}-{uuid.uuid4().hex[:12]}"
         self._seq = 0
+        self._attempt = ""
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Run ``df`` once, write it to the shared folder, return the written table."""
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> Workspace:
+        """The workspace in ``folder`` itself, new or left by an earlier driver.
+        What an unfinished round of that driver wrote is never read or
+        overwritten: names differ from one opening to the next."""
+        ws = cls.__new__(cls)
+        ws.spark, ws.root, ws._seq = spark, folder.rstrip("/"), 0
+        ws._attempt = uuid.uuid4().hex[:8] + "-"
+        return ws
+
+    def save(self, df: DataFrame, name: str, metrics: Mapping[str, Column] | None = None) -> DataFrame:
+        """Run ``df`` once, write it to the shared folder, return the written table.
+        ``metrics`` are aggregates over it, taken while it is written; the
+        returned frame has them as ``metrics``."""
         path = self.folder(name)
-        df.write.mode("errorifexists").parquet(path)
+        seen = Observation()
+        (df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df
+         ).write.mode("errorifexists").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._linkset_path = path
+        out.metrics = seen.get if metrics else {}
+        return out
+
+    def write_buckets(self, df: DataFrame, name: str, key: str, buckets: int, *, by: str,
+                      metrics: Mapping[str, Column]) -> tuple[str, dict]:
+        """Write ``df`` in ``buckets`` buckets of ``key``, a folder ``by=value`` for each
+        value of ``by``. Returns the path and the metrics. For one file a
+        bucket, ``df`` has been repartitioned by ``key``."""
+        path, seen, table = self.folder(name), Observation(), _table_name()
+        (df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
+         .write.format("parquet").mode("errorifexists").option("path", path)
+         .partitionBy(by).bucketBy(buckets, key).saveAsTable(table))
+        self.spark.sql(f"DROP TABLE {table}")       # the files stay
+        return path, seen.get
+
+    def buckets(self, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+        """A folder written in buckets of ``key``; Spark knows that they are."""
+        table = _table_name()
+        self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) "
+                       f"INTO {buckets} BUCKETS LOCATION '{path}'")
+        out = self.spark.table(table)
+        out.schema                                  # resolved: the catalog entry has done its work
+        self.spark.sql(f"DROP TABLE {table}")
+        out._linkset_path = path
         return out
 
     def folder(self, name: str) -> str:
         """A new path for a caller that writes its own files; never given twice."""
         self._seq += 1
-        return f"{self.root}/{self._seq:04d}-{name}"
+        return f"{self.root}/{self._attempt}{self._seq:04d}-{name}"
 
     def adopt(self, df: DataFrame, path: str) -> DataFrame:
         """Mark a frame read from ``path`` (written by the caller) for release."""
@@ -50,19 +100,53 @@ class Workspace:
                 continue
             path = getattr(df, "_linkset_path", None)
             if path is not None:
-                self._delete(path)
+                self.delete(path)
                 df._linkset_path = None
 
     def close(self) -> None:
         """Delete everything this run wrote, results included. Call it once the
         results have been written elsewhere or are no longer needed."""
-        self._delete(self.root)
+        self.delete(self.root)
 
-    def _delete(self, path: str) -> None:
+    def commit(self, number: int, record: dict) -> None:
+        """Leave the record of a finished round: there whole, or not there."""
+        fs, path = self._fs(f"{self.root}/commits/{number:06d}.json")
+        part = self._fs(f"{self.root}/commits/.{number:06d}-{uuid.uuid4().hex}")[1]
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(record).encode()))
+        out.close()
+        if not fs.rename(part, path):
+            raise OSError(f"cannot commit round {number} in {self.root}")
+
+    def commits(self) -> list[dict]:
+        """The records of finished rounds, in order; none in a new folder."""
+        fs, folder = self._fs(f"{self.root}/commits")
+        if not fs.exists(folder):
+            return []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+        found = []
+        for name in names:
+            if name.startswith("."):
+                continue
+            source = fs.open(self._fs(f"{self.root}/commits/{name}")[1])
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            finally:
+                source.close()
+            found.append(json.loads(text))
+        return found
+
+    def _fs(self, path: str):
+        hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+    def delete(self, path: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            hpath = jvm.org.apache.hadoop.fs.Path(path)
-            fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs, hpath = self._fs(path)
             fs.delete(hpath, True)
-        except Exception:  # deletion is an optimisation; never fail the job for it
-            pass
+        except Exception as exc:  # deletion is an optimisation; never fail the job for it
+            log.warning("could not delete %s: %s", path, exc)
+
+
+def _table_name() -> str:
+    return f"spark_catalog.default.linkset_{uuid.uuid4().hex}"

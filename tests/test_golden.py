@@ -150,7 +150,7 @@ def test_root_lookup_unknown_node(spark):
 
 
 def test_intermediate_graphs_are_released(spark):
-    """Only resolved rows stay in the workspace: every round's graph is deleted."""
+    """Only tree rows, candidates and seeds stay in the workspace: every round's graph is deleted."""
     import os
     res = contract(edges_from_rows(spark, G14))
     root = res.workspace.root
@@ -159,5 +159,6 @@ def test_intermediate_graphs_are_released(spark):
     if not os.path.isdir(root):
         return  # not a local folder: nothing to inspect here
     kinds = {d for _, dirs, _ in os.walk(root) for d in dirs if d.startswith("kind=")}
-    assert kinds == {"kind=r"}
+    assert kinds == {"kind=t", "kind=c"}
+    assert not [d for d in os.listdir(root) if "sent" in d or "graph" in d]
     assert res.seeds.count() == 2 and res.tree.count() == 14

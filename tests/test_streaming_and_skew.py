@@ -112,12 +112,13 @@ def test_isolated_names_are_kept(spark):
 def test_unreadable_round_is_an_error(spark, monkeypatch):
     """A storage error must not look like an empty graph."""
     ws = Workspace(spark, label="test-io")
-    real = ws.adopt
+    real = ws.buckets
 
-    def lose(df, path):
-        ws._delete(path)
-        return real(df, path)
-    monkeypatch.setattr(ws, "adopt", lose)
+    def lose(path, *rest):
+        out = real(path, *rest)
+        ws.delete(path)
+        return out
+    monkeypatch.setattr(ws, "buckets", lose)
     with pytest.raises(Exception):
         contract(edges_from_rows(spark, [(1, 2), (2, 5), (5, 8), (7, 8), (3, 7), (3, 4), (3, 6)]), workspace=ws)
 
@@ -147,4 +148,4 @@ def test_hubs_beyond_the_broadcast_bound(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(str, big.join(keyed, "k", how).collect()))
         assert sorted(map(str, join_keyed(big, keyed, "k", how, hot=hot).collect())) == want
-        assert sorted(map(str, join_keyed(big, keyed, "k", how, hot=hot, max_broadcast_rows=3).collect())) == want
+        assert sorted(map(str, join_keyed(big, keyed, "k", how, hot=hot, max_broadcast_bytes=100).collect())) == want
