@@ -11,12 +11,14 @@ One round over a symmetric edge table ``g(src, dst)``::
 
 Everything stays flat (one row per edge, never a neighbour array). The steps
 above are operators of their own. The loop (:func:`contract`) runs the same
-definitions on tables it has written in buckets, G by src and H by node: the
-minimum of a node and the edges that need it are then in one task already, so
-a round reads each of the two tables once and exchanges its rows once. Hot nodes
-(more than ``hot_threshold`` rows) are kept apart: their rows are spread
-over all tasks and meet a broadcast of the few hot nodes' values. With an explicit join strategy
-the loop joins per-node tables instead, through :func:`join_keyed`.
+definitions in one pass and one write a round: dealt by ``src``, a window has each
+edge's minimum beside it; dealt by node, another window has all that H says of a
+node beside each of its rows. G is read once, its rows are exchanged three times
+(by src, by node, and to be distinct), and H and q are never written.
+Nodes with more than ``hot_threshold`` rows are kept out of the windows:
+their rows stay where they are and meet a broadcast of the few hot nodes' values.
+With an explicit join strategy the loop joins per-node tables instead,
+through :func:`join_keyed`.
 """
 
 from __future__ import annotations
@@ -112,12 +114,12 @@ def root_candidates(q: DataFrame) -> DataFrame:
 
 # -- the driver loop ------------------------------------------------------------
 
-BUCKET_ROWS = 1 << 16       # rows of a bucket, until there are spark.sql.shuffle.partitions of them
 MAX_HOT = 1 << 20           # hot nodes of a table at most: its threshold rises until that holds
+HARMLESS = 8                # tables of so many thresholds have no need to look for hot nodes
 
-#: What the rows (a, b) of a round's table are, a folder for each: edges of cold and of hot
-#: nodes (the next graph), tree rows (child, parent), seed candidates.
-COLD, HOT, TREE, CANDIDATE = "g", "x", "t", "c"
+#: What the rows (a, b) of a round's table are, a folder ``kind=...`` for each: edges of
+#: the next graph, tree rows (child, parent), seed candidates.
+EDGE, TREE, CANDIDATE = 0, 1, 2
 
 
 @dataclass
@@ -164,17 +166,11 @@ class ContractionResult:
 
 @dataclass
 class _Graph:
-    """The graph of a round: rows (a, b[, active]) of cold and of hot nodes."""
+    """The graph of a round: rows (a, b[, active]), and its hot nodes (a), if any."""
 
     rows: int
-    cold: DataFrame | None
+    edges: DataFrame
     hot: DataFrame | None = None
-    hot_nodes: DataFrame | None = None      # (a), MAX_HOT rows at most
-
-    def edges(self) -> DataFrame:
-        parts = [f for f in (self.cold, self.hot) if f is not None]
-        return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumnsRenamed(
-            {"a": "src", "b": "dst"})
 
 
 class _Rounds:
@@ -183,185 +179,131 @@ class _Rounds:
     def __init__(self, ws: Workspace, strategy: str, activity: bool, hot_threshold: int):
         self.ws, self.strategy, self.activity, self.threshold = ws, strategy, activity, hot_threshold
         self.act = ["active"] if activity else []
-        self.used: list[DataFrame] = []         # tables of one row per node that the round needs
+        self.used: list[DataFrame] = []         # tables that the round alone needs
         self.schema = "a BIGINT, b BIGINT, round INT" + (", active BOOLEAN" if activity else "")
 
-    def _over(self, key: str) -> list[str]:
-        return [f"bool_and(active) OVER (PARTITION BY {key}) AS active"] if self.activity else []
-
-    def _agg(self) -> list:
-        return [F.expr("bool_and(active) AS active")] if self.activity else []
-
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         self.used.append(self.ws.save(df, name))
         return self.used[-1]
 
-    def _limit(self, rows: int) -> int:
-        return max(self.threshold, rows // MAX_HOT)
-
-    def _parts(self, rows: int) -> int:
-        most = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
-        return max(1, min(most, -(-rows // BUCKET_ROWS)))
+    def _agg(self) -> list:
+        return [F.expr("bool_and(active) AS active")] if self.activity else []
 
-    def first(self, edges: DataFrame) -> tuple[_Graph, dict]:
+    def first(self, edges: DataFrame) -> dict:
         g = self.ws.save(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *self.act), "graph",
                          {"rows": F.count(F.lit(1))})
-        return self._first(g, g.metrics["rows"]), {"round": 0, "path": g._linkset_path, "rows": g.metrics["rows"]}
-
-    def _first(self, g: DataFrame, rows: int) -> _Graph:
-        limit = self._limit(rows)
-        if rows <= limit:
-            return _Graph(rows, g)
-        hot = self._hot(g, limit)
-        if hot is None:
-            return _Graph(rows, g)
-        return _Graph(rows, g.join(F.broadcast(hot), "a", "left_anti"),
-                      g.join(F.broadcast(hot), "a", "left_semi"), hot)
-
-    def _hot(self, rows: DataFrame, limit: int) -> DataFrame | None:
-        hot = self.ws.save(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("a"),
-                           "hot", {"n": F.count(F.lit(1))})
-        return hot if hot.metrics["n"] else None
+        return {"round": 0, "path": g._linkset_path, "rows": g.metrics["rows"], "activity": self.activity}
 
     def opened(self, record: dict) -> _Graph:
         """The graph that a commit record speaks of."""
-        spark = self.ws.spark
+        path, schema = record["path"], self.schema
         if record["round"] == 0:
-            plain = spark.read.schema(self.schema.replace(", round INT", "")).parquet(record["path"])
-            return self._first(self.ws.adopt(plain, record["path"]), record["rows"])
-        n, path = record["counts"], record["path"]
-        part = {}
-        for kind in (COLD, HOT):
-            part[kind] = None
-            if n[kind]:
-                f = (self.ws.buckets(f"{path}/kind={kind}", self.schema, "a", record["buckets"]) if kind == COLD
-                     else spark.read.schema(self.schema).parquet(f"{path}/kind={kind}"))
-                part[kind] = f.select("a", "b", *self.act)
-                part[kind]._linkset_path = f"{path}/kind={kind}"
-        hot = spark.read.schema("a BIGINT").parquet(record["hot"]) if n[HOT] else None
-        return _Graph(n[COLD] + n[HOT], part[COLD], part[HOT], hot)
+            rows, schema = record["rows"], schema.replace(", round INT", "")
+        else:
+            rows, path = record["counts"]["edges"], f"{path}/kind={EDGE}"
+        if not rows:
+            return _Graph(0, self.ws.spark.createDataFrame([], schema))
+        edges = self.ws.adopt(self.ws.spark.read.schema(schema).parquet(path).select("a", "b", *self.act), path)
+        limit = max(self.threshold, rows // MAX_HOT)
+        if rows <= HARMLESS * limit:
+            return _Graph(rows, edges)
+        hot = self.ws.save(edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("a"),
+                           "hot", {"n": F.count(F.lit(1))})
+        self.used.append(hot)
+        return _Graph(rows, edges, hot if hot.metrics["n"] else None)
 
     # -- H, as a bag (node, w, sender[, active]) --
 
-    def sent_cold(self, g: DataFrame) -> DataFrame:
-        """One pass over edges that are bucketed by ``a``. The row of the smallest
-        neighbour, one for each node, also stands for the node itself."""
-        seen = g.selectExpr("a", "b", "min(b) OVER (PARTITION BY a) AS mn", *self._over("a"))
+    def sent_cold(self, edges: DataFrame) -> DataFrame:
+        """Every node's minimum, to its neighbours and itself: the row of its
+        smallest neighbour, one for each node, also stands for the node."""
+        flag = ["bool_and(active) OVER (PARTITION BY a) AS active"] if self.activity else []
+        seen = edges.selectExpr("a", "b", "min(b) OVER (PARTITION BY a) AS mn", *flag)
         return seen.selectExpr("explode(if(b = mn, array(b, a), array(b))) AS node", "least(a, mn) AS w",
                                "a AS sender", *self.act)
 
-    def sent_hot(self, g: DataFrame) -> DataFrame:
-        m = self._kept(g.groupBy("a").agg(F.expr("least(a, min(b)) AS w"), *self._agg()), "hot-minima")
-        sent = g.select("a", "b").join(F.broadcast(m), "a")
+    def sent_hot(self, edges: DataFrame) -> DataFrame:
+        m = self._kept(edges.groupBy("a").agg(F.expr("least(a, min(b)) AS w"), *self._agg()), "hot-minima")
+        sent = edges.select("a", "b").join(F.broadcast(m), "a")
         return sent.selectExpr("b AS node", "w", "a AS sender", *self.act).unionByName(
             m.selectExpr("a AS node", "w", "a AS sender", *self.act))
 
-    def sent(self, g: _Graph) -> DataFrame:
-        if self.strategy == "auto":
-            parts = ([self.sent_cold(g.cold)] if g.cold is not None else []) + (
-                [self.sent_hot(g.hot)] if g.hot is not None else [])
-            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        edges = g.edges()
-        m = self._kept(local_minima(edges, self.activity), "minima")
-        hot_rows = 0 if g.hot is None else None
-        return _sent(edges, m, self.strategy, self.activity, self.threshold, hot_rows).withColumn(
-            "sender", F.xxhash64("w"))
-
-    def write_sent(self, g: _Graph, r: int) -> tuple[_Graph, str]:
-        """H by node; rows of hot nodes are spread by their senders."""
-        h = self.sent(g)
-        kind, key = F.lit(COLD), F.col("node")
-        if g.hot_nodes is not None:
-            h = h.join(F.broadcast(g.hot_nodes.select(F.col("a").alias("node"), F.lit(True).alias("is_hot"))),
-                       "node", "left")
-            kind = F.when(F.col("is_hot"), HOT).otherwise(COLD)
-            key = F.when(F.col("is_hot"), F.xxhash64("sender")).otherwise(F.col("node"))
-        n = self._parts(2 * g.rows)
-        path, seen = self.ws.write_buckets(
-            h.select(F.col("node").alias("a"), F.col("w").alias("b"), *self.act, kind.alias("kind"), key.alias("_key"))
-             .repartition(n, "_key").drop("_key"),
-            f"sent-{r}", "a", n, by="kind", metrics=_counts(COLD, HOT))
-        schema = self.schema.replace(", round INT", "")
-        part = {k: None if not seen[k] else self.ws.buckets(f"{path}/kind={k}", schema, "a", n) if k == COLD
-                else self.ws.spark.read.schema(schema).parquet(f"{path}/kind={k}") for k in (COLD, HOT)}
-        return _Graph(seen[COLD] + seen[HOT], part[COLD], part[HOT], g.hot_nodes), path
-
     # -- G', tree rows and candidates, as rows (kind, a, b[, active]) --
 
     def _emitted(self, edge: str, node: str) -> str:
         """Rows that a row of H leads to: the edge vm - w both ways, and once for
         each node its tree row or its candidacy; rows without a kind are none."""
         act = ", 'active', active" if self.activity else ""
-        rows = [(f"if({edge}, '{COLD}', NULL)", "vm", "w"), (f"if({edge}, '{COLD}', NULL)", "w", "vm"),
-                (f"CASE WHEN NOT {node} THEN NULL WHEN NOT self THEN '{TREE}' WHEN vm = mx THEN '{CANDIDATE}' END",
+        rows = [(f"if({edge}, {EDGE}, NULL)", "vm", "w"), (f"if({edge}, {EDGE}, NULL)", "w", "vm"),
+                (f"CASE WHEN NOT {node} THEN NULL WHEN NOT self THEN {TREE} WHEN vm = mx THEN {CANDIDATE} END",
                  "node", "if(self, node, vm)")]
         return "inline(array(" + ", ".join(
             f"named_struct('kind', {kind}, 'a', {a}, 'b', {b}{act})" for kind, a, b in rows) + "))"
 
     def next_cold(self, h: DataFrame) -> DataFrame:
-        """One pass over H rows that are bucketed by ``a``, the node."""
-        p = "OVER (PARTITION BY a)"
-        seen = h.selectExpr("a AS node", "b AS w", f"min(b) {p} AS vm", f"max(b) {p} AS mx",
-                            f"bool_or(b = a) {p} AS self", "row_number() OVER (PARTITION BY a ORDER BY b) AS k",
-                            *self._over("a"))
+        p = "PARTITION BY node ORDER BY w"
+        whole = f"{p} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+        flag = [f"bool_and(active) OVER ({whole}) AS active"] if self.activity else []
+        seen = h.selectExpr("node", "w", f"min(w) OVER ({whole}) AS vm", f"max(w) OVER ({whole}) AS mx",
+                            f"bool_or(w = node) OVER ({whole}) AS self", f"row_number() OVER ({p}) AS k", *flag)
         return seen.selectExpr(self._emitted("w <> vm", "k = 1")).where("kind IS NOT NULL")
 
     def next_hot(self, h: DataFrame) -> DataFrame:
-        q = self._kept(h.groupBy("a").agg(F.expr("min(b) AS vm"), F.expr("max(b) AS mx"),
-                                          F.expr("bool_or(b = a) AS self"), *self._agg()), "hot-nodes")
-        edges = h.select("a", "b").join(F.broadcast(q), "a").selectExpr(
-            "a AS node", "b AS w", "vm", "mx", "self", *self.act)
-        nodes = q.selectExpr("a AS node", "vm AS w", "vm", "mx", "self", *self.act)
+        q = self._kept(h.groupBy("node").agg(F.expr("min(w) AS vm"), F.expr("max(w) AS mx"),
+                                             F.expr("bool_or(w = node) AS self"), *self._agg()), "hot-nodes")
+        edges = h.select("node", "w").join(F.broadcast(q), "node")
         return edges.selectExpr(self._emitted("w <> vm", "false")).unionByName(
-            nodes.selectExpr(self._emitted("false", "true"))).where("kind IS NOT NULL")
-
-    def next_joined(self, h: _Graph) -> DataFrame:
-        bag = h.edges().withColumnsRenamed({"src": "node", "dst": "w"})
-        q = self._kept(summarize(bag, self.activity), "nodes")
-        nxt = prune(bag, q, self.strategy, self.activity, self.threshold + 1, 0 if h.hot is None else None)
-        return (nxt.selectExpr(f"'{COLD}' AS kind", "src AS a", "dst AS b", *self.act)
-                .unionByName(q.where("NOT self").selectExpr(f"'{TREE}' AS kind", "node AS a", "vm AS b", *self.act))
+            q.withColumn("w", F.col("vm")).selectExpr(self._emitted("false", "true"))).where("kind IS NOT NULL")
+
+    def _split(self, g: _Graph) -> DataFrame:
+        """A round with hot nodes: H is written, for it is read twice."""
+        hot = F.broadcast(g.hot)
+        sent = self.sent_cold(g.edges.join(hot, "a", "left_anti")).unionByName(
+            self.sent_hot(g.edges.join(hot, "a", "left_semi")))
+        is_hot = F.broadcast(g.hot.select(F.col("a").alias("node"), F.lit(True).alias("hot")))
+        h = self._kept(sent.drop("sender").join(is_hot, "node", "left"), "sent")
+        return self.next_cold(h.where("hot IS NULL").drop("hot")).unionByName(
+            self.next_hot(h.where("hot").drop("hot")))
+
+    def _joined(self, g: _Graph) -> DataFrame:
+        """A round by joins of per-node tables, under the caller's strategy."""
+        edges = g.edges.withColumnsRenamed({"a": "src", "b": "dst"})
+        hot_rows = 0 if g.hot is None else None
+        m = self._kept(local_minima(edges, self.activity), "minima")
+        h = self._kept(_sent(edges, m, self.strategy, self.activity, self.threshold, hot_rows), "sent")
+        q = self._kept(summarize(h, self.activity), "nodes")
+        nxt = prune(h, q, self.strategy, self.activity, self.threshold + 1, hot_rows)
+        return (nxt.selectExpr(f"{EDGE} AS kind", "src AS a", "dst AS b", *self.act)
+                .unionByName(q.where("NOT self").selectExpr(f"{TREE} AS kind", "node AS a", "vm AS b", *self.act))
                 .unionByName(q.where("single AND self").selectExpr(
-                    f"'{CANDIDATE}' AS kind", "node AS a", "node AS b", *self.act)))
-
-    def write_next(self, h: _Graph, r: int) -> dict:
-        """The round's table; its commit record."""
-        if self.strategy == "auto":
-            parts = ([self.next_cold(h.cold)] if h.cold is not None else []) + (
-                [self.next_hot(h.hot)] if h.hot is not None else [])
-            rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            limit = self._limit(2 * h.rows)
-            # a node of the next graph has at most as many edges as there are rows for it now
-            hot = self._hot(rows.where(F.col("kind") == COLD), limit) if 2 * h.rows > limit else None
-            keys = ["kind", "a", "b"]
-            rows = rows.groupBy(*keys).agg(*self._agg()) if self.activity else rows.dropDuplicates(keys)
-        else:
-            rows = self.next_joined(h)
-            limit = self._limit(2 * h.rows)
-            hot = self._hot(rows.where(F.col("kind") == COLD), limit) if 2 * h.rows > limit else None
-        key = F.col("a")
-        if hot is not None:
-            rows = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "a", "left")
-            is_hot = F.col("is_hot") & (F.col("kind") == COLD)
-            key = F.when(is_hot, F.xxhash64("a", "b")).otherwise(key)
-            rows = rows.withColumn("kind", F.when(is_hot, HOT).otherwise(F.col("kind")))
-        n = self._parts(2 * h.rows)
-        path, seen = self.ws.write_buckets(
-            rows.select("a", "b", F.lit(r).cast("int").alias("round"), *self.act, "kind", key.alias("_key"))
-                .repartition(n, "_key").drop("_key"),
-            f"round-{r}", "a", n, by="kind", metrics=_counts(COLD, HOT, TREE, CANDIDATE))
-        return {"round": r, "path": path, "buckets": n, "counts": dict(seen),
-                "hot": hot._linkset_path if hot is not None else None}
-
-
-def _counts(*kinds: str) -> dict:
-    return {k: F.count(F.when(F.col("kind") == k, 1)) for k in kinds}
+                    f"{CANDIDATE} AS kind", "node AS a", "node AS b", *self.act)))
+
+    def rows(self, g: _Graph) -> DataFrame:
+        """All that a round makes of its graph, as a set."""
+        if self.strategy != "auto":
+            return self._joined(g)
+        made = self.next_cold(self.sent_cold(g.edges)) if g.hot is None else self._split(g)
+        keys = ["kind", "a", "b"]
+        return made.groupBy(*keys).agg(*self._agg()) if self.activity else made.dropDuplicates(keys)
+
+    def step(self, g: _Graph, r: int) -> dict:
+        """Writes the round's table; returns its commit record."""
+        out = self.rows(g).select("a", "b", F.lit(r).cast("int").alias("round"), *self.act, "kind")
+        made = self.ws.save(out, f"round-{r}", {
+            name: F.count(F.when(F.col("kind") == kind, 1))
+            for name, kind in (("edges", EDGE), ("tree", TREE), ("candidates", CANDIDATE))}, by="kind")
+        return {"round": r, "path": made._linkset_path, "counts": made.metrics, "from": g.rows}
+
+    def done(self, g: _Graph) -> None:
+        """The round is committed: what it was made from can go."""
+        self.ws.release(g.edges, *self.used)
+        self.used = []
 
 
 def _seeds(rounds: _Rounds, records: list[dict], tree: DataFrame | None, strategy: str) -> DataFrame | None:
     """(node, round): candidates that never retire, in the last round that has them
     (a candidate that stays in the graph is a candidate or a child again later)."""
-    paths = [f"{r['path']}/kind={CANDIDATE}" for r in records if r["counts"][CANDIDATE]]
+    paths = [f"{r['path']}/kind={CANDIDATE}" for r in records if r["counts"]["candidates"]]
     if not paths:
         return None
     found = rounds.ws.spark.read.schema(rounds.schema).parquet(*paths)
@@ -385,12 +327,11 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     with a False flag makes no seed of a component it is part of: flags are
     combined with AND along every edge row.
 
-    A round writes H, in buckets of its nodes, and then one table with the next graph (in
-    buckets of ``a``), the round's tree rows and its seed candidates. The
-    numbers that end the loop, size the buckets and fill the log are
-    taken by these two writes. Seeds are the candidates that never retire; they
-    are found once, at the end. Only scalars reach the driver; an
-    unreadable file is an error, never an empty graph.
+    A round is one job: it reads the graph and writes one table with the next graph,
+    the round's tree rows and its seed candidates. The numbers that end the
+    loop and fill the log are taken by that write. Seeds are the candidates that
+    never retire; they are found once, at the end. Only scalars reach the
+    driver; an unreadable file is an error, never an empty graph.
 
     ``resume`` names a folder for this run alone. Each finished round leaves a
     commit record there. If the driver is lost, the same call goes on after
@@ -400,35 +341,30 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     ws = Workspace.at(spark, resume) if resume else workspace or Workspace(spark, label="contract")
     rounds = _Rounds(ws, prune_strategy, activity, HOT_KEY_ROWS if hot_threshold is None else hot_threshold)
     records = ws.commits() if resume else []
-    if records:
-        if records[0]["activity"] != activity:
-            raise ValueError(f"the run in {resume} was begun with activity={records[0]['activity']}")
-        g = rounds.opened(records[-1]) if "result" not in records[-1] else None
-    else:
+    if not records:
         e = edges if normalized else normalize(edges)
         if activity and "active" not in e.columns:
             e = e.withColumn("active", F.lit(True))
-        g, record = rounds.first(e)
-        records.append(record | {"activity": activity})
+        records.append(rounds.first(e))
         if resume:
             ws.commit(0, records[0])
-    while g is not None and g.rows:
+    elif records[0]["activity"] != activity:
+        raise ValueError(f"the run in {resume} was begun with activity={records[0]['activity']}")
+    while "result" not in records[-1]:
+        g = rounds.opened(records[-1])
+        if not g.rows:
+            break
         r = len(records)
-        h, path = rounds.write_sent(g, r)
-        records.append(rounds.write_next(h, r) | {"edges": g.rows})
+        records.append(rounds.step(g, r))
         if resume:
             ws.commit(r, records[-1])
-        ws.delete(path)
-        ws.release(g.cold, g.hot, g.hot_nodes, *rounds.used)
-        rounds.used = []
-        if r == 1:
-            ws.delete(records[0]["path"])
-        g = rounds.opened(records[-1])
+        rounds.done(g)
     done = [r for r in records[1:] if "result" not in r]
     if not done:
         return ContractionResult(spark.createDataFrame([], "node BIGINT, parent BIGINT, round INT"), 0, [], ws)
-    paths = [f"{r['path']}/kind={TREE}" for r in done if r["counts"][TREE]]
-    tree = spark.read.schema(rounds.schema).parquet(*paths).selectExpr("a AS node", "b AS parent", "round") if paths else None
+    paths = [f"{r['path']}/kind={TREE}" for r in done if r["counts"]["tree"]]
+    tree = (spark.read.schema(rounds.schema).parquet(*paths).selectExpr("a AS node", "b AS parent", "round")
+            if paths else None)
     if "result" in records[-1]:
         seeds = spark.read.schema("node BIGINT, round INT").parquet(records[-1]["result"])
     else:
@@ -441,7 +377,7 @@ def contract(edges: DataFrame, *, normalized: bool = False, prune_strategy: str
     resolved = seeds.selectExpr("node", "node AS parent", "round")
     if tree is not None:
         resolved = tree.unionByName(resolved)
-    log = [{"round": r["round"], "edges": r["edges"], "tree_rows": r["counts"][TREE]} for r in done]
+    log = [{"round": r["round"], "edges": r["from"], "tree_rows": r["counts"]["tree"]} for r in done]
     return ContractionResult(resolved, len(done), log, ws)
 
 

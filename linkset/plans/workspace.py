@@ -8,9 +8,8 @@ Catalyst real file sizes for its join choices. Tables of earlier rounds that
 no later step reads are deleted as soon as a round is done, so disk use stays
 at about two rounds of intermediate data however many rounds run.
 
-Tables may be written in buckets of a key: what later groups or joins by that
-key then needs no exchange. Counts of what is written come from the write
-itself (``metrics``), not from another pass. A loop that must survive the loss of its
+Counts of what is written come from the write itself (``metrics``), not from
+another pass. A loop that must survive the loss of its
 driver leaves a small commit record after each round (:meth:`Workspace.commit`)
 and finds them in a run's folder that is opened again (:meth:`Workspace.at`).
 """
@@ -47,42 +46,21 @@ class Workspace:
         ws._attempt = uuid.uuid4().hex[:8] + "-"
         return ws
 
-    def save(self, df: DataFrame, name: str, metrics: Mapping[str, Column] | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, metrics: Mapping[str, Column] | None = None,
+             by: str | None = None) -> DataFrame:
         """Run ``df`` once, write it to the shared folder, return the written table.
         ``metrics`` are aggregates over it, taken while it is written; the
-        returned frame has them as ``metrics``."""
+        returned frame has them as ``metrics``. ``by``, the last column, gets a
+        folder for each of its values."""
         path = self.folder(name)
         seen = Observation()
-        (df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df
-         ).write.mode("errorifexists").parquet(path)
+        writer = (df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df).write
+        (writer.partitionBy(by) if by else writer).mode("errorifexists").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._linkset_path = path
         out.metrics = seen.get if metrics else {}
         return out
 
-    def write_buckets(self, df: DataFrame, name: str, key: str, buckets: int, *, by: str,
-                      metrics: Mapping[str, Column]) -> tuple[str, dict]:
-        """Write ``df`` in ``buckets`` buckets of ``key``, a folder ``by=value`` for each
-        value of ``by``. Returns the path and the metrics. For one file a
-        bucket, ``df`` has been repartitioned by ``key``."""
-        path, seen, table = self.folder(name), Observation(), _table_name()
-        (df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
-         .write.format("parquet").mode("errorifexists").option("path", path)
-         .partitionBy(by).bucketBy(buckets, key).saveAsTable(table))
-        self.spark.sql(f"DROP TABLE {table}")       # the files stay
-        return path, seen.get
-
-    def buckets(self, path: str, schema: str, key: str, buckets: int) -> DataFrame:
-        """A folder written in buckets of ``key``; Spark knows that they are."""
-        table = _table_name()
-        self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) "
-                       f"INTO {buckets} BUCKETS LOCATION '{path}'")
-        out = self.spark.table(table)
-        out.schema                                  # resolved: the catalog entry has done its work
-        self.spark.sql(f"DROP TABLE {table}")
-        out._linkset_path = path
-        return out
-
     def folder(self, name: str) -> str:
         """A new path for a caller that writes its own files; never given twice."""
         self._seq += 1
@@ -147,6 +125,3 @@ class Workspace:
         except Exception as exc:  # deletion is an optimisation; never fail the job for it
             log.warning("could not delete %s: %s", path, exc)
 
-
-def _table_name() -> str:
-    return f"spark_catalog.default.linkset_{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""The loop of the contraction: buckets, counts from the writes, lost drivers, idle nodes."""
+"""The loop of the contraction: one pass a round, counts from the writes, lost drivers, idle nodes."""
 
 import random
 import uuid
@@ -15,7 +15,7 @@ from linkset.plans.workspace import Workspace
 from linkset.sources.edges import edges_from_rows
 
 
-def path_graph(n=400, seed=5):
+def path_graph(n=150, seed=5):
     """One path through shuffled ids: many rounds."""
     ids = list(range(n))
     random.Random(seed).shuffle(ids)
@@ -30,7 +30,7 @@ class Lost(Exception):
     pass
 
 
-@pytest.mark.parametrize("where", ["before a round", "before a commit", "after a commit", "before the seeds"])
+@pytest.mark.parametrize("where", ["before a round", "before a commit", "before the seeds"])
 def test_goes_on_after_a_lost_driver(spark, monkeypatch, where):
     edges = edges_from_rows(spark, path_graph())
     want = found(C.contract(edges))
@@ -38,24 +38,23 @@ def test_goes_on_after_a_lost_driver(spark, monkeypatch, where):
     folder = f"{checkpoint_dir(spark)}/resume-{uuid.uuid4().hex}"
     with monkeypatch.context() as m:
         if where == "before a round":
-            real = C._Rounds.write_sent
-            m.setattr(C._Rounds, "write_sent", lambda self, g, r: real(self, g, r) if r < 3 else _lose())
+            real = C._Rounds.step
+            m.setattr(C._Rounds, "step", lambda self, g, r: real(self, g, r) if r < 3 else _lose())
         elif where == "before the seeds":
             m.setattr(C, "_seeds", lambda *a: _lose())
         else:
             commit = Workspace.commit
 
             def one(self, number, record):
-                if where == "after a commit" or number < 3:
-                    commit(self, number, record)
-                if number == (2 if where == "after a commit" else 3):
+                if number == 3:
                     _lose()
+                commit(self, number, record)
             m.setattr(Workspace, "commit", one)
         with pytest.raises(Lost):
             C.contract(edges, resume=folder)
     ran = []
-    real = C._Rounds.write_sent
-    monkeypatch.setattr(C._Rounds, "write_sent", lambda self, g, r: (ran.append(r), real(self, g, r))[1])
+    real = C._Rounds.step
+    monkeypatch.setattr(C._Rounds, "step", lambda self, g, r: (ran.append(r), real(self, g, r))[1])
     nothing = edges_from_rows(spark, [])        # the input is not read again
     assert found(C.contract(nothing, resume=folder)) == want
     assert ran == ([] if where == "before the seeds" else list(range(3, len(want[1]) + 1)))
@@ -69,7 +68,7 @@ def _lose():
 
 
 def test_resume_of_a_whole_solve(spark, monkeypatch):
-    pairs = path_graph(200) + [(1000, 1001), (2000, 2000)]
+    pairs = path_graph(60) + [(1000, 1001), (2000, 2000)]
     folder = f"{checkpoint_dir(spark)}/resume-{uuid.uuid4().hex}"
     got = connected_components(edges_from_rows(spark, pairs), resume=folder)
     assert {r["node"]: r["component"] for r in got.collect()} == union_find(pairs)
@@ -83,19 +82,15 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_a_round_exchanges_its_rows_only_to_write_them(spark):
+def test_a_round_reads_once_and_exchanges_three_times(spark):
     ws = Workspace(spark, label="test-plan")
     rounds = C._Rounds(ws, "auto", False, C.HOT_KEY_ROWS)
-    g, _ = rounds.first(normalize(edges_from_rows(spark, path_graph())))
-    h, _ = rounds.write_sent(g, 1)
-    assert _plan(rounds.next_cold(h.cold)).count("Exchange") == 0
-    assert _plan(rounds.next_cold(h.cold)).count("FileScan") == 1
-    second = rounds.opened(rounds.write_next(h, 1))
-    assert _plan(rounds.sent_cold(second.cold)).count("Exchange") == 0
-    assert _plan(rounds.sent_cold(second.cold)).count("FileScan") == 1
-    # what the same step costs on a table that Spark knows nothing of
-    loose = spark.createDataFrame(second.cold.collect(), "a BIGINT, b BIGINT")
-    assert _plan(rounds.sent_cold(loose)).count("Exchange") == 1
+    g = rounds.opened(rounds.first(normalize(edges_from_rows(spark, path_graph()))))
+    plan = _plan(rounds.rows(g))
+    assert plan.count("Exchange") == 3 and plan.count("FileScan") == 1 and "Join" not in plan
+    # by joins, with H and the per-node tables written between
+    joined = C._Rounds(ws, "shuffle", False, C.HOT_KEY_ROWS)
+    assert _plan(joined.rows(g)).count("Exchange") >= 3 and len(joined.used) == 3
     ws.close()
 
 
@@ -110,17 +105,17 @@ def _jobs(spark, run):
 
 
 def test_rounds_run_few_jobs(spark):
-    """A round is two writes: three exchanges and two results, nothing else."""
+    """A round is one write: a job for each exchange and one for the result."""
     edges = edges_from_rows(spark, path_graph())
     res, jobs = _jobs(spark, lambda: C.contract(edges))
-    assert jobs <= 6 * res.rounds + 8
+    assert jobs <= 4 * res.rounds + 8
 
 
 def test_hot_nodes_change_nothing(spark):
-    pairs = path_graph(150) + [(5, 1000 + i) for i in range(60)] + [(1003, 3000 + i) for i in range(40)]
+    pairs = path_graph(40) + [(5, 1000 + i) for i in range(60)] + [(1003, 3000 + i) for i in range(40)]
     edges = edges_from_rows(spark, pairs)
     want = found(C.contract(edges))
-    for threshold in (2, 10, 45):
+    for threshold in (2, 20):
         assert found(C.contract(edges, hot_threshold=threshold)) == want
     assert found(C.contract(edges, hot_threshold=3, prune_strategy="shuffle", seed_strategy="broadcast")) == want
 
@@ -151,7 +146,7 @@ def test_stars_stop_when_a_round_changes_nothing(spark, monkeypatch):
     asked = []
     real = stars.same_set
     monkeypatch.setattr(stars, "same_set", lambda a, b: (asked.append(a.metrics == b.metrics), real(a, b))[1])
-    pairs = path_graph(200)
+    pairs = path_graph(100)
     res = star_components(edges_from_rows(spark, pairs))
     assert {r["node"]: r["component"] for r in res.components.collect()} == union_find(pairs)
     assert asked == [False] * (len(asked) - 1) + [True] and len(asked) == res.rounds - 1

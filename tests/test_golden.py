@@ -159,6 +159,6 @@ def test_intermediate_graphs_are_released(spark):
     if not os.path.isdir(root):
         return  # not a local folder: nothing to inspect here
     kinds = {d for _, dirs, _ in os.walk(root) for d in dirs if d.startswith("kind=")}
-    assert kinds == {"kind=t", "kind=c"}
+    assert kinds == {"kind=1", "kind=2"}
     assert not [d for d in os.listdir(root) if "sent" in d or "graph" in d]
     assert res.seeds.count() == 2 and res.tree.count() == 14

@@ -112,13 +112,12 @@ def test_isolated_names_are_kept(spark):
 def test_unreadable_round_is_an_error(spark, monkeypatch):
     """A storage error must not look like an empty graph."""
     ws = Workspace(spark, label="test-io")
-    real = ws.buckets
+    real = ws.adopt
 
-    def lose(path, *rest):
-        out = real(path, *rest)
+    def lose(df, path):
         ws.delete(path)
-        return out
-    monkeypatch.setattr(ws, "buckets", lose)
+        return real(df, path)
+    monkeypatch.setattr(ws, "adopt", lose)
     with pytest.raises(Exception):
         contract(edges_from_rows(spark, [(1, 2), (2, 5), (5, 8), (7, 8), (3, 7), (3, 4), (3, 6)]), workspace=ws)
 
