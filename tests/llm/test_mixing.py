@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from linkset.llm import mixing
 
 
@@ -31,7 +33,10 @@ def corpus():
     return rows
 
 
-def test_targets_and_taken(spark, ws, docs):
+@pytest.mark.parametrize("parts,rows_sorted", [(1024, 1 << 16), (4, 5), (2, 1)])
+def test_targets_and_taken(spark, ws, docs, monkeypatch, parts, rows_sorted):
+    monkeypatch.setattr(mixing, "PARTS", parts)
+    monkeypatch.setattr(mixing, "SORTED", rows_sorted)
     rows = corpus()
     got = mixing.mix(docs(rows), ws).collect()
     assert len(got) == len(rows)
@@ -73,6 +78,36 @@ def test_weights_move_the_sample(spark, ws, docs):
     assert extra(1) > extra(0)
 
 
+def test_repeated_rows_are_taken_one_by_one(spark, ws, docs):
+    """Two sources of one text each: the targets are met within one document."""
+    rows = [(1, "w " * 100, "en", "a")] * 200 + [(2, "w " * 100, "en", "b")] * 200
+    got = mixing.mix(docs(rows).repartition(3), ws).collect()
+    for i, part in ((1, 5 / 7), (2, 2 / 7)):
+        taken = sum(r.taken for r in got if r.doc_id == i)
+        assert abs(taken - 40_000 * part) <= 100, (i, taken)
+    out = mixing.mixed(docs(rows), ws)
+    assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in got)
+
+
+def test_one_cell_never_holds_a_source(spark, ws, docs):
+    """Keys of digits are twenty times those of letters: their cells are cut as well."""
+    rows = [(i, "1 " * 10, "en", "digits") for i in range(3000)] + [(5000 + i, "a " * 10, "en", "other") for i in range(300)]
+    sized = ws.save(mixing.with_keys(docs(rows, extra=False).select("doc_id", "source", "text"), ws), "sized")
+    mp = pytest.MonkeyPatch()
+    mp.setattr(mixing, "SORTED", 50)
+    mp.setattr(mixing, "PARTS", 16)
+    try:
+        t = mixing.source_targets(sized, ws)
+        t = ws.save(t.selectExpr("*", "target - floor(target / source_size) * source_size AS rest"), "t")
+        cells = {r.source: r for r in mixing._end_cells(sized, t, ws).collect()}
+    finally:
+        mp.undo()
+    for source, c in cells.items():
+        keys = [r.key for r in sized.collect() if r.source == source]
+        assert sum(c.lo <= k <= c.hi for k in keys) <= 50
+        assert c.base == 10 * sum(k < c.lo for k in keys)
+
+
 def test_empty(spark, ws, docs):
     assert mixing.mix(docs([]), ws).count() == 0
     assert mixing.mixed(docs([]), ws).count() == 0
