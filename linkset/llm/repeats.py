@@ -266,7 +266,8 @@ def repeated_spans(docs: DataFrame, workspace: Workspace, window: int = WINDOW,
     arrow_limits(docs.sparkSession)
     narrow = docs.select("k", text_of("text").alias("text"))
     spans = extend(seeds(narrow, window, gram, hot_anchors(narrow, workspace, window, gram)), window)
-    spans = workspace.save(spans, "spans")
+    # rows that repeat in full share k, and find the same spans each
+    spans = workspace.save(spans.distinct(), "spans")
     per = spans.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "upto"))).alias("spans"))
     return docs.join(per, "k", "left")
 
@@ -300,6 +301,8 @@ def without_repeats(docs: DataFrame, workspace: Workspace, window: int = WINDOW,
 
 
 def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without windows of 35 words that start twice. Nulls, empty
+    and long texts, repeated rows as in :func:`without_repeats`."""
     out = without_repeats(table(spark, sf_dir, "documents"), Workspace(spark, label="op9"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
