@@ -1,11 +1,13 @@
 """Length buckets that waste the least padding, and token-budget batches.
 
-The lengths of all documents go into one histogram. Its cells are exact up to
-128 and then 1/64 of an octave wide, so it has at most a few thousand cells
-for any corpus and may go to the driver, where dynamic programming picks the
-at most ``buckets`` upper bounds (each the largest length of a cell) with the
-least total padding. Rows are then numbered inside their bucket and cut into
-batches whose padded size stays within the token budget.
+The lengths of all documents go into one histogram, a cell for each length.
+It goes to the driver: documents of D different lengths have D * D / 2 words
+at least, so even 100 TB have a few million cells at most, and usually some ten thousand. There, dynamic
+programming picks the at most ``buckets`` upper bounds with the least total
+padding. The best start of the last bucket grows with its end, so each layer
+is halved: the middle end looks at all starts, the ends on its left and right
+only at those on its start's left and right. Rows are then numbered inside their bucket
+and cut into batches whose padded size stays within the token budget.
 
 No task gets a whole bucket: rows are dealt over about ``sqrt(rows)`` parts of
 every bucket, numbered there, and shifted by the counts of the parts before.
@@ -25,21 +27,40 @@ from linkset.plans.workspace import Workspace
 
 BUCKETS = 16
 TOKEN_BUDGET = 32768
-SUB = 64
 
 
-def cell_of(length: Column) -> Column:
-    """Histogram cell of a length: growing with it, at most SUB per octave."""
-    shift = F.length(F.bin(length)) - 7
-    return F.when(length < 2 * SUB, length).otherwise(
-        (shift * SUB + F.call_function("shiftright", length, shift)).cast("long"))
+def _layer(best: np.ndarray, top: np.ndarray, docs: np.ndarray, size: np.ndarray):
+    """One bucket more: for each end j the least of ``best[i - 1]`` and a last
+    bucket of the lengths i..j, and that i. All halves of a depth at once."""
+    m = len(top)
+    out, arg = np.empty(m), np.empty(m, np.int64)
+    lo, hi = np.array([1]), np.array([m])                  # ends lo..hi-1 are open
+    first, last = np.array([1]), np.array([m - 1])         # their starts lie in first..last
+    out[0], arg[0] = np.inf, 0
+    while len(lo):
+        mid = (lo + hi) // 2
+        upto = np.minimum(last, mid)
+        n = upto - first + 1
+        i = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        j = np.repeat(mid, n)
+        cost = best[i - 1] + top[j] * (docs[j + 1] - docs[i]) - (size[j + 1] - size[i])
+        at = np.cumsum(n) - n
+        least = np.minimum.reduceat(cost, at)
+        where = np.flatnonzero(cost == np.repeat(least, n))
+        found = i[where[np.searchsorted(where, at)]]
+        out[mid], arg[mid] = least, found
+        lo, hi, first, last = (np.concatenate(x) for x in (
+            (lo, mid + 1), (mid, hi), (first, found), (found, last)))
+        some = lo < hi
+        lo, hi, first, last = lo[some], hi[some], first[some], last[some]
+    return out, arg
 
 
 def best_bounds(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least padding.
 
-    ``cells`` are (largest length, documents, sum of lengths) by length. The
-    cost of a bucket over cells i..j is ``largest_j * documents - lengths``.
+    ``cells`` are (length, documents, sum of lengths) by length. The cost of a
+    bucket over cells i..j is ``length_j * documents - lengths``.
     """
     if not cells:
         return []
@@ -48,37 +69,24 @@ def best_bounds(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     size = np.concatenate([[0.0], np.cumsum([c[2] for c in cells], dtype=np.float64)])
     m = len(cells)
     best = top * docs[1:] - size[1:]              # one bucket over cells 0..j
-    choice = [np.zeros(m, dtype=np.int64)]
-    totals = [best[-1]]
+    layers, totals = [np.zeros(m, np.int64)], [best[-1]]
     for _ in range(1, min(buckets, m)):
-        nxt, arg = np.empty(m), np.zeros(m, dtype=np.int64)
-        nxt[0] = best[0]
-        for j in range(1, m):                     # last bucket over cells i..j
-            i = np.arange(1, j + 1)
-            cost = best[i - 1] + top[j] * (docs[j + 1] - docs[i]) - (size[j + 1] - size[i])
-            k = int(np.argmin(cost))
-            nxt[j], arg[j] = (cost[k], k + 1) if cost[k] < best[j] else (best[j], -1)
-        best = nxt
-        choice.append(arg)
+        best, arg = _layer(best, top, docs, size)
+        layers.append(arg)
         totals.append(best[-1])
-    level, j, bounds = len(choice) - 1, m - 1, []
-    while j >= 0:
-        while level > 0 and choice[level][j] == -1:   # as good with one bucket less
-            level -= 1
+    level, j, bounds = int(np.argmin(totals)), m - 1, []
+    while level >= 0:
         bounds.append(int(top[j]))
-        if level == 0:
-            break
-        j = int(choice[level][j]) - 1
+        j = int(layers[level][j]) - 1
         level -= 1
     return bounds[::-1]
 
 
 def length_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """Bounds for a table with a ``length`` column; collects one row per cell."""
-    cells = (lengths.groupBy(cell_of(F.col("length")).alias("cell"))
-             .agg(F.max("length").alias("top"), F.count(F.lit(1)).alias("n"),
-                  F.sum("length").alias("total")).orderBy("cell").collect())
-    return best_bounds([(r.top, r.n, r.total) for r in cells], buckets)
+    """Bounds for a table with a ``length`` column; collects one row per length."""
+    cells = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").toArrow()
+    top, n = (cells.column(c).to_pylist() for c in ("length", "n"))
+    return best_bounds([(t, k, t * k) for t, k in zip(top, n, strict=True)], buckets)
 
 
 def pack(docs: DataFrame, workspace: Workspace, carry: list[str], length: Column | None = None,
@@ -119,4 +127,6 @@ def pack(docs: DataFrame, workspace: Workspace, carry: list[str], length: Column
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in length buckets and batches. Nulls, long texts, repeated
+    rows and empty tables as in :func:`pack`; of equal lengths, any may come first."""
     return pack(table(spark, sf_dir, "documents"), Workspace(spark, label="op8"), ["doc_id"])

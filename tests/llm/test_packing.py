@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from linkset.llm import packing
@@ -24,6 +25,23 @@ def test_bounds_are_optimal(seed):
         assert len(got) <= k and got == sorted(set(got)) and padding(lengths, got) == best
 
 
+@pytest.mark.parametrize("seed,buckets", [(1, 16), (2, 5), (3, 40)])
+def test_long_lengths_waste_the_least(seed, buckets):
+    """Against the plain quadratic programme, on lengths far beyond a few hundred."""
+    rng = np.random.default_rng(seed)
+    values, counts = np.unique(rng.lognormal(6, 1.5, 900).astype(np.int64), return_counts=True)
+    cells = [(int(v), int(n), int(v * n)) for v, n in zip(values, counts, strict=True)]
+    docs, size = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, values * counts))
+    m = len(values)
+    cost = lambda i, j: values[j] * (docs[j + 1] - docs[i]) - (size[j + 1] - size[i])
+    best = [cost(0, j) for j in range(m)]
+    for _ in range(1, buckets):
+        best = [min([best[j]] + [best[i - 1] + cost(i, j) for i in range(1, j + 1)]) for j in range(m)]
+    lengths = np.repeat(values, counts).tolist()
+    got = packing.best_bounds(cells, buckets)
+    assert len(got) <= buckets and padding(lengths, got) == best[-1]
+
+
 def test_batches(spark, ws, docs):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * min(5000, int(rng.paretovariate(0.8) * 5)))) for i in range(700)]
