@@ -5,12 +5,16 @@ toxic document if it stands in many more different contexts there than in
 clean documents (contexts, so that copies of one document count once). The
 two-state field has weights for a word, for the words beside it, and for
 state changes. It is fitted on a bounded, documented sample: at most
-TRAIN_DOCS labelled documents per class of at most TRAIN_CHARS characters.
-
-Scoring runs in Arrow batches over all texts, in full: chains of CHAIN words,
-forward and backward for all chains of a batch at once. The marginals of a
-document become its score through a logistic fit on the same sample, and
-words with a marginal of one half or more, next to each other, its spans.
+TRAIN_DOCS labelled documents per class of at most TRAIN_CHARS characters, cut
+into pieces of CHAIN words; of the pieces without a toxic word, at most
+CLEAN_PIECES, or twice those with one if that is more, evenly over the sample.
+
+Scoring runs in Arrow batches over all texts, in full: a document is one chain.
+For speed its words are laid in rows of CHAIN; each row's transfer matrix
+carries the forward and the backward message on to the next, and then all rows of
+a batch are filled in at once. The marginals of a document become its score
+through a logistic fit on the same sample, and words with a marginal of one
+half or more, next to each other, its spans.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from linkset.llm.common import arrow_limits, table, text_of
 TRAIN_DOCS = 2500
 TRAIN_CHARS = 12_000
 CHAIN = 64
+CLEAN_PIECES = 2000
 MIN_CONTEXTS = 5        # different contexts of a toxic word
 RATIO = 8.0             # times more of them in toxic than in clean documents
 VOCABULARY = 60_000
@@ -52,9 +57,11 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 @dataclass
 class Chains:
-    """Words of documents laid into rows of CHAIN; ``at`` is each word's cell."""
+    """Words of documents laid into rows of CHAIN; ``at`` is each word's cell,
+    ``rows`` each document's number of rows."""
     at: np.ndarray
     mask: np.ndarray
+    rows: np.ndarray
 
     @classmethod
     def of(cls, first: np.ndarray) -> Chains:
@@ -64,7 +71,7 @@ class Chains:
         at = np.arange(first[-1]) - np.repeat(first[:-1], n) + np.repeat(row0 * CHAIN, n)
         mask = np.zeros((int(rows.sum()), CHAIN), bool)
         mask.reshape(-1)[at] = True
-        return cls(at, mask)
+        return cls(at, mask, rows)
 
     def lay(self, values: np.ndarray, fill: float = 0.0) -> np.ndarray:
         out = np.full(self.mask.shape, fill, values.dtype)
@@ -72,21 +79,56 @@ class Chains:
         return out
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, change: np.ndarray, pairs: bool = False):
+def _observed(emit: np.ndarray) -> np.ndarray:
+    on = 1 / (1 + np.exp(-np.clip(emit, -30, 30)))
+    return np.stack([1 - on, on])                      # state, row, cell
+
+
+def messages(emit: np.ndarray, mask: np.ndarray, change: np.ndarray, rows: np.ndarray):
+    """What each row gets from the rows of its document before and after it: a
+    factor for its first cell, and the backward message at its last."""
+    m, n = emit.shape
+    a, obs = np.exp(change - change.max()), _observed(emit)
+    move = np.zeros((2, 2, m))                         # from the row's first state to its last
+    move[0, 0], move[1, 1] = obs[0, :, 0] + 1e-300, obs[1, :, 0] + 1e-300
+    for t in range(1, n):
+        on = mask[:, t]
+        if not on.any():
+            break
+        nxt = np.einsum("ijm,jk->ikm", move, a) * obs[None, :, :, t]
+        move = np.where(on, nxt / nxt.sum((0, 1)), move)
+    before, after = np.ones((2, m)), np.ones((2, m))
+    order = np.argsort(-rows, kind="stable")
+    first = (np.cumsum(rows) - rows)[order]
+    per = rows[order]
+    for c in range(int(per.max(initial=0)) - 1):
+        r = first[:np.searchsorted(-per, -(c + 1))] + c           # documents with a row after this one
+        out = a.T @ np.einsum("im,ijm->jm", before[:, r], move[:, :, r])
+        before[:, r + 1] = out / out.sum(0)
+    last = first + per - 1
+    for c in range(int(per.max(initial=0)) - 1):
+        r = last[:np.searchsorted(-per, -(c + 1))] - c
+        out = a @ np.einsum("ijm,jm->im", move[:, :, r], after[:, r])
+        after[:, r - 1] = out / out.sum(0)
+    return before, after
+
+
+def forward_backward(emit: np.ndarray, mask: np.ndarray, change: np.ndarray, pairs: bool = False,
+                     before: np.ndarray | float = 1.0, after: np.ndarray | float = 1.0):
     """Marginals of state 1 per cell; with ``pairs``, also the expected state
-    changes. ``emit`` is the log odds of state 1, ``change`` 2x2 in logs."""
+    changes. ``emit`` is the log odds of state 1, ``change`` 2x2 in logs;
+    ``before`` and ``after`` come from :func:`messages` if rows go on."""
     m, n = emit.shape
     a = np.exp(change - change.max())
-    on = 1 / (1 + np.exp(-np.clip(emit, -30, 30)))
-    obs = np.stack([1 - on, on])                       # state, row, cell
+    obs = _observed(emit)
     fwd = np.empty((n, 2, m))
-    cur = obs[:, :, 0] + 1e-300
+    cur = obs[:, :, 0] * before + 1e-300
     fwd[0] = cur / cur.sum(0)
     for t in range(1, n):
         nxt = (a.T @ fwd[t - 1]) * obs[:, :, t]
         nxt = np.where(mask[:, t], nxt + 1e-300, fwd[t - 1])
         fwd[t] = nxt / nxt.sum(0)
-    back = np.ones((2, m))
+    back = np.ones((2, m)) * after
     prob = np.empty((m, n))
     total = np.zeros((2, 2))
     for t in range(n - 1, -1, -1):
@@ -132,7 +174,9 @@ class Model:
             return np.zeros(0), first
         chains = Chains.of(first)
         emit = chains.lay(self.emissions(self.ids(flat), first))
-        return forward_backward(emit, chains.mask, self.change).reshape(-1)[chains.at], first
+        before, after = messages(emit, chains.mask, self.change, chains.rows)
+        p = forward_backward(emit, chains.mask, self.change, before=before, after=after)
+        return p.reshape(-1)[chains.at], first
 
     def scores(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features(p, first) @ self.fit, -30, 30)))
@@ -196,7 +240,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     lay = [chains.lay(x) for x in (ids, *_beside(ids, first), state.astype(np.int64))]
     rows = np.flatnonzero(lay[3].any(1))
     rest = np.setdiff1d(np.arange(len(lay[0])), rows)
-    rest = rest[np.linspace(0, len(rest) - 1, min(len(rest), max(2000, 2 * len(rows)))).astype(int)] if len(rest) else rest
+    rest = rest[np.linspace(0, len(rest) - 1, min(len(rest), max(CLEAN_PIECES, 2 * len(rows)))).astype(int)] if len(rest) else rest
     rows = np.sort(np.concatenate([rows, rest]))
     feats, gold, mask = [x[rows] for x in lay[:3]], lay[3][rows], chains.mask[rows]
     seen = np.zeros((2, 2))
@@ -287,6 +331,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by a field learnt from the labels outside the held-out
+    fold. Nulls, empty and long texts, repeated rows as in :func:`score_documents`."""
     docs = table(spark, sf_dir, "documents")
     model = train(*training_sample(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -84,3 +84,44 @@ def test_chains_cover_each_word_once(n):
     flat, first = toxicity.tokens(pa.array([" ".join(["w"] * n), "", "a b"]))
     c = toxicity.Chains.of(first)
     assert len(c.at) == len(set(c.at.tolist())) == n + 2 == c.mask.sum()
+
+
+def slow_marginals(emit, change):
+    """Forward and backward over one whole chain, cell by cell."""
+    a = np.exp(change)
+    obs = np.stack([1 / (1 + np.exp(emit)), 1 / (1 + np.exp(-emit))], axis=1)
+    fwd, back = [obs[0] / obs[0].sum()], [np.ones(2)]
+    for o in obs[1:]:
+        f = (fwd[-1] @ a) * o
+        fwd.append(f / f.sum())
+    for o in obs[:0:-1]:
+        b = a @ (o * back[-1])
+        back.append(b / b.sum())
+    post = np.array(fwd) * np.array(back[::-1])
+    return post[:, 1] / post.sum(1)
+
+
+@pytest.mark.parametrize("chain", [2, 7, 64])
+def test_a_document_is_one_chain(monkeypatch, chain):
+    monkeypatch.setattr(toxicity, "CHAIN", chain)
+    rng = np.random.default_rng(chain)
+    sizes = [0, 1, 63, 64, 65, 500, 0, 128, 3, 1000]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    emit = rng.normal(0, 2, first[-1])
+    change = np.array([[1.5, -1.0], [-2.0, 1.2]])
+    chains = toxicity.Chains.of(first)
+    laid = chains.lay(emit)
+    before, after = toxicity.messages(laid, chains.mask, change, chains.rows)
+    got = toxicity.forward_backward(laid, chains.mask, change, before=before, after=after).reshape(-1)[chains.at]
+    want = np.concatenate([slow_marginals(emit[a:z], change) for a, z in zip(first[:-1], first[1:], strict=True) if z > a])
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_a_toxic_run_goes_on_over_any_word():
+    """Beside a certain word, the one after it is likelier, also over a row's end."""
+    model = toxicity.Model(["bad"], np.array([[0.0, 9.0], [0.0, 0.0], [0.0, 0.0]]), -2.0,
+                           np.array([[0.0, -3.0], [-3.0, 3.0]]), np.array([-1.0, 2.0, 1.0]))
+    for at in (10, 62, 63, 64, 127):
+        text = " ".join("bad" if i == at else f"w{i}" for i in range(200))
+        p, _ = model.marginals(pa.array([text]))
+        assert abs(p[at + 1] - model.marginals(pa.array([" ".join(text.split()[max(0, at - 8):at + 9])]))[0][min(at, 8) + 1]) < 1e-3
