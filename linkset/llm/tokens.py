@@ -9,18 +9,22 @@ the index, is then a slice of a mapped buffer: row r of a file is row
 
 Tokenizing dominates, and words repeat: a task encodes each distinct word of a
 batch once, keeps it for later batches, and gathers the ids of a document from
-there. That is exact for tokenizers that never look across white space.
+there. That is exact for tokenizers that drop white space before they look for
+tokens; :class:`Reading` tells from the tokenizer's file whether it does (if not, whole
+texts are encoded), and whether it lowers letters and parts them from full stops.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import tokenizers
 import xxhash
 from pyspark import TaskContext
@@ -54,11 +58,33 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
+class Reading:
+    """What a tokenizer does to a text before its model sees it."""
+
+    def __init__(self, spec: dict):
+        def steps(part: dict | None, inner: str) -> list[dict]:
+            if not part:
+                return []
+            return [s for p in part[inner] for s in steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+        lowers = steps(spec.get("normalizer"), "normalizers")
+        cuts = steps(spec.get("pre_tokenizer"), "pretokenizers")
+        kept = [regex.compile(c["pattern"]["Regex"]) for c in cuts if c["type"] == "Split"
+                and c["behavior"] == "Removed" and c["invert"] and "Regex" in c["pattern"]]
+        self.lowers = any(n["type"] == "Lowercase" for n in lowers)
+        #: no token has white space, or letters from both sides of it
+        self.by_word = any(c["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") for c in cuts) or any(
+            not p.search(" \t\n\x0b\x0c\r") for p in kept)
+        #: words of letters, and full stops and commas behind them, are parted
+        self.by_letter = any(p.findall("aZ\xe9.,") == ["aZ\xe9", ".,"] for p in kept)
+
+
 class WordTable:
     """Ids of words met so far, by the words' 64-bit hashes, sorted."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, model: str):
+        self.tokenizer = Tokenizer.from_str(model)
+        self.reading = Reading(json.loads(model))
         self.clear()
 
     def clear(self) -> None:
@@ -89,8 +115,8 @@ class WordTable:
 
     def learn(self, words: list[str], h: np.ndarray) -> None:
         """Encodes new words. A word of Latin letters with full stops or commas
-        behind is its lower-cased letters and these: the tokenizer parts them."""
-        parts = [_parted(w) for w in words]
+        behind is its letters and these, if the tokenizer parts them."""
+        parts = [_parted(w, self.reading) for w in words]
         units = list(dict.fromkeys(u for part in parts for u in part))
         hu = _hashes(units)
         new = np.flatnonzero(self.find(hu) < 0)
@@ -106,10 +132,10 @@ class WordTable:
         self._add(h[rest], flat, self.size[head] + self.size[tail])
 
 
-def _parted(word: str) -> tuple[str, str]:
-    if "<|" in word or not word or max(word) > "\xff":
+def _parted(word: str, reading: Reading) -> tuple[str, str]:
+    if not reading.by_letter or "<|" in word or not word or max(word) > "\xff":
         return word, ""
-    low = word.lower()
+    low = word.lower() if reading.lowers else word
     core = low.rstrip(".,")
     return (core, low[len(core):]) if core[-1:].isalpha() else (low, "")
 
@@ -122,13 +148,17 @@ class WordEncoder:
         tables = tokenizers.__dict__.setdefault("_linkset_word_tables", {})
         key = hashlib.sha1(model.encode()).digest()
         if key not in tables:
-            tables[key] = WordTable(Tokenizer.from_str(model))
+            tables[key] = WordTable(model)
         self.table = tables[key]
         self.tokenizer = self.table.tokenizer
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
         table = self.table
+        if not table.reading.by_word:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int64, count=len(got))
+            return np.fromiter((i for ids in got for i in ids), np.uint32, count=int(n.sum())), n
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

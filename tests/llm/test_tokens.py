@@ -62,3 +62,32 @@ def test_null_ids_first_and_empty(spark, ws, docs):
     assert [r.doc_id for r in tokens.read_tokens(index).orderBy("start").collect()] == [None, 1]
     none = tokens.write_tokens(docs([]), f"{ws.root}/e", model(), ws)
     assert tokens.read_tokens(none).count() == 0
+
+
+def cased():
+    """Words as they are, told apart at white space and punctuation; a fixed vocabulary."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    t = Tokenizer(models.WordLevel({"[UNK]": 0, "hello": 1, ".": 2, "World": 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    return t
+
+
+def test_a_cased_tokenizer_stays_cased():
+    enc = tokens.WordEncoder(cased().to_str())
+    assert enc.table.reading.by_word and not enc.table.reading.lowers
+    texts = ["Hello hello", "hello. HELLO World.", "World, hello", ""]
+    ids, n = enc.encode(pa.array(texts))
+    want = [cased().encode(t).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_tokens_over_white_space_need_whole_texts():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = tokens.WordEncoder(f.read())
+    assert not enc.table.reading.by_word
+    texts = ["Hello  World\n", " two  spaces", "", "été"]
+    ids, n = enc.encode(pa.array(texts))
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    given = tokens.WordEncoder(model()).table.reading
+    assert given.by_word and given.lowers and given.by_letter
