@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkset.llm.common import HOT_SHARE, arrow_limits, table, text_of
@@ -268,6 +268,13 @@ def repeated_spans(docs: DataFrame, workspace: Workspace, window: int = WINDOW,
     spans = extend(seeds(narrow, window, gram, hot_anchors(narrow, workspace, window, gram)), window)
     # rows that repeat in full share k, and find the same spans each
     spans = workspace.save(spans.distinct(), "spans")
+    # overlapping and neighbouring spans of one text become one
+    order = Window.partitionBy("k").orderBy("at", "upto")
+    before = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.col("at") > before), 1).otherwise(0)
+    spans = spans.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)))
+    spans = spans.groupBy("k", "run").agg(F.min("at").alias("at"), F.max("upto").alias("upto"))
     per = spans.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "upto"))).alias("spans"))
     return docs.join(per, "k", "left")
 
