@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from linkset.llm import files
 from linkset.llm.common import arrow_limits, attach, table
+from linkset.plans.solve import connected_components_named
 from linkset.plans.workspace import Workspace
 
 MIN_SHARED = 1000              # payloads under so many bytes never become revisits
@@ -191,13 +192,15 @@ def read_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def assemble(records: DataFrame, workspace: Workspace) -> DataFrame:
-    """One nested row per capture: ``capture_id type response request metadata``.
-
-    A capture is a response, revisit or resource record with the requests and
-    metadata records concurrent to it, directly or through one of them; a
-    record linked to none of these is a capture without a response. ``request``
-    is the one with the smallest id, ``metadata`` an array by id. Records with
-    an equal id are one record. ``records`` must be a written table.
+    """One nested row per capture: ``capture_id type response requests metadata``.
+
+    A capture is a response, revisit or resource record with all the requests,
+    metadata and other records that are concurrent to it, directly or through
+    any number of records that are none of these three (also through an id that
+    no record has). A record concurrent to several captures is in each of them;
+    records linked to none are, with what they are linked to, a capture without a response,
+    under their smallest id. ``requests`` and ``metadata`` are arrays by id. Records
+    with an equal id are one record. ``records`` must be a written table.
     """
     r = records.dropDuplicates(["record_id"])
     head = F.struct(*[c for c in records.columns if c != "concurrent_to"])
@@ -206,20 +209,25 @@ def assemble(records: DataFrame, workspace: Workspace) -> DataFrame:
     pairs = workspace.save(link.unionByName(link.select(F.col("y").alias("x"), F.col("x").alias("y")))
                            .distinct(), "pairs")
     anchors = r.where(is_anchor).select(F.col("record_id").alias("y"))
-    others = r.where(~is_anchor)
-    near = (pairs.join(anchors, "y", "left_semi").groupBy("x").agg(F.min("y").alias("capture")))
-    near = workspace.save(near.join(anchors.withColumnRenamed("y", "x"), "x", "left_anti"), "near")
-    far = (pairs.join(near.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("capture").alias("far")))
-    placed = (others.join(near.withColumnRenamed("x", "record_id"), "record_id", "left")
-              .join(far.withColumnRenamed("x", "record_id"), "record_id", "left")
-              .withColumn("capture_id", F.coalesce("capture", "far", "record_id")))
-    group = placed.groupBy("capture_id").agg(
-        F.min_by(head, F.when(F.col("type") == "request", F.col("record_id"))).alias("request"),
+    loose = pairs.join(anchors.withColumnRenamed("y", "x"), "x", "left_anti")     # from all other records
+    near = workspace.save(loose.join(anchors, "y", "left_semi").select("x", F.col("y").alias("capture_id")), "near")
+    among = workspace.save(loose.join(anchors, "y", "left_anti").where("x < y"), "among")
+    others = r.where(~is_anchor).withColumn("x", F.col("record_id"))
+    if among.isEmpty():
+        placed = others.join(near, "x", "left")
+    else:
+        group = workspace.save(connected_components_named(among, src="x", dst="y", workspace=workspace)
+                               .select(F.col("name").alias("x"), F.col("component").alias("group")), "groups")
+        of = lambda rows: rows.join(group, "x", "left").withColumn("group", F.coalesce("group", "x"))
+        captures = of(near).select("group", "capture_id").distinct()
+        placed = of(others).join(captures, "group", "left").withColumn("x", F.col("group"))
+    mine = placed.withColumn("capture_id", F.coalesce("capture_id", "x")).groupBy("capture_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("type") == "request", head))).alias("requests"),
         F.array_sort(F.collect_list(F.when(F.col("type") != "request", F.struct(
             "record_id", "type", "target_uri", "fields", "payload")))).alias("metadata"))
     main = r.where(is_anchor).select(F.col("record_id").alias("capture_id"), "type", head.alias("response"))
-    return main.join(group, "capture_id", "full").withColumn(
-        "metadata", F.coalesce("metadata", F.array()))
+    return main.join(mine, "capture_id", "full").withColumns({
+        c: F.coalesce(c, F.array()) for c in ("requests", "metadata")})
 
 
 def crawl(pages: DataFrame, workspace: Workspace, min_shared: int = MIN_SHARED) -> DataFrame:
