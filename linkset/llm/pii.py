@@ -9,8 +9,11 @@ seed entities of a bootstrap over the whole corpus:
 * patterns and distinct instances form a graph. Per kind, seeds have score 1;
   a pattern scores the mean over its instances if at least MIN_SUPPORT of them
   are believed, an instance combines the patterns that score TRUST or more
-  (noisy or). Scores are passed back and forth ROUNDS times, and what is
-  believed after one round supports new patterns in the next;
+  (noisy or). Scores are passed back and forth, and what is believed after one
+  round supports new patterns in the next. Scores only grow; the rounds end
+  when one lifts no instance over a multiple of STEP. A mean is over all its
+  instances: a pattern that as many unknown as believed instances share, and
+  whose unknown ones have no better pattern, is never trusted;
 * tokens in a pattern that scores CERTAIN, and that score CERTAIN themselves,
   are new spans of that kind.
 
@@ -46,7 +49,7 @@ LONG = 120           # a longer word stands in a pattern by its digest
 MIN_SUPPORT = 3
 TRUST = 0.5
 CERTAIN = 0.9
-ROUNDS = 3
+STEP = 0.05          # TRUST and CERTAIN are multiples of it
 SPAN = "array<struct<start:int,k:int,end:int,value:string>>"
 
 
@@ -178,7 +181,10 @@ def score(found: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]
     seed = [F.max((F.col("k") == k).cast("double")).alias(f"s{k}") for k in ks]
     inst = workspace.save(edges.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), *seed), "instances-0")
-    for r in range(1, ROUNDS + 1):
+    reached = F.sum(F.when(F.col("k") < 0, sum(F.floor(F.col(f"s{k}") / STEP + 1e-9) for k in ks)).otherwise(0))
+    height, r = 0, 0
+    while True:
+        r += 1
         e = attach(edges.drop("k"), inst, ["value"], "n", ["pattern"])
         mean = [F.when(F.count(F.when(F.col(f"s{k}") >= TRUST, 1)) >= MIN_SUPPORT,
                        F.avg(f"s{k}")).otherwise(0.0).alias(f"c{k}") for k in ks]
@@ -190,8 +196,10 @@ def score(found: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]
         inst = e.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), *miss)
         now = [F.when(F.col("k") >= 0, (F.col("k") == k).cast("double"))
                .otherwise(1 - F.exp(F.col(f"m{k}"))).alias(f"s{k}") for k in ks]
-        inst = workspace.save(inst.select("value", "n", "k", *now), f"instances-{r}")
-    return pats, inst.drop("k")
+        inst = workspace.save(inst.select("value", "n", "k", *now), f"instances-{r}", {"reached": reached})
+        if (inst.metrics["reached"] or 0) <= height:
+            return pats, inst.drop("k")
+        height = inst.metrics["reached"]
 
 
 def discoveries(found: DataFrame, workspace: Workspace) -> DataFrame:
@@ -280,4 +288,6 @@ def masked(docs: DataFrame, workspace: Workspace) -> DataFrame:
 
 
 def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents. Nulls, empty texts, repeated rows and empty
+    tables as in :func:`find_pii`."""
     return find_pii(table(spark, sf_dir, "documents"), Workspace(spark, label="op2"))

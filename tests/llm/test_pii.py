@@ -95,6 +95,25 @@ def test_believed_instances_support_new_patterns(spark, ws, docs):
     assert got[rows[-1][0]] == ""
 
 
+def test_generation_after_generation(spark, ws, docs):
+    """Each place is known by what the place before it shares with it: far more
+    generations than a few rounds reach; what shares nothing stays."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [f"{word()} {word()} please write to {word()}.{i}@mail.com about {word()} {word()}" for i in range(80)]
+    places = ["write to", "mirror of", "seen by", "asked for", "paid with", "read at", "kept in"]
+    for g, n in enumerate((12, 9, 7, 5, 4, 3)):         # in each place, more are known than not
+        for i in range(n):
+            rows += [f"{word()} {places[g]} gen{g}x{i}@localhost {word()} {word()}",
+                     f"{word()} {places[g + 1]} gen{g}x{i}@localhost {word()} {word()}"]
+    rows += [f"{word()} never {word()} lone{i}@localhost {word()} {word()}" for i in range(6)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs(list(enumerate(rows))), ws).collect()}
+    for i, t in enumerate(rows[80:-6], 80):
+        m = re.search(r"\w+@\w+", t)
+        assert got[i] == f"email:{m.start()}:{m.end()}", t
+    assert not any(got[i] for i in range(len(rows) - 6, len(rows)))
+
+
 def test_contexts_have_whole_words(spark, ws, docs):
     """Two words, however long they and the blanks are, and at either end."""
     long = ["x" * 200 + "1", "é" * 3000, "z" * 40000]
