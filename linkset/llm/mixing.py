@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 7
 PARTS = 1024
-SORTED = 1 << 16
+SORTED = 1 << 12
 
 
 def quality_weight(text: Column) -> Column:
