@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which
 :func:`run` writes as Parquet and reads again as the next stage's ``docs``.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; other columns of
+the input go. An empty table goes through all of them. Null ids, languages and
+sources are values like others, rows may repeat, texts are never cut.
 """
 
 from __future__ import annotations
@@ -16,27 +18,32 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them;
+    repeated rows share one verdict."""
     return quality.keep_good(docs.select(DOC_COLUMNS), Workspace(spark, label="quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: the smallest id (null last), then the
+    smallest hash of the text. Repeated rows, and all null and empty texts, are one group."""
     return simhash.keep_one(docs.select(DOC_COLUMNS), Workspace(spark, label="simhash"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind, ``n_chars`` follows."""
+    """Personal data is replaced by the name of its kind, ``n_chars`` follows. Every
+    row stays; a null text stays null."""
     return pii.masked(docs.select(DOC_COLUMNS), Workspace(spark, label="pii"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; of repeated rows, each for itself. A
+    text without words has nothing to take, and comes as often as its source does whole."""
     return mixing.mixed(docs.select(DOC_COLUMNS), Workspace(spark, label="mix"))
 
 
 def length_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their length bucket, batch and slot."""
+    """Texts with their length bucket, batch and slot: every row once, null texts with
+    length 0; which of two equal lengths comes first is open."""
     return packing.pack(docs, Workspace(spark, label="pack"), ["doc_id", "text"])
 
 

@@ -348,6 +348,8 @@ def similar_vectors(vectors: DataFrame, workspace: Workspace, cosine: float = CO
 
 
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings. Unusable vectors, null ids, repeated rows and empty tables
+    as in :func:`similar_vectors`."""
     return similar_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark, label="op3"))
 
 

@@ -206,6 +206,8 @@ def keep_good(docs: DataFrame, workspace: Workspace, min_docs: int = MIN_DOCS) -
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Nulls, empty texts, repeated rows and empty tables as in
+    :func:`quality_rules`."""
     return quality_rules(table(spark, sf_dir, "documents"), Workspace(spark, label="op5"))
 
 

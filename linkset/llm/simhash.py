@@ -239,4 +239,6 @@ def keep_one(docs: DataFrame, workspace: Workspace, shingle: int = SHINGLE,
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Nulls, empty texts, repeated rows and empty tables as in
+    :func:`simhash_groups`; texts of any length are read whole."""
     return simhash_groups(table(spark, sf_dir, "documents"), Workspace(spark, label="op10"))
