@@ -37,7 +37,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; of repeated rows, each for itself. A
-    text without words has nothing to take, and comes as often as its source does whole."""
+    text without words adds nothing to a target; its key decides as for others."""
     return mixing.mixed(docs.select(DOC_COLUMNS), Workspace(spark, label="mix"))
 
 
