@@ -2,8 +2,10 @@
 
 Both steps are "per node minimum, then re-point edges at it", written as a
 map-side-combined ``min`` aggregate and a join back to the edges; no node's
-neighbourhood is ever gathered into one row. While a table has no more rows
-than one hot node may have, the loop takes the minimum by a window instead.
+neighbourhood is ever gathered into one row. While a table has no hot node,
+the loop takes both minima by windows instead, and writes nothing between the
+two stars: large-star gives a node no more rows than it has neighbours, so its
+output has no hot node either.
 
 Stop rule (corrected, SURVEY §0.2 row 1): a round is large-star followed by
 small-star; stop when a round leaves the small-star output unchanged as a set.
@@ -20,9 +22,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkset.operators.graph import distinct_edges, normalize, symmetrize, vertices
+from linkset.operators.graph import both_ways, distinct_edges, symmetrize, undirected
 from linkset.operators.lists import LIST_ROWS, id_lists
-from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed
+from linkset.plans.joins import HOT_KEY_ROWS, hot_keys, join_keyed, over_threshold
 from linkset.plans.workspace import Workspace
 
 
@@ -88,13 +90,14 @@ def same_set(a: DataFrame, b: DataFrame) -> bool:
 
 
 def _large_by_window(sym: DataFrame) -> DataFrame:
+    """Large-star as a bag."""
     seen = sym.selectExpr("src", "dst", "min(dst) OVER (PARTITION BY src) AS mn").where("dst > src")
-    return distinct_edges(seen.selectExpr("dst AS src", "least(src, mn) AS dst"))
+    return seen.selectExpr("dst AS src", "least(src, mn) AS dst")
 
 
 def _small_by_window(large: DataFrame) -> DataFrame:
-    """A large-star output has each row once, larger end first; the row of the
-    smallest neighbour stands for the node itself."""
+    """A large-star output has the larger end first, maybe repeated; the row of
+    the smallest neighbour stands for the node itself."""
     seen = large.selectExpr("src", "dst", "min(dst) OVER (PARTITION BY src) AS mn")
     return distinct_edges(seen.selectExpr("if(dst = mn, src, dst) AS src", "mn AS dst"))
 
@@ -110,16 +113,33 @@ class _Loop:
         mn = self.ws.save(_minima(edges), "minima", {"hot": hot})
         return mn, mn.metrics["hot"]
 
-    def large(self, sym: DataFrame, rows: int, r: int) -> DataFrame:
-        if rows <= self.threshold and self.strategy == "auto":
-            return self.ws.save(_large_by_window(sym), f"large{r}", fingerprint())
+    def _by_window(self, edges: DataFrame, rows: int) -> bool:
+        """No node of ``edges`` has more rows than a window may hold."""
+        if self.strategy != "auto":
+            return False
+        if rows <= self.threshold:
+            return True
+        hot = over_threshold(edges, "src", self.threshold, self.ws)
+        self.ws.release(hot)
+        return hot is None
+
+    def round(self, sym: DataFrame, rows: int, r: int) -> DataFrame:
+        """Large-star, then small-star, written once or by halves."""
+        if self._by_window(sym, rows):
+            return self.ws.save(_small_by_window(_large_by_window(sym)), f"small{r}", fingerprint())
+        large = self.large(sym, r)
+        small = self.small(large, r)
+        self.ws.release(large)
+        return small
+
+    def large(self, sym: DataFrame, r: int) -> DataFrame:
         mn, hot = self._minima(sym)
         out = self.ws.save(large_star(sym, self.strategy, self.threshold, mn, hot), f"large{r}", fingerprint())
         self.ws.release(mn)
         return out
 
     def small(self, large: DataFrame, r: int) -> DataFrame:
-        if large.metrics["rows"] <= self.threshold and self.strategy == "auto":
+        if self._by_window(large, large.metrics["rows"]):
             return self.ws.save(_small_by_window(large), f"small{r}", fingerprint())
         mn, hot = self._minima(large)
         out = self.ws.save(_re_point(large, mn, self.strategy, self.threshold, hot), f"small{r}", fingerprint())
@@ -134,25 +154,30 @@ def star_components(edges: DataFrame, *, strategy: str = "auto",
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, label="stars")
     loop = _Loop(ws, strategy, HOT_KEY_ROWS if hot_threshold is None else hot_threshold)
-    g = ws.save(normalize(edges), "s-g0", {"rows": F.count(F.lit(1))})
+    g = ws.save(undirected(edges), "s-g0", {"rows": F.count(F.lit(1)),
+                                            "loops": F.count(F.when(F.col("src") == F.col("dst"), 1))})
+    loops = g.metrics["loops"]
     prev = None
     r = 0
     while True:
         r += 1
         # L1: each edge in both directions
-        sym, rows = (g, g.metrics["rows"]) if prev is None else (symmetrize(prev), 2 * prev.metrics["rows"])
-        large = loop.large(sym, rows, r)
-        small = loop.small(large, r)
-        ws.release(large)
+        sym, rows = ((both_ways(g), 2 * g.metrics["rows"] - loops) if prev is None else
+                     (symmetrize(prev), 2 * prev.metrics["rows"]))
+        small = loop.round(sym, rows, r)
         if prev is not None and same_set(small, prev):
             ws.release(small)
             break
         ws.release(prev)
         prev = small
     pairs = prev
-    comp = (vertices(g).join(pairs.select(F.col("src").alias("node"), F.col("dst").alias("root")),
-                             "node", "left")
-                       .select("node", F.coalesce("root", "node").alias("component")))
+    # a node with an edge points at its root or is one; others have a self-loop alone
+    roots = pairs.select("dst").distinct()
+    comp = pairs.selectExpr("src AS node", "dst AS component").unionByName(
+        roots.selectExpr("dst AS node", "dst AS component"))
+    if loops:
+        alone = g.where("src = dst").select(F.col("src").alias("node")).join(comp, "node", "left_anti")
+        comp = comp.unionByName(alone.select("node", F.col("node").alias("component")))
     comp = ws.save(comp, "star-components")
     ws.release(g)
     return StarResult(pairs, comp, r)
