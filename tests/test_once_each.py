@@ -1,6 +1,7 @@
 """What is large is made, exchanged and written once: edges, star rounds, lists, a round's tables."""
 
 import random
+import re
 
 from graph_tools import union_find
 
@@ -104,3 +105,34 @@ def test_queries_of_a_round_and_of_roots(spark, tmp_path, monkeypatch):
     assert names == ["graph", "minima", "sent", "nodes"]
     res = C.contract(edges_from_rows(spark, pairs))
     assert len(nxt) == (res.graph_log[1]["edges"] if res.rounds > 1 else 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_distinct_input_is_made_distinct_once(spark):
+    pairs = [(1, 2), (2, 1), (1, 2), (5, None), (5, 5), (None, 7), (9, 3), (None, None)]
+    df = spark.createDataFrame(pairs, "a BIGINT, b INT")
+    assert rows(undirected(df, "a", "b")) == rows(undirected(df.distinct(), "a", "b")) == [(1, 2), (3, 9), (5, 5)]
+    given = spark.range(9).selectExpr("id * 2 AS src", "id % 3 * 2 + 1 AS dst").distinct()
+    assert plan_of(undirected(given)).count("Exchange") == 1
+
+
+def test_rows_of_a_round_are_sorted_by_one_column(spark):
+    ws = Workspace(spark, label="test-sort")
+    rounds = C._Rounds(ws, "auto", False, C.HOT_KEY_ROWS)
+    plan = plan_of(rounds.rows(rounds.opened(rounds.first(undirected(edges_from_rows(spark, PAIRS)), once=True))))
+    sorts = re.findall(r"Sort \[([^\]]*)\]", plan)
+    assert len(sorts) == 2 and not any("," in s for s in sorts), plan
+    ws.close()
+
+
+def test_equal_rows_of_h_lead_to_one_row(spark):
+    # every node above 2 sends both minima to its neighbours, many times over
+    pairs = [(a, b) for a in (1, 2) for b in range(3, 40)] + [(60, 60), (70, 71)]
+    for threshold in (None, 3):
+        res = C.contract(edges_from_rows(spark, pairs), hot_threshold=threshold)
+        children = [r["child"] for r in res.tree.collect()]
+        assert len(children) == len(set(children)) == res.tree_rows == len(union_find(pairs)) - 3
+        assert sorted(r["node"] for r in res.seeds.collect()) == [1, 60, 70]
