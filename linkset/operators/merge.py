@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from linkset.operators.graph import as_edges, vertices
 from linkset.plans.joins import find_hot, join_keyed
 from linkset.plans.solve import connected_components
-from linkset.plans.workspace import Workspace
+from linkset.plans.workspace import Workspace, dealt
 
 
 def _mapped(ends: DataFrame, known: DataFrame, end: str, hot_threshold: int | None) -> DataFrame:
@@ -36,16 +36,35 @@ def merge_components(*parts: DataFrame, extra_edges: DataFrame | None = None,
     spark = (parts[0] if parts else extra_edges).sparkSession
     ws = workspace or Workspace(spark, label="merge")
     work = Workspace(spark, label="merge-work")
+    size = {"n": F.count(F.lit(1))}
     rows = None
     for part in parts:
         p = part.select("node", "component")
         rows = p if rows is None else rows.unionByName(p)
-    new = None if extra_edges is None else work.save(as_edges(extra_edges), "new")
+    new = None if extra_edges is None else work.save(as_edges(extra_edges), "new", size)
     if rows is None:
         rows = new.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    rows = work.save(rows, "rows")
-    known = rows.groupBy("node").agg(F.min("component").alias("component"),
-                                     F.max("component").alias("_last"))
+    rows = work.save(rows, "rows", size)
+    # a step's rows: those of the parts, and the ends of new edges
+    count = rows.metrics["n"] + (0 if new is None else 2 * new.metrics["n"])
+    with dealt(spark, count):
+        known, pairs = _pairs(rows, new, work, hot_threshold)
+    solved = connected_components(pairs, hot_threshold=hot_threshold, workspace=work, **kw)
+    keyed = solved.select(F.col("node").alias("component"), F.col("component").alias("_least"))
+    with dealt(spark, count):
+        out = join_keyed(known, keyed, "component", how="left",
+                         hot=find_hot(known, "component", hot_threshold))
+        out = ws.save(out.select("node", F.coalesce("_least", "component").alias("component")), "merged")
+    work.close()
+    return out
+
+
+def _pairs(rows: DataFrame, new: DataFrame | None, work: Workspace,
+           hot_threshold: int | None) -> tuple[DataFrame, DataFrame]:
+    """Every node with its smallest component, and the graph of components."""
+    # a node has a row for each part at most: dealt first, a task holds few nodes, not all of a file's
+    known = rows.repartition("node").groupBy("node").agg(F.min("component").alias("component"),
+                                                         F.max("component").alias("_last"))
     known = work.save(known, "known")
     # a node in more than two parts: each of its components to the smallest
     spread = known.where("component <> _last").select("node", F.col("component").alias("src"))
@@ -57,11 +76,4 @@ def merge_components(*parts: DataFrame, extra_edges: DataFrame | None = None,
         pairs = pairs.unionByName(ends.where("src <> dst"))
         alone = vertices(new).join(known, "node", "left_anti")
         known = known.unionByName(alone.withColumn("component", F.col("node")))
-    pairs = work.save(pairs.distinct(), "pairs")
-    solved = connected_components(pairs, hot_threshold=hot_threshold, workspace=work, **kw)
-    keyed = solved.select(F.col("node").alias("component"), F.col("component").alias("_least"))
-    out = join_keyed(known, keyed, "component", how="left",
-                     hot=find_hot(known, "component", hot_threshold))
-    out = ws.save(out.select("node", F.coalesce("_least", "component").alias("component")), "merged")
-    work.close()
-    return out
+    return known, work.save(pairs.distinct(), "pairs")

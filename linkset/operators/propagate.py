@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linkset.plans.joins import HOT_KEY_ROWS, find_hot, join_keyed
 from linkset.plans.lookup import asked_of
-from linkset.plans.workspace import Workspace
+from linkset.plans.workspace import Workspace, dealt
 
 
 def _labels_of_rounds(tree: DataFrame, roots: DataFrame, rounds: int, strategy: str,
@@ -75,7 +75,8 @@ def propagate_layers(tree: DataFrame, seeds: DataFrame, *, strategy: str = "auto
     few = rows is not None and rows <= (HOT_KEY_ROWS if hot_threshold is None else hot_threshold)
     hot = None if few else find_hot(edges, "parent", hot_threshold, ws)
     if rounds is not None:
-        layers = _labels_of_rounds(tree, roots, rounds, strategy, hot, ws)
+        with dealt(spark, rows or 0):
+            layers = _labels_of_rounds(tree, roots, rounds, strategy, hot, ws)
         return roots.unionByName(layers) if include_roots else layers
     out_path = ws.folder("labels")
     frontier = roots.select("node", "component")

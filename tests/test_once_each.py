@@ -9,10 +9,12 @@ from linkset.operators import contract as C
 from linkset.operators import propagate as P
 from linkset.operators.graph import adjacency, normalize, undirected
 from linkset.operators.lists import id_lists
+from linkset.operators.merge import merge_components
 from linkset.operators.stars import star_components
-from linkset.plans import catalog
+from linkset.plans import catalog, workspace
 from linkset.plans.joins import HOT_BUCKETS, find_hot
-from linkset.plans.workspace import Workspace
+from linkset.plans.solve import connected_components
+from linkset.plans.workspace import Workspace, dealt
 from linkset.sources.edges import edges_from_rows
 
 PAIRS = [(1, 2), (2, 1), (1, 2), (2, 5), (5, 8), (8, 7), (3, 7), (3, 4), (6, 3), (4, 4), (30, 30)]
@@ -136,3 +138,48 @@ def test_equal_rows_of_h_lead_to_one_row(spark):
         children = [r["child"] for r in res.tree.collect()]
         assert len(children) == len(set(children)) == res.tree_rows == len(union_find(pairs)) - 3
         assert sorted(r["node"] for r in res.seeds.collect()) == [1, 60, 70]
+
+
+def partitions_at(monkeypatch):
+    seen = []
+    real = Workspace.save
+
+    def save(self, df, name, *a, **k):
+        conf = self.spark.conf
+        seen.append((name, int(conf.get("spark.sql.shuffle.partitions")),
+                     conf.get("spark.sql.adaptive.coalescePartitions.enabled")))
+        return real(self, df, name, *a, **k)
+    monkeypatch.setattr(Workspace, "save", save)
+    return seen
+
+
+def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    own = [spark.conf.get(k) for k in keys]
+    cores = spark.sparkContext.defaultParallelism
+    pairs = [(i, i + 1) for i in range(0, 60, 3)] + [(i, i + 2) for i in range(0, 60, 5)]
+    want = sorted(union_find(pairs).items())
+    monkeypatch.setattr(workspace, "ROWS_PER_TASK", 4)
+    seen = partitions_at(monkeypatch)
+    half = len(pairs) // 2
+    got = merge_components(*(connected_components(edges_from_rows(spark, p)) for p in (pairs[:half], pairs[half:])))
+    assert rows(got) == want and [spark.conf.get(k) for k in keys] == own
+    for name, parts, joined in seen:
+        if name in ("known", "pairs", "merged"):
+            assert parts % cores == 0 and parts >= 40 // 4 and joined == "false", seen
+    assert any(name == "round-1" and parts % cores == 0 and joined == "false" for name, parts, joined in seen), seen
+    assert next(x for x in seen if x[0] == "graph")[1:] == (int(own[0]), own[1])
+
+
+def test_small_tables_are_left_to_the_session(spark, monkeypatch):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = partitions_at(monkeypatch)
+    connected_components(edges_from_rows(spark, PAIRS))
+    assert {parts for _, parts, _ in seen} == {int(own)}
+    try:
+        with dealt(spark, workspace.ROWS_PER_TASK * 1000):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 1000
+            raise KeyError
+    except KeyError:
+        pass
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
